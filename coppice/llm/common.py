@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
