@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a Python operator takes up at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Of a word's polynomial hash; any odd number serves.
 BASE = 0x9E3779B97F4A7C15
 #: Only bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -81,12 +81,22 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.empty(max(n, 1), np.uint64)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        np.multiply.accumulate(np.full(len(out) - 1, BASE, np.uint64), out=out[1:]) if len(out) > 1 else None
-    return out
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2^64; kept for later calls while they are small."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        with np.errstate(over="ignore"):
+            all_ = np.full(max(n, 1), base, np.uint64)
+            all_[0] = 1
+            out.append(np.multiply.accumulate(all_))
+    if n <= 2 * SLICE_BYTES:
+        _POWERS[:] = out
+    return out[0], out[1]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -100,32 +110,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """All words of some texts, case of A-Z folded: where they start and end in the bytes, whose they are, a 64-bit hash of each.
 
-    split: 256 booleans, true for bytes that separate words."""
+    split: 256 booleans, true for bytes that separate words. kinds: kinds of bytes; words also end between bytes of
+    two kinds above 0."""
 
-    def __init__(self, texts: pa.Array, split: np.ndarray = WHITE, fold: bool = True):
-        raw, self.ends = joined(texts)
-        self.raw = raw
-        self.data = FOLD[raw] if fold else raw
+    def __init__(self, texts: pa.Array, split: np.ndarray = WHITE, kinds: np.ndarray | None = None):
+        self.raw, self.ends = joined(texts)
+        self.data = FOLD[self.raw]
         inside = ~split[self.data]
-        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-        self.starts = np.flatnonzero(edge == 1)
-        self.stops = np.flatnonzero(edge == -1)
+        if not len(inside) or inside[-1]:
+            inside = np.append(inside, False)
+        if kinds is None:
+            edge = np.diff(inside.view(np.int8), prepend=0)
+            self.starts, self.stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        else:
+            kind = np.where(inside[: len(self.data)], kinds[self.data], 0)
+            broken = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+            begins = inside & ~np.concatenate(([False], inside[:-1]))
+            ends = ~inside & np.concatenate(([False], inside[:-1]))
+            begins[1 : len(kind)] |= broken
+            ends[1 : len(kind)] |= broken
+            self.starts, self.stops = np.flatnonzero(begins), np.flatnonzero(ends)
         self.doc = np.searchsorted(self.ends, self.starts, "right")
         self.n_docs = len(self.ends)
         self.counts = np.bincount(self.doc, minlength=self.n_docs)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
-        self.hash = self._hash(inside)
-
-    def _hash(self, inside: np.ndarray) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        length = self.stops - self.starts
-        at = np.flatnonzero(inside)
-        begins = np.concatenate(([0], np.cumsum(length)[:-1]))
-        place = np.arange(len(at)) - np.repeat(begins, length)
+        self.hash = self._hash()
+
+    def _hash(self) -> np.ndarray:
+        power, inverse = powers(len(self.data) + 1)
         with np.errstate(over="ignore"):
-            terms = (self.data[at].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[place]
-            return mixed(np.add.reduceat(terms, begins))
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+            return mixed((sums[self.stops] - sums[self.starts]) * inverse[self.starts])
 
 
 def pairs_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ def prefixes(w: Words, n: int) -> np.ndarray:
     """A hash of the first n bytes of each word, or of all it has; words shorter than n are hashed with their end."""
     if not len(w.starts):
         return np.zeros(0, np.uint64)
-    power, out = powers(n + 1), np.zeros(len(w.starts), np.uint64)
+    power, out = powers(n + 1)[0], np.zeros(len(w.starts), np.uint64)
     length = w.stops - w.starts
     with np.errstate(over="ignore"):
         for i in range(n):

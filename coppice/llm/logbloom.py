@@ -22,7 +22,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Hash functions of a membership test.
 PROBES = 3
 #: Tokens that a task sums before it sends them on.
-HELD = 3_000_000
+HELD = 2_000_000
 #: Added to every count of the smoothed word probabilities.
 ADD = 0.1
 #: Exact counts of so many words at most are broadcast; the others are joined.

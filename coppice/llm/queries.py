@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorization, logbloom, simhash
+from . import chains, factorization, logbloom, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,27 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def vocabulary() -> str:
+    """Path of the public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
+    "op7_packing": op7_packing,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 
 SQL: dict[str, str] = {}
