@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Words, mixed, slices
-from .learning import Adam, prefixes, sample, sigmoid
+from .learning import Adam, fitted, in_parts, prefixes, sample, sigmoid
 
 BITS = 17
 #: Of a bucket's share of the words, which in toxic texts is a few hundredths.
@@ -79,9 +79,9 @@ def categories(begins: np.ndarray, index: np.ndarray, toxic: np.ndarray) -> np.n
     """Columns of 0 and 1 for CHAIN: a toxic text with any feature that marks toxic texts; with six or more; toxic.
 
     A feature marks toxic texts if at least 4 of them have it, and at least 10 times the share of other texts that do."""
-    of = np.repeat(np.arange(len(toxic)), np.diff(begins))
-    with_it = np.bincount(index, toxic[of], 1 << BITS)
-    others = np.bincount(index, 1 - toxic[of], 1 << BITS)
+    of = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(begins))
+    with_it = np.bincount(index[toxic[of] == 1], minlength=1 << BITS)
+    others = np.bincount(index, minlength=1 << BITS) - with_it
     marks = (with_it >= 4) & (with_it / max(toxic.sum(), 1) >= 10 * (others + 0.5) / max((1 - toxic).sum(), 1))
     n = np.bincount(of, marks[index], len(toxic))
     return np.column_stack([toxic * (n >= 1), toxic * (n >= 6), toxic])
@@ -91,7 +91,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, folds: int = 3) -> list[Linear] | No
     """The chain's models; None without rows."""
     if not len(toxic):
         return None
-    begins, index, value = features(texts)
+    begins, index, value = in_parts(features, texts)
     y = categories(begins, index, toxic)
     fold, every = np.arange(len(toxic)) % folds, np.arange(len(toxic))
     earlier, chain = np.zeros((len(toxic), 0)), []
@@ -119,8 +119,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Learns labels.toxic from `rows` labelled rows at most. Null and empty texts have no words and get what the chain
     gives such a text; without any labelled row, all probabilities are 0. Other columns of docs are not looked at."""
-    known = sample(docs, labels, "toxic", key, text, rows, None, 0).toArrow()
-    share = docs.sparkSession.sparkContext.broadcast(fit(known.column("text").combine_chunks(), known.column("y").to_numpy().astype(float)))
+    share = docs.sparkSession.sparkContext.broadcast(fitted(sample(docs, labels, "toxic", key, text, rows, None, 0), fit))
     names = [f"p_{c}" for c in CHAIN]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,10 +110,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """All words of some texts, case of A-Z folded: where they start and end in the bytes, whose they are, a 64-bit hash of each.
 
-    split: 256 booleans, true for bytes that separate words. kinds: kinds of bytes; words also end between bytes of
-    two kinds above 0."""
+    split: 256 booleans, true for bytes that separate words. kinds: gives the kind of each byte; words also end between
+    bytes of two kinds above 0."""
 
-    def __init__(self, texts: pa.Array, split: np.ndarray = WHITE, kinds: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, split: np.ndarray = WHITE, kinds: Callable[[np.ndarray], np.ndarray] | None = None):
         self.raw, self.ends = joined(texts)
         self.data = FOLD[self.raw]
         inside = ~split[self.data]
@@ -123,7 +123,7 @@ class Words:
             edge = np.diff(inside.view(np.int8), prepend=0)
             self.starts, self.stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         else:
-            kind = np.where(inside[: len(self.data)], kinds[self.data], 0)
+            kind = np.where(inside[: len(self.data)], kinds(self.data), 0)
             broken = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
             begins = inside & ~np.concatenate(([False], inside[:-1]))
             ends = ~inside & np.concatenate(([False], inside[:-1]))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Words, remainders, slices
-from .learning import Adam, sample, sigmoid
+from .learning import Adam, fitted, in_parts, sample, sigmoid
 
 BUCKETS = 1 << 14
 RANK = 4
@@ -88,7 +88,8 @@ def fit(texts: pa.Array, y: np.ndarray, epochs: int = 12, size: int = 256, rate:
     """A model by the logistic loss; None without rows."""
     if not len(y):
         return None
-    begins, index, value, stats = features(texts)
+    begins, index, value, stats = in_parts(features, texts)
+    stats = stats.astype(float)
     rng = np.random.default_rng(7)
     m = Model(stats.mean(0), np.maximum(stats.std(0), 1e-6), np.zeros(1), np.zeros(BUCKETS + len(NAMES)), rng.normal(0, 0.02, (BUCKETS + len(NAMES), RANK)))
     start, index, value = m.rows(begins, index, value, stats)
@@ -116,9 +117,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Learns labels.quality from `rows` labelled rows at most whose crc32(key as text) mod folds is not held_out. Null and
     empty texts are scored like others, by a text without words. A null key is not held out. Where no labelled row can
     be learned from, every score is 1, so that nothing is rejected unlearned. Other columns of docs are not looked at."""
-    known = sample(docs, labels, "quality", key, text, rows, folds, held_out).toArrow()
-    model = fit(known.column("text").combine_chunks(), known.column("y").to_numpy().astype(float))
-    share = docs.sparkSession.sparkContext.broadcast(model)
+    share = docs.sparkSession.sparkContext.broadcast(fitted(sample(docs, labels, "quality", key, text, rows, folds, held_out), fit))
     names = [key, "held_out", "score", "predicted"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

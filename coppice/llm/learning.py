@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, powers, remainder
+from .common import Words, mixed, powers, remainder, slices
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str, key: str, text: str, rows: int, folds: int | None, held_out: int) -> DataFrame:
@@ -22,6 +26,26 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, key: str, text: str,
     return met.orderBy(F.xxhash64("k"), "k", "text").limit(rows)
 
 
+def fitted(known: DataFrame, fit: Callable[[pa.Array, np.ndarray], object]) -> object:
+    """fit(texts, y) of a bounded sample (k, text, y), run in one task so that the driver needs no memory for it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema=pa.schema([("text", pa.string()), ("y", pa.int32())]))
+        model = fit(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = known.select("text", "y").coalesce(1).mapInArrow(work, "model binary").first()
+    return pickle.loads(got[0]) if got else None
+
+
+def in_parts(features: Callable[[pa.Array], tuple], texts: pa.Array) -> list[np.ndarray]:
+    """features of many texts, a slice at a time: where each text's features begin (and all end), then the features in small types."""
+    got = [features(part.column(0)) for part in slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]))]
+    sizes = np.concatenate([np.diff(g[0]) for g in got])
+    rest = [np.concatenate([g[i].astype(np.int32 if g[i].dtype.kind == "i" else np.float32) for g in got]) for i in range(1, len(got[0]))]
+    return [np.concatenate(([0], np.cumsum(sizes))), *rest]
+
+
 def prefixes(w: Words, n: int) -> np.ndarray:
     """A hash of the first n bytes of each word, or of all it has; words shorter than n are hashed with their end."""
     if not len(w.starts):

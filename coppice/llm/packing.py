@@ -8,6 +8,7 @@ equal token counts."""
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -26,8 +27,19 @@ LOT_TOKENS = 1 << 20
 #: Distinct words whose ids a worker keeps.
 KEPT = 1_500_000
 ENDS = np.isin(np.arange(256), [10, 32])
-#: 1: ASCII letters, 2: digits, 3: marks but for the apostrophe and control characters, 0: any other.
-KINDS = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 and b != 39 else 0 for b in range(128)] + [0] * 128, np.int8)
+#: 1: letters, 2: digits, 3: marks but for the apostrophe and control characters, 0: any other.
+ASCII_KINDS = np.array([1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if 32 < b < 127 and b != 39 else 0 for b in range(128)] + [0] * 128, np.int8)
+
+
+def kinds(data: np.ndarray) -> np.ndarray:
+    """Kinds of UTF-8 bytes; U+00C0 to U+00FF but for the two marks among them are letters like those of ASCII."""
+    out = ASCII_KINDS[data]
+    at = np.flatnonzero(data[:-1] == 0xC3)
+    at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+    out[at] = out[at + 1] = 1
+    return out
+
+
 Piece = tuple[int, int, int]  # document's place in the lot, start, length
 
 
@@ -35,9 +47,10 @@ class Encoder:
     """Token ids of whole texts.
 
     In this vocabulary space and line feed end a word, and so does a change between ASCII letters, digits and marks
-    (without the apostrophe); case is dropped. So each part between such places is encoded once and kept by its hash."""
+    (without the apostrophe), of ASCII or Latin; case is dropped. So each part between such places is encoded once and kept by its hash."""
 
     def __init__(self, path: str, stop: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have a core each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,7 +64,9 @@ class Encoder:
 
     def _add(self, hashes: np.ndarray, parts: list[str]) -> None:
         """hashes: sorted, not known yet."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for low in range(0, len(parts), 4096):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(parts[low : low + 4096], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         at = np.searchsorted(self.hash, hashes)
         self.place = np.insert(self.place, at, len(self.begins) - 1 + np.arange(len(parts)))
@@ -60,7 +75,7 @@ class Encoder:
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        w = Words(texts, split=ENDS, kinds=KINDS)
+        w = Words(texts, split=ENDS, kinds=kinds)
         unique, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
         for retry in (False, True):
             at = np.minimum(np.searchsorted(self.hash, unique), max(len(self.hash) - 1, 0))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chains, factorization, logbloom, packing, simhash
+import uuid
+
+from . import chains, factorization, logbloom, media, packing, simhash, warc
+from .common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +37,26 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.media(table(spark, sf_dir, "documents"))).drop("intact")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = lambda kind, payload: warc.read(spark, path, payload).where(F.col("record_type") == kind)
+    # of what a response holds, else of what a revisit says of its response
+    answers = records("response", True).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    visits = records("revisit", False).select("page_id", F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to_id")
+    targets = records("response", False).select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to")).distinct()
+    visits = visits.join(targets, F.col("refers_to_id") == F.col("id"), "left").drop("refers_to_id", "id")
+    return answers.unionByName(visits)
+
+
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_media_columns": op4_media_columns,
     "op7_packing": op7_packing,
+    "op9_warc": op9_warc,
     "op10_toxicity_chain": op10_toxicity_chain,
 }
 
