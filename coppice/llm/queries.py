@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import chains, factorization, logbloom, media, packing, simhash, warc
+from . import chains, factorization, licenses, logbloom, media, packing, secrets, simhash, warc
 from .common import shared_dir
 
 
@@ -30,6 +30,14 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def vocabulary() -> str:
     """Path of the public tokenizer's vocabulary."""
     import public_tokenizers
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_media_columns": op4_media_columns,
+    "op5_license_scan": op5_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
     "op9_warc": op9_warc,
     "op10_toxicity_chain": op10_toxicity_chain,
