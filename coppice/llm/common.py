@@ -144,6 +144,20 @@ class Words:
             return mixed((sums[self.stops] - sums[self.starts]) * inverse[self.starts])
 
 
+def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the n words from each word on, and whether these are all in one text."""
+    size = len(w.hash)
+    if size < n:
+        return np.zeros(size, np.uint64), np.zeros(size, bool)
+    out = np.zeros(size, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out[: size - n + 1] = mixed(out[: size - n + 1] + w.hash[i : size - n + 1 + i] + np.uint64(BASE))
+    inside = np.zeros(size, bool)
+    inside[: size - n + 1] = w.doc[: size - n + 1] == w.doc[n - 1 :]
+    return out, inside
+
+
 def pairs_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of ordered pairs of hashes."""
     with np.errstate(over="ignore"):

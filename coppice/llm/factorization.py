@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import Words, remainders, slices
 from .learning import Adam, fitted, in_parts, sample, sigmoid
@@ -122,7 +123,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = share.value
-        for part in slices(batches, text):
+        for part in slices(batches, "_text"):
             score = np.ones(part.num_rows)
             if m:
                 begins, index, value, stats = features(part.column(1))
@@ -131,4 +132,4 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f == held_out for f in fold]), pa.array(score), pa.array((score >= threshold).astype(np.int32)), *(part.column(i) for i in range(2, part.num_columns))], [*names, *keep])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(key, text, *keep).mapInArrow(work, ", ".join([f"`{key}` {kinds[key]}, held_out boolean, score double, predicted int", *(f"`{k}` {kinds[k]}" for k in keep)]))
+    return docs.select(key, F.col(text).alias("_text"), *keep).mapInArrow(work, ", ".join([f"`{key}` {kinds[key]}, held_out boolean, score double, predicted int", *(f"`{k}` {kinds[k]}" for k in keep)]))

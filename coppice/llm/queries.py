@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import uuid
 
-from . import chains, factorization, licenses, logbloom, media, packing, secrets, simhash, warc
+from . import chains, decontamination, factorization, licenses, logbloom, media, packing, secrets, simhash, warc
 from .common import shared_dir
 
 
@@ -53,6 +53,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_toxicity_chain": op10_toxicity_chain,
 }

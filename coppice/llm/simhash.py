@@ -7,6 +7,7 @@ fingerprints at a time by carry-save bitwise counters, and a word is abandoned o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -16,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import Words, cut, shingles, slices
 from .components import components
 
 #: Fingerprints of one bucket that one task compares with as many others; a larger bucket is dealt to cells of two chunks.
 CHUNK = 4096
 #: Up to so many distinct fingerprints, r + 1 blocks are enough for small buckets.
 FEW = 1 << 24
+#: So many row numbers (8 bytes each) are broadcast at most; more are joined by a shuffle.
+FEW_ROWS = 1 << 20
 #: Words of 64 distances that are computed at once.
 AT_ONCE = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -124,44 +127,82 @@ class Forest:
                 self.root = up
 
 
-def compare(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Cells of (fingerprints, others or None); yields edges that connect whatever is linked within a cell, the queries against the others (None: themselves)."""
-    lanes, starts, queries, base = [], [], [], 0
+def met(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Cells of (fingerprints, others or None); queries are compared with the others, or with themselves.
+
+    Returns where each lane's fingerprint stands in the cells' arrays put one after another, own before others (padding:
+    -1), and batches of pairs (query's place, lane) within the radius. A pair of a cell's own comes both ways round."""
+    lanes, values, words, valid, asked, at = [], [], [], [], [], 0
+    total = 0
     for own, others in cells:
         side = own if others is None else others
-        starts.append((base // 64, -(-len(side) // 64)))
-        padded = np.zeros(-(-len(side) // 64) * 64, np.uint64)
-        padded[: len(side)] = side
-        lanes.append((padded, len(side)))
-        base += len(padded)
-        queries.append(own)
-    values = np.concatenate([x for x, _ in lanes])
-    valid = np.concatenate([np.packbits(np.arange(len(x)) < n, bitorder="little").view("<u8") for x, n in lanes])
-    plane = planes(values)
-    asked = np.concatenate(queries)
-    forest = Forest(len(asked) + len(values))  # queries, then lanes
-    width = np.concatenate([np.full(len(q), n) for q, (_, n) in zip(queries, starts)])
-    first = np.concatenate([np.full(len(q), s) for q, (s, _) in zip(queries, starts)])
+        first = at if others is None else at + len(own)
+        n = -(-len(side) // 64) * 64
+        lane, value = np.full(n, -1), np.zeros(n, np.uint64)
+        lane[: len(side)] = np.arange(first, first + len(side))
+        value[: len(side)] = side
+        words.append((total // 64, n // 64))
+        valid.append(np.packbits(np.arange(n) < len(side), bitorder="little").view("<u8"))
+        lanes.append(lane)
+        values.append(value)
+        asked.append((own, np.arange(at, at + len(own))))
+        at += len(own) + (0 if others is None else len(others))
+        total += n
+    valid, plane = np.concatenate(valid), planes(np.concatenate(values))
+    query, place = np.concatenate([q for q, _ in asked]), np.concatenate([p for _, p in asked])
+    width = np.concatenate([np.full(len(q), n) for (q, _), (_, n) in zip(asked, words)])
+    first = np.concatenate([np.full(len(q), s) for (q, _), (s, _) in zip(asked, words)])
     begun = np.concatenate(([0], np.cumsum(width)))
-    place = 0
-    for (own, others), (padded, n), (s, _) in zip(cells, lanes, starts):
-        if others is None:
-            forest.root[len(asked) + s * 64 : len(asked) + s * 64 + n] = np.arange(place, place + n)
-        place += len(own)
-    for low in range(0, int(begun[-1]), AT_ONCE):
-        pair = np.arange(low, min(low + AT_ONCE, int(begun[-1])))
-        q = np.searchsorted(begun, pair, "right") - 1
-        word = first[q] + pair - begun[q]
-        at, hits = near(plane, asked[q], word, valid, radius, begin)
-        if len(at):
-            row, lane = np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            forest.link(q[at][row], len(asked) + word[at][row] * 64 + lane)
-    every = np.concatenate((asked, values))
+
+    def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for low in range(0, int(begun[-1]), AT_ONCE):
+            pair = np.arange(low, min(low + AT_ONCE, int(begun[-1])))
+            q = np.searchsorted(begun, pair, "right") - 1
+            word = first[q] + pair - begun[q]
+            at, hits = near(plane, query[q], word, valid, radius, begin)
+            if len(at):
+                row, lane = np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                yield place[q[at][row]], word[at][row] * 64 + lane
+
+    return np.concatenate(lanes), batches()
+
+
+def compare(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges that connect whatever is within the radius in a cell: a spanning forest."""
+    every = np.concatenate([x for own, others in cells for x in ((own,) if others is None else (own, others))])
+    forest = Forest(len(every))
+    lanes, batches = met(cells, radius, begin)
+    for q, lane in batches:
+        forest.link(q, lanes[lane])
     moved = np.flatnonzero(forest.root != np.arange(len(every)))
     a, b = every[moved], every[forest.root[moved]]
     yield a[a != b], b[a != b]
 
 
+def closest(cells: list[tuple[np.ndarray, np.ndarray | None]], seconds: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places) within the radius by both fingerprints, by which everything that is so in a cell is connected, closest pairs first."""
+    second = np.concatenate([x for own, others in seconds for x in ((own,) if others is None else (own, others))])
+    first = np.concatenate([x for own, others in cells for x in ((own,) if others is None else (own, others))])
+    forest = Forest(len(second))
+    lanes, batches = met(cells, radius, begin)
+    for a, lane in batches:
+        b = lanes[lane]
+        far = np.bitwise_count(second[a] ^ second[b])
+        keep = (far <= radius) & (a != b)
+        a, b, far = a[keep], b[keep], far[keep] + np.bitwise_count(first[a[keep]] ^ first[b[keep]])
+        for d in np.unique(far):
+            x, y = a[far == d], b[far == d]
+            while True:
+                rx, ry = forest.root[x], forest.root[y]
+                new = rx != ry
+                if not new.any():
+                    break
+                x, y, rx, ry = x[new], y[new], rx[new], ry[new]
+                _, one = np.unique(np.maximum(rx, ry), return_index=True)  # one pair for each root that is joined to another
+                yield x[one], y[one]
+                forest.link(x[one], y[one])
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp, no repeats) that connect all that are within the radius.
 
@@ -173,9 +214,18 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     masks = []
     for chosen in combinations(range(blocks), agree):
         m = sum(((1 << int(edge[c + 1] - edge[c])) - 1) << int(edge[c]) for c in chosen)
-        masks.append((m - (1 << 64) if m >> 63 else m, int(edge[chosen[0] + 1])))
+        masks.append((_signed(m), int(edge[chosen[0] + 1])))
+    return _cells(fps, masks, ["fp"]).mapInArrow(_work(lambda cells, begin: compare([c[0] for c in cells], radius, begin), [b for _, b in masks]), "a long, b long")
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _cells(fps: DataFrame, masks: list[tuple[int, int]], columns: list[str]) -> DataFrame:
+    """fps dealt to the cells of each mask's buckets and sorted by them: (t, k, i, j, c, columns...); columns[0] is the fingerprint."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, (m, _) in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.k")
+    keyed = fps.select(*columns, F.explode(tables).alias("x")).select(*columns, "x.t", "x.k")
     sizes = keyed.groupBy("t", "k").count().where("count > 1")
     if (sizes.agg(F.max("count")).first()[0] or 0) > CHUNK:
         keyed = keyed.join(sizes.withColumn("n", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count"), ["t", "k"])
@@ -183,52 +233,53 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         keyed = keyed.withColumn("n", F.lit(1))
     chunk = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     cell = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda d: F.struct(F.least(d, F.col("c")).alias("i"), F.greatest(d, F.col("c")).alias("j")))
-    dealt = keyed.withColumn("c", chunk).withColumn("x", F.explode(cell)).select("t", "k", "x.i", "x.j", "c", "fp")
-    begins = [b for _, b in masks]
+    dealt = keyed.withColumn("c", chunk).withColumn("x", F.explode(cell)).select("t", "k", "x.i", "x.j", "c", *columns)
+    return dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+
+
+def _work(found, begins: list[int]):
+    """found(cells, begin) yields pairs of arrays; a cell is a list with (own, others or None) for each column."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: int, cells: list) -> Iterator[pa.RecordBatch]:
-            for a, b in compare(cells, radius, begins[t]) if cells else ():
+            for a, b in found(cells, begins[t]) if cells else ():
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
 
-        held: list = []
-        work_at, ready, weight = None, [], 0
-        for name, rows in _runs(batches):
-            fp, c = rows
-            one = (fp, None) if name[2] == name[3] else (fp[c == name[2]], fp[c == name[3]])
-            if len(fp) < 2 or one[1] is not None and not (len(one[0]) and len(one[1])):
+        table, ready, weight = None, [], 0
+        for name, (c, *columns) in _runs(batches):
+            one = [(x, None) if name[2] == name[3] else (x[c == name[2]], x[c == name[3]]) for x in columns]
+            own, others = one[0]
+            if len(c) < 2 or others is not None and not (len(own) and len(others)):
                 continue
-            if ready and (name[0] != work_at or weight > AT_ONCE):
-                yield from out(work_at, ready)
+            if ready and (name[0] != table or weight > AT_ONCE):
+                yield from out(table, ready)
                 ready, weight = [], 0
-            work_at = name[0]
+            table = name[0]
             ready.append(one)
-            weight += len(one[0]) * -(-len(one[0] if one[1] is None else one[1]) // 64)
-        yield from out(work_at, ready)
-        del held
+            weight += len(own) * -(-len(own if others is None else others) // 64)
+        yield from out(table, ready)
 
-    return dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j").mapInArrow(work, "a long, b long")
+    return work
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple[np.ndarray, np.ndarray]]]:
-    """Sorted rows (t, k, i, j, c, fp) as one item for each cell (t, k, i, j)."""
-    name, fp, c = None, [], []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+    """Sorted rows (t, k, i, j, columns...) as one item for each cell (t, k, i, j); longs are taken as unsigned."""
+    name, held = None, []
     for b in batches:
         if not b.num_rows:
             continue
         key = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
         starts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [b.num_rows]))
-        values, chunks = b.column(5).to_numpy().view(np.uint64), b.column(4).to_numpy()
+        columns = [x.view(np.uint64) if x.dtype == np.int64 else x for x in (b.column(i).to_numpy() for i in range(4, b.num_columns))]
         for s, e in zip(starts, starts[1:]):
             here = tuple(key[:, s].tolist())
             if here != name:
                 if name is not None:
-                    yield name, (np.concatenate(fp), np.concatenate(c))
-                name, fp, c = here, [], []
-            fp.append(values[s:e].copy())
-            c.append(chunks[s:e].copy())
+                    yield name, [np.concatenate(x) for x in zip(*held)]
+                name, held = here, []
+            held.append([x[s:e].copy() for x in columns])
     if name is not None:
-        yield name, (np.concatenate(fp), np.concatenate(c))
+        yield name, [np.concatenate(x) for x in zip(*held)]
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,3 +295,89 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     smallest = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
     label = named.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return marked.join(label, F.col("fp") == F.col("f")).select(key, "fp", "component_id")
+
+
+def sketch(text: str | None, words: int) -> tuple[int, int]:
+    """Two independent SimHash fingerprints, from the halves of 128-bit hashes of the distinct shingles."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return 0, 0
+    whole = b" ".join(parts)
+    stops = list(accumulate((len(p) + 1 for p in parts), initial=-1))
+    digest = xxhash.xxh3_128_digest
+    found = {digest(whole[a + 1 : b]) for a, b in zip(stops, stops[words:])} if len(parts) > words else {digest(whole)}
+    ones = np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    a, b = np.packbits(2 * ones > len(found), bitorder="little").view("<u8").tolist()
+    return a, b
+
+
+def masks(n: int, far: int, recall: float, bucket: int = 256) -> list[tuple[int, int]]:
+    """Sets of sampled bits for n fingerprints: so many bits that a bucket of evenly spread fingerprints has about `bucket`, and so many sets that two fingerprints `far` bits apart share a bucket with probability `recall`."""
+    bits = min(24, max(8, math.ceil(math.log2(max(n, 1) / bucket))))
+    share = math.comb(64 - far, bits) / math.comb(64, bits)
+    rng = np.random.default_rng(5)
+    return [(_signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))), 0) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share)))]
+
+
+def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, recall: float = 0.98, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each group of near copies the one with the smallest key.
+
+    Two texts are near copies if the sets of their shingles of `words` words (A-Z folded) have a Jaccard similarity of
+    `least` or more; a group is what such links reach. Candidates are found by SimHash: buckets of sampled bits, within
+    which fingerprints are compared bit-sliced up to the radius, and then by a second fingerprint; the closest pairs
+    that connect a bucket are verified exactly. Texts with equal fingerprints are taken for copies. Of empty or null
+    texts one stays, of repeated rows too. All columns are kept."""
+    spark = docs.sparkSession
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            both = np.array([sketch(t, words) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64)), part.column(2)], [key, "fp", "second", "_row"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    marked = cut(rows.select(key, text, "_row").mapInArrow(work, f"`{key}` {kind}, fp long, second long, _row long"))
+    distinct = cut(marked.groupBy("fp", "second").agg(F.min(F.struct(key, "_row")).alias("first")).withColumn("node", F.col("first._row")))
+    dealt = _cells(distinct, masks(distinct.count(), radius, recall), ["fp", "second", "node"])
+
+    def found(cells: list, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nodes = np.concatenate([x for c in cells for x in c[2] if x is not None])
+        for a, b in closest([c[0] for c in cells], [c[1] for c in cells], radius, begin):
+            yield nodes[a], nodes[b]
+
+    pairs = dealt.mapInArrow(_work(found, [0] * 1000), "a long, b long")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    asked = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
+    asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked
+    bags = cut(rows.join(asked, "_row", "left_semi").select("_row", text).mapInArrow(lambda b: _bags(b, text, words), "_row long, bag binary"))
+    sides = pairs.join(bags.withColumnsRenamed({"_row": "a", "bag": "x"}), "a").join(bags.withColumnsRenamed({"_row": "b", "bag": "y"}), "b")
+    linked = sides.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, least), "a long, b long")
+    roots = components(linked)
+    group = distinct.join(roots, "node", "left").select("fp", "second", "first", F.coalesce("root", "node").alias("root"))
+    firsts = group.groupBy("root").agg(F.min("first").alias("stays"))
+    stay = group.join(firsts, "root").where("first = stays").select(F.col("first._row").alias("_row"))
+    gone = cut(marked.select("_row").join(stay, "_row", "left_anti"))
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, "_row", "left_anti").drop("_row")
+
+
+def _bags(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, text):
+        w = Words(part.column(1))
+        h, inside = shingles(w, words)
+        bags = []
+        for d in range(w.n_docs):
+            own = h[w.first[d] : w.first[d + 1]][inside[w.first[d] : w.first[d + 1]]]
+            if not len(own):  # fewer words than a shingle has
+                own = shingles(w, int(w.counts[d]))[0][w.first[d] : w.first[d] + 1] if w.counts[d] else own
+            bags.append(np.unique(own).tobytes())
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bags, pa.binary())], ["_row", "bag"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for part in batches:
+        keep = []
+        for x, y in zip(part.column(2), part.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both))
+        yield part.filter(pa.array(keep, pa.bool_())).select([0, 1])
