@@ -29,8 +29,9 @@ def java_pattern(query: str, case_sensitive: bool = False) -> str:
 
 def _exact(leaves: DataFrame, queries: DataFrame, mode: str, case_sensitive: bool) -> DataFrame:
     """(query_id, leaf_id, preferred) of exact matches. Every query is held against every text: a stated, broadcast block of queries, no shuffle of leaves."""
-    asked = F.broadcast(queries.select("query_id", "query", "pattern", "files"))
-    literal = T.fold(F.col("text"), case_sensitive).contains(T.fold(F.col("query"), case_sensitive))
+    asked = F.broadcast(queries.select("query_id", "query", "pattern", "files", T.fold(F.col("query"), case_sensitive).alias("needle")))
+    leaves = leaves.select("leaf_id", "file", "text", T.fold(F.col("text"), case_sensitive).alias("folded"))
+    literal = F.col("folded").contains(F.col("needle"))
     regex = F.expr("text rlike pattern")
     is_regex = F.col("query").rlike(META.pattern)
     preferred = F.coalesce(F.array_contains("files", F.col("file")), F.lit(False))

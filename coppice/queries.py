@@ -71,10 +71,10 @@ def search_regex(spark, sf_dir):
 
 
 _MASK = f"""WITH hit AS (SELECT b.item_id AS query_id, d.doc_id AS leaf_id, d.source AS file, d.source IN ('src0', 'src1', 'src2') AS pref
-      FROM benchmark b JOIN documents d ON contains({_LOW_TEXT}, {_LOW_QUERY})), masked AS (SELECT *, bool_or(pref) OVER (PARTITION BY query_id) AS some FROM hit)"""
+      FROM benchmark b JOIN documents d ON contains({_LOW_TEXT}, {_LOW_QUERY})), masked AS (SELECT *, bool_or(pref) OVER (PARTITION BY query_id) AS any_pref FROM hit)"""
 
 
-@query("search_hierarchy_mask", _MASK + " SELECT query_id, leaf_id, CASE WHEN pref THEN 'hierarchy' ELSE 'fallback' END AS route FROM masked WHERE pref OR NOT some")
+@query("search_hierarchy_mask", _MASK + " SELECT query_id, leaf_id, CASE WHEN pref THEN 'hierarchy' ELSE 'fallback' END AS route FROM masked WHERE pref OR NOT any_pref")
 def search_hierarchy_mask(spark, sf_dir):
     own = asked(spark, sf_dir).withColumn("files", F.array(F.lit("src0"), F.lit("src1"), F.lit("src2")))
     return S.search(leaves(spark, sf_dir), own, mode="literal", max_results=1 << 30, threshold=2.0).select("query_id", "leaf_id", "route")
