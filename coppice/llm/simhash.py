@@ -14,7 +14,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut, shingles, slices
@@ -179,17 +179,17 @@ def compare(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begi
     yield a[a != b], b[a != b]
 
 
-def closest(cells: list[tuple[np.ndarray, np.ndarray | None]], seconds: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (places) within the radius by both fingerprints, by which everything that is so in a cell is connected, closest pairs first."""
+def closest(cells: list[tuple[np.ndarray, np.ndarray | None]], seconds: list[tuple[np.ndarray, np.ndarray | None]], radius: int, both: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places) within the radius, and within `both` by the sum of both fingerprints' distances, by which everything that is so in a cell is connected, closest pairs first."""
     second = np.concatenate([x for own, others in seconds for x in ((own,) if others is None else (own, others))])
     first = np.concatenate([x for own, others in cells for x in ((own,) if others is None else (own, others))])
     forest = Forest(len(second))
     lanes, batches = met(cells, radius, begin)
     for a, lane in batches:
         b = lanes[lane]
-        far = np.bitwise_count(second[a] ^ second[b])
-        keep = (far <= radius) & (a != b)
-        a, b, far = a[keep], b[keep], far[keep] + np.bitwise_count(first[a[keep]] ^ first[b[keep]])
+        far = np.bitwise_count(second[a] ^ second[b]) + np.bitwise_count(first[a] ^ first[b])
+        keep = (far <= both) & (a != b)
+        a, b, far = a[keep], b[keep], far[keep]
         for d in np.unique(far):
             x, y = a[far == d], b[far == d]
             while True:
@@ -215,16 +215,20 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     for chosen in combinations(range(blocks), agree):
         m = sum(((1 << int(edge[c + 1] - edge[c])) - 1) << int(edge[c]) for c in chosen)
         masks.append((_signed(m), int(edge[chosen[0] + 1])))
-    return _cells(fps, masks, ["fp"]).mapInArrow(_work(lambda cells, begin: compare([c[0] for c in cells], radius, begin), [b for _, b in masks]), "a long, b long")
+    return _cells(fps, _tables(masks), ["fp"]).mapInArrow(_work(lambda cells, begin: compare([c[0] for c in cells], radius, begin), [b for _, b in masks]), "a long, b long")
 
 
 def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _cells(fps: DataFrame, masks: list[tuple[int, int]], columns: list[str]) -> DataFrame:
-    """fps dealt to the cells of each mask's buckets and sorted by them: (t, k, i, j, c, columns...); columns[0] is the fingerprint."""
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, (m, _) in enumerate(masks)])
+def _tables(masks: list[tuple[int, int]], start: int = 0) -> Column:
+    """Array of (t, k): the fingerprint's bucket under each mask."""
+    return F.array(*[F.struct(F.lit(start + i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, (m, _) in enumerate(masks)])
+
+
+def _cells(fps: DataFrame, tables: Column, columns: list[str]) -> DataFrame:
+    """fps dealt to the cells of their buckets and sorted by them: (t, k, i, j, c, columns...)."""
     keyed = fps.select(*columns, F.explode(tables).alias("x")).select(*columns, "x.t", "x.k")
     sizes = keyed.groupBy("t", "k").count().where("count > 1")
     if (sizes.agg(F.max("count")).first()[0] or 0) > CHUNK:
@@ -319,13 +323,15 @@ def masks(n: int, far: int, recall: float, bucket: int = 256) -> list[tuple[int,
     return [(_signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))), 0) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share)))]
 
 
-def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, recall: float = 0.98, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 18, both: int = 34, far: int = 14, recall: float = 0.98, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each group of near copies the one with the smallest key.
 
     Two texts are near copies if the sets of their shingles of `words` words (A-Z folded) have a Jaccard similarity of
-    `least` or more; a group is what such links reach. Candidates are found by SimHash: buckets of sampled bits, within
-    which fingerprints are compared bit-sliced up to the radius, and then by a second fingerprint; the closest pairs
-    that connect a bucket are verified exactly. Texts with equal fingerprints are taken for copies. Of empty or null
+    `least` or more; a group is what such links reach. Candidates are found by SimHash: each text has two fingerprints,
+    and is dealt to buckets of sampled bits of either, so many that two texts `far` bits apart in both share one with
+    probability `recall` (at a similarity of 0.8 they are about 10 apart). Within a bucket, fingerprints are compared
+    bit-sliced up to the radius, and by the sum of both distances; the closest pairs that connect a bucket are verified
+    exactly. Texts with equal fingerprints are taken for copies. Of empty or null
     texts one stays, of repeated rows too. All columns are kept."""
     spark = docs.sparkSession
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
@@ -338,14 +344,17 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     kind = docs.schema[key].dataType.simpleString()
     marked = cut(rows.select(key, text, "_row").mapInArrow(work, f"`{key}` {kind}, fp long, second long, _row long"))
     distinct = cut(marked.groupBy("fp", "second").agg(F.min(F.struct(key, "_row")).alias("first")).withColumn("node", F.col("first._row")))
-    dealt = _cells(distinct, masks(distinct.count(), radius, recall), ["fp", "second", "node"])
+    sampled = masks(distinct.count(), far, recall)
+    half = -(-len(sampled) // 2)
+    sides = distinct.select("fp", "second", "node", F.lit(0).alias("side")).union(distinct.select("second", "fp", "node", F.lit(1)))
+    dealt = _cells(sides, F.when(F.col("side") == 0, _tables(sampled[:half])).otherwise(_tables(sampled[half:], half)), ["fp", "second", "node"])
 
     def found(cells: list, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nodes = np.concatenate([x for c in cells for x in c[2] if x is not None])
-        for a, b in closest([c[0] for c in cells], [c[1] for c in cells], radius, begin):
+        for a, b in closest([c[0] for c in cells], [c[1] for c in cells], radius, both, begin):
             yield nodes[a], nodes[b]
 
-    pairs = dealt.mapInArrow(_work(found, [0] * 1000), "a long, b long")
+    pairs = dealt.mapInArrow(_work(found, [0] * len(sampled)), "a long, b long")
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
     asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked
