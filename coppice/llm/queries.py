@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
-from . import chains, decontamination, factorization, licenses, logbloom, media, packing, secrets, simhash, warc
+from . import chains, decontamination, factorization, licenses, logbloom, media, packing, secrets, simhash, sql, warc
 from .common import shared_dir
 
 
@@ -86,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity_chain": op10_toxicity_chain,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
