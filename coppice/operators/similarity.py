@@ -6,29 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> DataFrame:
-    """(i, j, similarity) of all pairs of rows, i < j, whose token sets are as similar as `least` or more.
-
-    Rows with equal token sets are compared once: pairs are found between distinct sets and expanded at the end, where
-    asked for by their own number. With a set's tokens ordered from rare to frequent, two sets that qualify share one
-    of the first n - ceil(least n) + 1; only those are joined, and candidates are verified on the whole sets. Rows with
-    an empty set or a null key are in no pair."""
-    sets = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(F.col(tokens))).alias("set")).where("size(set) > 0 and id is not null")
-    sets = sets.withColumn("s", F.xxhash64("set"))
-    distinct = sets.groupBy("s", "set").agg(F.count("*").alias("members"))
-    held = distinct.select("s", F.size("set").alias("n"), F.posexplode("set").alias("_p", "t"))
+def similar_classes(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Classes of rows with equal token sets: (class, key) of every row, and (a, b, similarity) of all pairs of classes as similar as `least` or more.
+
+    Copies are compared once and not expanded. With a set's tokens ordered from rare to frequent, two sets that qualify
+    share one of the first n - ceil(least n) + 1; only those are joined, and candidates are verified on the whole sets.
+    Rows with an empty set or a null key are in no class."""
+    sets = rows.select(F.col(key).alias(key), F.array_sort(F.array_distinct(F.col(tokens))).alias("set")).where(F.col(key).isNotNull() & (F.size("set") > 0))
+    sets = sets.withColumn("class", F.xxhash64("set"))
+    distinct = sets.groupBy("class").agg(F.first("set").alias("set"))
+    held = distinct.select("class", F.size("set").alias("n"), F.explode("set").alias("t"))
     frequency = held.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = held.join(frequency, "t").groupBy("s").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
+    ranked = held.join(frequency, "t").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
     size = (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int")
-    prefix = ranked.select("s", "n", F.explode(F.slice("all", F.lit(1), size)).alias("x")).select("s", "n", F.col("x.t").alias("t"))
-    a, b = prefix.select(F.col("s").alias("sa"), F.col("n").alias("na"), "t"), prefix.select(F.col("s").alias("sb"), F.col("n").alias("nb"), "t")
-    close = (F.col("sa") < F.col("sb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    candidates = a.join(b, "t").where(close).select("sa", "sb").distinct()
-    whole = distinct.select("s", "set")
-    met = candidates.join(whole.withColumnsRenamed({"s": "sa", "set": "x"}), "sa").join(whole.withColumnsRenamed({"s": "sb", "set": "y"}), "sb")
+    prefix = ranked.select("class", "n", F.explode(F.slice("all", F.lit(1), size)).alias("x")).select("class", "n", F.col("x.t").alias("t"))
+    one, other = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), "t")
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
+    candidates = one.join(other, "t").where(close).select("a", "b").distinct()
+    met = candidates.join(distinct.withColumnsRenamed({"class": "a", "set": "x"}), "a").join(distinct.withColumnsRenamed({"class": "b", "set": "y"}), "b")
     both = F.size(F.array_intersect("x", "y"))
-    linked = met.select("sa", "sb", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least)
-    equal = distinct.where("members > 1").select(F.col("s").alias("sa"), F.col("s").alias("sb"), F.lit(1.0).alias("similarity"))
-    links = linked.unionByName(linked.select(F.col("sb").alias("sa"), F.col("sa").alias("sb"), "similarity")).unionByName(equal)
-    one, other = sets.select(F.col("s").alias("sa"), F.col("id").alias("i")), sets.select(F.col("s").alias("sb"), F.col("id").alias("j"))
-    return links.join(one, "sa").join(other, "sb").where("i < j").select("i", "j", "similarity")
+    linked = met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least)
+    return sets.select("class", key), linked
+
+
+def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> DataFrame:
+    """(i, j, similarity) of all pairs of rows, i < j, whose token sets are as similar as `least` or more; copies of one set are pairs too.
+
+    This is as long as there are pairs; `similar_classes` says the same without expanding copies."""
+    members, linked = similar_classes(rows, key, tokens, least)
+    equal = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"))
+    links = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(equal)
+    one, other = members.select(F.col("class").alias("a"), F.col(key).alias("i")), members.select(F.col("class").alias("b"), F.col(key).alias("j"))
+    return links.join(one, "a").join(other, "b").where("i < j").select("i", "j", "similarity")
