@@ -56,7 +56,7 @@ def search_hybrid_topk(spark, sf_dir):
 
 @query(
     "search_literal_topk",
-    f"""SELECT query_id, rank, leaf_id, file FROM (
+    f"""SELECT query_id, rank::INTEGER AS rank, leaf_id, file FROM (
       SELECT b.item_id AS query_id, d.doc_id AS leaf_id, d.source AS file, row_number() OVER (PARTITION BY b.item_id ORDER BY d.source, d.doc_id) AS rank
       FROM benchmark b JOIN documents d ON contains({_LOW_TEXT}, {_LOW_QUERY}) WHERE length(trim(b.text)) > 0) WHERE rank <= 25""",
 )
@@ -136,7 +136,7 @@ def telemetry_counts(spark, sf_dir):
 
 
 @query("recall_at_1", _OUTCOME + f""", truth AS (SELECT b.item_id AS query_id, max(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains({_LOW_TEXT}, {_LOW_QUERY}) GROUP BY 1)
-      SELECT count(*) AS queries, count_if(h.doc_id = t.doc_id) AS hits, round(avg(CASE WHEN h.doc_id = t.doc_id THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall FROM truth t LEFT JOIN hit h ON h.query_id = t.query_id AND h.rank = 1""")
+      SELECT count(*) AS queries, count_if(h.doc_id = t.doc_id)::BIGINT AS hits, round(avg(CASE WHEN h.doc_id = t.doc_id THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall FROM truth t LEFT JOIN hit h ON h.query_id = t.query_id AND h.rank = 1""")
 def recall_at_1(spark, sf_dir):
     found = S.search(leaves(spark, sf_dir), asked(spark, sf_dir), mode="literal", max_results=1 << 30, threshold=2.0)
     truth = found.groupBy("query_id").agg(F.max("leaf_id").alias("leaf_id"))
@@ -200,7 +200,7 @@ def index_bloat(spark, sf_dir):
     return audit.index_bloat(leaves(spark, sf_dir).withColumn("file", F.concat(F.lit("root-"), F.substring("file", 4, 99), F.lit("-notes.md"))))
 
 
-@query("finding_counts", f"SELECT count_if(level = 'error') AS errors, count_if(level = 'warn') AS warnings FROM (SELECT level FROM ({_GROWN}) UNION ALL SELECT 'warn' FROM (SELECT file FROM ({_BRANCHES}) GROUP BY 1 HAVING count(*) >= 9))")
+@query("finding_counts", f"SELECT count_if(level = 'error')::BIGINT AS errors, count_if(level = 'warn')::BIGINT AS warnings FROM (SELECT level FROM ({_GROWN}) UNION ALL SELECT 'warn' FROM (SELECT file FROM ({_BRANCHES}) GROUP BY 1 HAVING count(*) >= 9))")
 def finding_counts(spark, sf_dir):
     found = audit.branch_leaves(leaves(spark, sf_dir)).select("level").union(audit.root_branches(branches(spark, sf_dir)).select(F.lit("warn")))
     return audit.by_level(found)
@@ -218,7 +218,7 @@ def seed_keyword_scores(spark, sf_dir):
 
 
 @query("cluster_evidence_top3", f"""WITH c AS (SELECT source AS cluster, token, count(*) AS leaves FROM (SELECT source, unnest({_KEY.format('text')}) AS token FROM documents) GROUP BY ALL)
-      SELECT cluster, rank, token, leaves FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY leaves DESC, token) AS rank FROM c) WHERE rank <= 3""")
+      SELECT cluster, rank::INTEGER AS rank, token, leaves FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY leaves DESC, token) AS rank FROM c) WHERE rank <= 3""")
 def cluster_evidence_top3(spark, sf_dir):
     return cluster.evidence(leaves(spark, sf_dir).select(F.col("file").alias("cluster"), "text"))
 
