@@ -8,7 +8,7 @@ fingerprints at a time by carry-save bitwise counters, and a word is abandoned o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,6 +24,8 @@ from .components import components
 CHUNK = 4096
 #: Up to so many distinct fingerprints, r + 1 blocks are enough for small buckets.
 FEW = 1 << 24
+#: Edge-disjoint forests of closest pairs that every RICH-th table of buckets gives; the others give one.
+FORESTS, RICH = 6, 8
 #: So many row numbers (8 bytes each) are broadcast at most; more are joined by a shuffle.
 FEW_ROWS = 1 << 20
 #: Words of 64 distances that are computed at once.
@@ -64,25 +66,29 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
 
 
-def near(plane: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int, begin: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def near(plane: np.ndarray, query: np.ndarray, word: np.ndarray, valid: np.ndarray, radius: int, order: Sequence[int] = range(64)) -> tuple[np.ndarray, np.ndarray]:
     """For each pair of a query fingerprint and a word of 64 fingerprints, which of these are within the radius.
 
-    Returns the places of pairs that have any, and the bit masks. Planes are added two at a time from `begin` on."""
+    Returns the places of pairs that have any, and the bit masks. The planes of `order` are added, two at a time; in
+    those left out, as a bucket's own bits are, queries and lanes are known to be equal."""
     digits = radius.bit_length()
     at = np.arange(len(query))
     count = [np.zeros(len(query), np.uint64) for _ in range(digits)]
     over = ~valid[word]
-    for k in range(0, 64, 2):
-        p, r = (begin + k) % 64, (begin + k + 1) % 64
-        a = plane[p][word] ^ (np.uint64(0) - ((query >> np.uint64(p)) & np.uint64(1)))
-        b = plane[r][word] ^ (np.uint64(0) - ((query >> np.uint64(r)) & np.uint64(1)))
+
+    def differing(p: int) -> np.ndarray:
+        return plane[p][word] ^ (np.uint64(0) - ((query >> np.uint64(p)) & np.uint64(1)))
+
+    for k in range(0, len(order), 2):
+        a = differing(order[k])
+        b = differing(order[k + 1]) if k + 1 < len(order) else np.zeros_like(a)
         either = a ^ b
         carry = (a & b) | (either & count[0])
         count[0] ^= either
         for d in range(1, digits):
             carry, count[d] = carry & count[d], carry ^ count[d]
         over |= carry
-        if k % 8 == 6:
+        if k % 8 == 6 and k >= radius:
             live = over | _above(count, radius) != FULL
             if not live.all():
                 at, query, word, over = at[live], query[live], word[live], over[live]
@@ -127,7 +133,7 @@ class Forest:
                 self.root = up
 
 
-def met(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+def met(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, order: Sequence[int]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
     """Cells of (fingerprints, others or None); queries are compared with the others, or with themselves.
 
     Returns where each lane's fingerprint stands in the cells' arrays put one after another, own before others (padding:
@@ -159,7 +165,7 @@ def met(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: i
             pair = np.arange(low, min(low + AT_ONCE, int(begun[-1])))
             q = np.searchsorted(begun, pair, "right") - 1
             word = first[q] + pair - begun[q]
-            at, hits = near(plane, query[q], word, valid, radius, begin)
+            at, hits = near(plane, query[q], word, valid, radius, order)
             if len(at):
                 row, lane = np.nonzero(np.unpackbits(hits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
                 yield place[q[at][row]], word[at][row] * 64 + lane
@@ -167,11 +173,11 @@ def met(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: i
     return np.concatenate(lanes), batches()
 
 
-def compare(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, order: Sequence[int] = range(64)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect whatever is within the radius in a cell: a spanning forest."""
     every = np.concatenate([x for own, others in cells for x in ((own,) if others is None else (own, others))])
     forest = Forest(len(every))
-    lanes, batches = met(cells, radius, begin)
+    lanes, batches = met(cells, radius, order)
     for q, lane in batches:
         forest.link(q, lanes[lane])
     moved = np.flatnonzero(forest.root != np.arange(len(every)))
@@ -179,28 +185,38 @@ def compare(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, begi
     yield a[a != b], b[a != b]
 
 
-def closest(cells: list[tuple[np.ndarray, np.ndarray | None]], seconds: list[tuple[np.ndarray, np.ndarray | None]], radius: int, both: int, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (places) within the radius, and within `both` by the sum of both fingerprints' distances, by which everything that is so in a cell is connected, closest pairs first."""
+def closest(cells: list[tuple[np.ndarray, np.ndarray | None]], seconds: list[tuple[np.ndarray, np.ndarray | None]], radius: int, both: int, order: Sequence[int] = range(64), forests: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (place, place, forest) within the radius, and within `both` by the sum of both fingerprints' distances, closest pairs first.
+
+    Forest 0 connects all that is connected in a cell, and each further one what the pairs before leave connected. So as
+    long as fewer than `forests` pairs across a cut turn out wrong, one across it is left."""
     second = np.concatenate([x for own, others in seconds for x in ((own,) if others is None else (own, others))])
     first = np.concatenate([x for own, others in cells for x in ((own,) if others is None else (own, others))])
-    forest = Forest(len(second))
-    lanes, batches = met(cells, radius, begin)
+    woods = [Forest(len(second)) for _ in range(forests)]
+    lanes, batches = met(cells, radius, order)
     for a, lane in batches:
         b = lanes[lane]
         far = np.bitwise_count(second[a] ^ second[b]) + np.bitwise_count(first[a] ^ first[b])
         keep = (far <= both) & (a != b)
         a, b, far = a[keep], b[keep], far[keep]
         for d in np.unique(far):
-            x, y = a[far == d], b[far == d]
-            while True:
-                rx, ry = forest.root[x], forest.root[y]
-                new = rx != ry
-                if not new.any():
-                    break
-                x, y, rx, ry = x[new], y[new], rx[new], ry[new]
-                _, one = np.unique(np.maximum(rx, ry), return_index=True)  # one pair for each root that is joined to another
-                yield x[one], y[one]
-                forest.link(x[one], y[one])
+            x, y = np.minimum(a[far == d], b[far == d]), np.maximum(a[far == d], b[far == d])
+            x, y = np.unique(np.column_stack((x, y)), axis=0).T
+            for f, forest in enumerate(woods):
+                left = np.ones(len(x), bool)
+                while True:
+                    at = np.flatnonzero(left)
+                    rx, ry = forest.root[x[at]], forest.root[y[at]]
+                    at, rx, ry = at[rx != ry], rx[rx != ry], ry[rx != ry]
+                    if not len(at):
+                        break
+                    _, one = np.unique(np.maximum(rx, ry), return_index=True)  # one pair for each root that is joined to another
+                    one = at[one]
+                    left[one] = False
+                    forest.link(x[one], y[one])
+                if not left.all():
+                    yield x[~left], y[~left], np.full((~left).sum(), f)
+                x, y = x[left], y[left]
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -214,8 +230,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     masks = []
     for chosen in combinations(range(blocks), agree):
         m = sum(((1 << int(edge[c + 1] - edge[c])) - 1) << int(edge[c]) for c in chosen)
-        masks.append((_signed(m), int(edge[chosen[0] + 1])))
-    return _cells(fps, _tables(masks), ["fp"]).mapInArrow(_work(lambda cells, begin: compare([c[0] for c in cells], radius, begin), [b for _, b in masks]), "a long, b long")
+        masks.append((_signed(m), [b % 64 for b in range(int(edge[chosen[0]]), 64 + int(edge[chosen[0]])) if not m >> b % 64 & 1]))
+    return _cells(fps, _tables(masks), ["fp"]).mapInArrow(_work(lambda cells, t, order: compare([c[0] for c in cells], radius, order), [o for _, o in masks]), "a long, b long")
 
 
 def _signed(m: int) -> int:
@@ -241,13 +257,13 @@ def _cells(fps: DataFrame, tables: Column, columns: list[str]) -> DataFrame:
     return dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
 
 
-def _work(found, begins: list[int]):
-    """found(cells, begin) yields pairs of arrays; a cell is a list with (own, others or None) for each column."""
+def _work(found, orders: list[Sequence[int]], names: Sequence[str] = ("a", "b")):
+    """found(cells, table, order) yields arrays, the columns of `names`; a cell is a list with (own, others or None) for each column."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: int, cells: list) -> Iterator[pa.RecordBatch]:
-            for a, b in found(cells, begins[t]) if cells else ():
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], ["a", "b"])
+            for columns in found(cells, t, orders[t]) if cells else ():
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names)
 
         table, ready, weight = None, [], 0
         for name, (c, *columns) in _runs(batches):
@@ -315,12 +331,17 @@ def sketch(text: str | None, words: int) -> tuple[int, int]:
     return a, b
 
 
-def masks(n: int, far: int, recall: float, bucket: int = 256) -> list[tuple[int, int]]:
-    """Sets of sampled bits for n fingerprints: so many bits that a bucket of evenly spread fingerprints has about `bucket`, and so many sets that two fingerprints `far` bits apart share a bucket with probability `recall`."""
+def masks(n: int, far: int, recall: float, bucket: int = 2048) -> list[tuple[int, list[int]]]:
+    """Sets of sampled bits for n fingerprints, each with the other bits: so many bits that a bucket of evenly spread
+    fingerprints has about `bucket`, and so many sets that two fingerprints `far` bits apart share a bucket with
+    probability `recall`. A larger bucket means fewer sets, and so less to shuffle, but more to compare."""
     bits = min(24, max(8, math.ceil(math.log2(max(n, 1) / bucket))))
     share = math.comb(64 - far, bits) / math.comb(64, bits)
-    rng = np.random.default_rng(5)
-    return [(_signed(sum(1 << int(b) for b in rng.choice(64, bits, replace=False))), 0) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share)))]
+    rng, out = np.random.default_rng(5), []
+    for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - share))):
+        chosen = {int(b) for b in rng.choice(64, bits, replace=False)}
+        out.append((_signed(sum(1 << b for b in chosen)), [b for b in range(64) if b not in chosen]))
+    return out
 
 
 def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 18, both: int = 34, far: int = 14, recall: float = 0.98, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,19 +370,29 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     sides = distinct.select("fp", "second", "node", F.lit(0).alias("side")).union(distinct.select("second", "fp", "node", F.lit(1)))
     dealt = _cells(sides, F.when(F.col("side") == 0, _tables(sampled[:half])).otherwise(_tables(sampled[half:], half)), ["fp", "second", "node"])
 
-    def found(cells: list, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def found(cells: list, t: int, order: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nodes = np.concatenate([x for c in cells for x in c[2] if x is not None])
-        for a, b in closest([c[0] for c in cells], [c[1] for c in cells], radius, both, begin):
-            yield nodes[a], nodes[b]
-
-    pairs = dealt.mapInArrow(_work(found, [0] * len(sampled)), "a long, b long")
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
-    asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked
-    bags = cut(rows.join(asked, "_row", "left_semi").select("_row", text).mapInArrow(lambda b: _bags(b, text, words), "_row long, bag binary"))
-    sides = pairs.join(bags.withColumnsRenamed({"_row": "a", "bag": "x"}), "a").join(bags.withColumnsRenamed({"_row": "b", "bag": "y"}), "b")
-    linked = sides.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, least), "a long, b long")
-    roots = components(linked)
+        for a, b, forest in closest([c[0] for c in cells], [c[1] for c in cells], radius, both, order, FORESTS if t % RICH == 0 else 1):
+            yield nodes[a], nodes[b], forest
+
+    pairs = dealt.mapInArrow(_work(found, [o for _, o in sampled], ["a", "b", "forest"]), "a long, b long, forest long")
+    pairs = cut(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest")))
+    bagged = lambda b: _bags(b, text, words)
+
+    def verified(some: DataFrame) -> DataFrame:
+        asked = some.select(F.col("a").alias("_row")).union(some.select("b")).distinct()
+        asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked
+        bags = cut(rows.join(asked, "_row", "left_semi").select("_row", text).mapInArrow(bagged, "_row long, bag binary"))
+        sides = some.join(bags.withColumnsRenamed({"_row": "a", "bag": "x"}), "a").join(bags.withColumnsRenamed({"_row": "b", "bag": "y"}), "b")
+        return sides.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, least), "a long, b long")
+
+    roots = cut(components(verified(pairs.where("forest = 0").select("a", "b"))))
+    # the other pairs count only where the closest ones have not held
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    apart = pairs.where("forest > 0").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    apart = cut(apart.select("a", "b"))
+    if not apart.isEmpty():
+        roots = components(verified(apart).union(roots.select("node", "root")))
     group = distinct.join(roots, "node", "left").select("fp", "second", "first", F.coalesce("root", "node").alias("root"))
     firsts = group.groupBy("root").agg(F.min("first").alias("stays"))
     stay = group.join(firsts, "root").where("first = stays").select(F.col("first._row").alias("_row"))
