@@ -1,10 +1,11 @@
 """Language-model scoring from a log-frequency Bloom filter (operator 2).
 
 Counts of words and word pairs are gathered over all training rows as packed, sorted runs: each task sums what it has
-read and sends every range of hashes on as one binary row, and the task of a range merges the runs and writes its
-segment of the filter. An n-gram of count c is in the filter under the levels 1 to 1 + floor(log2 c), and a scorer
-probes level after level until one is missing. The filter has at most 2**most_bits bits, so what is broadcast is
-bounded; its error grows with the number of n-grams beyond that (README)."""
+read, a lot of rows at a time, and sends every range of hashes on as one binary row. The task of a range merges the
+runs, writes its segment of the filter, and probes it for every n-gram of every run, those of held-out rows included;
+the levels go back to the lots as a byte for each n-gram. An n-gram of count c is in the filter under the levels 1 to
+1 + floor(log2 c), and a probe tries level after level until one is missing. A segment has BITS bits for each (n-gram,
+level) in it, so its error is the same for any size of the corpus, and nobody holds more of the filter than a segment."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from .common import Words, cut, mixed, pairs_hash, remainders, slices
 END = np.uint64(0x5851F42D4C957F2D)
 #: Hash functions of a membership test.
 PROBES = 3
-#: Tokens that a task sums before it sends them on.
-HELD = 2_000_000
+#: Bits of the filter for each (n-gram, level) that is in it: 9 % of them are set, and fewer than one in a thousand absent ones found.
+BITS = 32
+#: Bytes of text whose tokens a task sums before it sends them on, as one lot.
+HELD = 12 << 20
 #: Added to every count of the smoothed word probabilities.
 ADD = 0.1
 #: Exact counts of so many words at most are broadcast; the others are joined.
@@ -61,66 +65,93 @@ def places(h: np.ndarray, level: int, k: int, ranges: int, segment: int) -> np.n
     return _range_of(h, ranges) * np.uint64(segment) + x % np.uint64(segment)
 
 
-def counts(docs: DataFrame, ranges: int, segment: int, held_out: int, folds: int, key: str, text: str) -> DataFrame:
-    """(range, bits, words, times): of every range of hashes its segment of the filter and the exact counts of its words."""
+def lots(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Slices of rows (key, text, row number) with about HELD bytes of text; a lot is named by its first row's number."""
+    parts, size = [], 0
+    for part in slices(batches, text):
+        parts.append(part)
+        size += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+        if size >= HELD:
+            yield parts[0].column(2)[0].as_py(), parts
+            parts, size = [], 0
+    if parts:
+        yield parts[0].column(2)[0].as_py(), parts
 
-    def run(order: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def counts(docs: DataFrame, ranges: int, held_out: int, folds: int, key: str, text: str) -> DataFrame:
+    """(lot, n, r, total, levels, words, times) of rows (key, text, row number).
+
+    For every lot, n and range of hashes the level of each of the lot's n-grams, in the order of their hashes, and the sum of
+    these; and with n = 0 for every range the exact counts of its words."""
+
+    def run(lot: int, order: int, keys: np.ndarray, others: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, n = _summed(keys)
+        others = np.setdiff1d(others, keys)  # asked for, but not learned
+        keys, n = np.concatenate((keys, others)), np.concatenate((n, np.zeros(len(others), np.int64)))
+        at = np.argsort(keys, kind="stable")
+        keys, n = keys[at], n[at].astype(np.int32)
         edges = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
-        n = n.astype(np.int64)
         some = np.flatnonzero(edges[1:] > edges[:-1])
         for part in np.array_split(some, max(1, len(some) // 64)):
             rows = [(keys[edges[r] : edges[r + 1]].tobytes(), n[edges[r] : edges[r + 1]].tobytes()) for r in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), order, np.int32)), pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["r", "n", "keys", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), lot)), pa.array(part.astype(np.int32)), pa.array(np.full(len(part), order, np.int32)), pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], ["lot", "r", "n", "keys", "times"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, size = [], [], 0
-        for part in slices(batches, text):
-            fold = remainders(part.column(0).to_pylist(), folds)
-            part = part.filter(pa.array([f is not None and f != held_out for f in fold]))
-            if not part.num_rows:
-                continue
-            t, _ = tokens(part.column(1))
-            one.append(t)
-            two.append(pairs_hash(before(t), t))
-            size += len(t)
-            if size >= HELD:
-                yield from run(1, np.concatenate(one))
-                yield from run(2, np.concatenate(two))
-                one, two, size = [], [], 0
-        if size:
-            yield from run(1, np.concatenate(one))
-            yield from run(2, np.concatenate(two))
+        for lot, parts in lots(batches, text):
+            one, two, learned = [], [], []
+            for part in parts:
+                fold = remainders(part.column(0).to_pylist(), folds)
+                t, begins = tokens(part.column(1))
+                one.append(t)
+                two.append(pairs_hash(before(t), t))
+                learned.append(np.repeat([f is not None and f != held_out for f in fold], np.diff(begins)))
+            learned = np.concatenate(learned)
+            for order, held in ((1, one), (2, two)):
+                held = np.concatenate(held)
+                yield from run(lot, order, held[learned], held[~learned])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, runs = None, {1: [], 2: []}
         for batch in batches:
-            for r, n, k, c in zip(*(batch.column(i) for i in range(4))):
+            for lot, r, n, k, c in zip(*(batch.column(i) for i in range(5))):
                 if here is not None and r.as_py() != here:
-                    yield written(here, runs)
+                    yield from written(here, runs)
                     runs = {1: [], 2: []}
                 here = r.as_py()
-                runs[n.as_py()].append((k.as_py(), c.as_py()))
+                runs[n.as_py()].append((lot.as_py(), np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), np.int32)))
         if here is not None:
-            yield written(here, runs)
-
-    def written(r: int, runs: dict) -> pa.RecordBatch:
-        bits, words = np.zeros(segment, bool), (b"", b"")
-        for n, parts in runs.items():
-            keys, times = _summed(np.frombuffer(b"".join(a for a, _ in parts), np.uint64), np.frombuffer(b"".join(b for _, b in parts), np.int64))
-            if n == 1:
-                words = keys.tobytes(), times.tobytes()
-            level, left, top = 1, keys, np.frexp(times.astype(float))[1]
-            while len(left):
-                for k in range(PROBES):
-                    bits[places(left, level, k, ranges, segment) - np.uint64(r * segment)] = True
-                level += 1
-                more = top >= level
-                left, top = left[more], top[more]
-        return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in (np.packbits(bits, bitorder="little").tobytes(), *words))], ["r", "bits", "words", "times"])
-
-    runs = docs.select(key, text).mapInArrow(gather, "r int, n int, keys binary, times binary")
-    return runs.repartition("r").sortWithinPartitions("r").mapInArrow(merge, "r int, bits binary, words binary, times binary")
+            yield from written(here, runs)
+
+    def written(r: int, runs: dict) -> Iterator[pa.RecordBatch]:
+        summed = {n: _summed(np.concatenate([k for _, k, _ in parts]), np.concatenate([c for _, _, c in parts]).astype(np.int64)) for n, parts in runs.items() if parts}
+        bits = segment(list(summed.values()))
+        words = [x[summed[1][1] > 0] for x in summed[1]] if 1 in summed else [np.zeros(0, np.int64)] * 2
+        rows = [(None, 0, r, None, None, *(x.tobytes() for x in words))]
+        for n, (keys, _) in summed.items():
+            level = probe(bits, keys, 1, 8 * len(bits)).astype(np.uint8)
+            rows += [(lot, n, r, int(own.sum(dtype=np.uint64).view(np.int64)), level[np.searchsorted(keys, own)].tobytes(), None, None) for lot, own, _ in runs[n]]
+        for low in range(0, len(rows), 64):
+            columns = zip(*rows[low : low + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["lot", "n", "r", "total", "levels", "words", "times"])
+
+    runs = docs.mapInArrow(gather, "lot long, r int, n int, keys binary, times binary")
+    return runs.repartition("r").sortWithinPartitions("r").mapInArrow(merge, "lot long, n int, r int, total long, levels binary, words binary, times binary")
+
+
+def segment(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The filter of n-grams (hashes, counts), packed; it has as many bits as it needs for them. Counts of 0 are left out."""
+    tops = [np.frexp(times.astype(float))[1] for _, times in grams]
+    size = max(64, -(-BITS * sum(int(top.sum()) for top in tops) // 8) * 8)
+    bits = np.zeros(size, bool)
+    for (left, _), top in zip(grams, tops):
+        level = 1
+        while len(left):
+            more = top >= level
+            left, top = left[more], top[more]
+            for k in range(PROBES):
+                bits[places(left, level, k, 1, size)] = True
+            level += 1
+    return np.packbits(bits, bitorder="little")
 
 
 def probe(bits: np.ndarray, h: np.ndarray, ranges: int, segment: int) -> np.ndarray:
@@ -136,28 +167,25 @@ def probe(bits: np.ndarray, h: np.ndarray, ranges: int, segment: int) -> np.ndar
     return level
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: int = 0, folds: int = 10, most_bits: int = 29, weight: float = 20.0) -> DataFrame:
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: int = 0, folds: int = 10, weight: float = 20.0) -> DataFrame:
     """One row for every row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score takes exact counts of words; score is the text's log10 probability under word pairs, by counts probed
     from the filter: (c(vw) + weight p(w)) / (c(v) + weight), where p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). A null or
     empty text is its end alone; a row with a null key is not held out (held_out is null) and not learned from.
-    Without any training tokens all counts are 0."""
+    Without any training tokens all counts are 0. docs is read twice and must give its rows in the same order, as files
+    do; else the levels of a lot don't fit it, which raises an error."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = docs.select(key, text, F.monotonically_increasing_id().alias("row"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segment = max(64, (1 << min(most_bits, max(16, int(size).bit_length()))) // ranges // 8 * 8)
-    gathered = cut(counts(docs, ranges, segment, held_out, folds, key, text))
-    bits = np.zeros(ranges * segment // 8, np.uint8)
-    for row in gathered.select("r", "bits").toArrow().to_pylist():
-        bits[row["r"] * segment // 8 : (row["r"] + 1) * segment // 8] = np.frombuffer(row["bits"], np.uint8)
+    gathered = cut(counts(rows, ranges, held_out, folds, key, text))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column(0), batch.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64)), pa.array(np.frombuffer(c.as_py(), np.int64))], ["h", "c"])
 
-    known = gathered.select("words", "times").mapInArrow(unpack, "h long, c long")
+    known = gathered.where("n = 0").select("words", "times").mapInArrow(unpack, "h long, c long")
     step = known.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("s"), F.min("c").alias("least")).collect()
     total, vocabulary = sum(r["s"] for r in step), sum(r["n"] for r in step)
     least, held = None, 0
@@ -167,38 +195,57 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: i
         held, least = held + r["n"], r["least"]
     often = (known.where(F.col("c") >= least) if least else known.limit(0)).toArrow()
     order = np.argsort(h := often.column("h").to_numpy().view(np.uint64))
-    share = spark.sparkContext.broadcast((bits, h[order], often.column("c").to_numpy()[order]))
-    del bits
+    share = spark.sparkContext.broadcast((h[order], often.column("c").to_numpy()[order]))
     below = total + ADD * (vocabulary + 1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, frequent, times = share.value
-        for part in slices(batches, text):
-            t, begins = tokens(part.column(1))
-            unique, back = np.unique(t, return_inverse=True)
-            word_level = probe(bits, unique, ranges, segment)
-            c = np.zeros(len(unique))
-            at = np.minimum(np.searchsorted(frequent, unique), max(len(frequent) - 1, 0))
-            found = frequent[at] == unique if len(frequent) else np.zeros(len(unique), bool)
-            c[found] = times[at[found]]
-            exact = np.log10((c + ADD) / below)
-            own = MEAN[word_level]
-            p = (own + ADD) / below
-            pair = MEAN[probe(bits, pairs_hash(before(t), t), ranges, segment)]
-            v = np.concatenate(([np.searchsorted(unique, END)], back[:-1]))
-            pair = np.minimum(pair, own[v])
-            model = np.log10(np.minimum((pair + weight * p[back]) / (own[v] + weight), 1.0))
-            rare = ~found[back]
-            base = np.add.reduceat(np.where(rare, 0.0, exact[back]), begins[:-1])
-            n_rare = np.add.reduceat(rare.astype(np.int64), begins[:-1])
-            n = np.diff(begins)
-            fold = remainders(part.column(0).to_pylist(), folds)
-            rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))).astype(np.int32)), pa.array(t[rare].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([None if f is None else f == held_out for f in fold], pa.bool_()), pa.array(n), pa.array(n - n_rare), pa.array(base), pa.array(np.add.reduceat(model, begins[:-1])), rest], names)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot, parts in lots(batches, text):
+            for part in parts:
+                with pa.BufferOutputStream() as sink:
+                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([lot]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lot", "part"])
+
+    def work(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        frequent, times = share.value
+        parts = [b for x in packed.column("part") for b in pa.ipc.open_stream(x.as_buffer())]
+        met = [tokens(part.column(1)) for part in parts]
+        one = [np.unique(t, return_inverse=True) for t, _ in met]
+        two = [np.unique(pairs_hash(before(t), t), return_inverse=True) for t, _ in met]
+        answers = answers.sort_by([("n", "ascending"), ("r", "ascending")])
+        unique, level = {}, {}
+        for n, some in ((1, one), (2, two)):
+            own = answers.filter(pc.equal(answers.column("n"), n))
+            unique[n], level[n] = np.unique(np.concatenate([u for u, _ in some])), np.frombuffer(b"".join(own.column("levels").to_pylist()), np.uint8)
+            if len(unique[n]) != len(level[n]) or unique[n].sum(dtype=np.uint64) != own.column("total").to_numpy().view(np.uint64).sum(dtype=np.uint64):
+                raise RuntimeError("docs gave its rows in another order when it was read again")
+        of = lambda n, u: MEAN[level[n][np.searchsorted(unique[n], u)]]
+        out = [scored(part, *m, *a, of(1, a[0]), of(2, b[0])[b[1]], frequent, times) for part, m, a, b in zip(parts, met, one, two)]
+        return pa.Table.from_batches(out)
+
+    def scored(part: pa.RecordBatch, t: np.ndarray, begins: np.ndarray, unique: np.ndarray, back: np.ndarray, own: np.ndarray, pair: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        c = np.zeros(len(unique))
+        at = np.minimum(np.searchsorted(frequent, unique), max(len(frequent) - 1, 0))
+        found = frequent[at] == unique if len(frequent) else np.zeros(len(unique), bool)
+        c[found] = times[at[found]]
+        exact = np.log10((c + ADD) / below)
+        p = (own + ADD) / below
+        v = np.concatenate(([np.searchsorted(unique, END)], back[:-1]))
+        pair = np.minimum(pair, own[v])
+        model = np.log10(np.minimum((pair + weight * p[back]) / (own[v] + weight), 1.0))
+        rare = ~found[back]
+        base = np.add.reduceat(np.where(rare, 0.0, exact[back]), begins[:-1])
+        n_rare = np.add.reduceat(rare.astype(np.int64), begins[:-1])
+        n = np.diff(begins)
+        fold = remainders(part.column(0).to_pylist(), folds)
+        rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))).astype(np.int32)), pa.array(t[rare].view(np.int64)))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([None if f is None else f == held_out for f in fold], pa.bool_()), pa.array(n), pa.array(n - n_rare), pa.array(base), pa.array(np.add.reduceat(model, begins[:-1])), rest], names)
 
     names = [key, "held_out", "n_tokens", "sure", "base", "score", "rare"]
     kind = docs.schema[key].dataType.simpleString()
-    first = docs.select(key, text).mapInArrow(work, f"`{key}` {kind}, held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>")
+    packed = rows.mapInArrow(pack, "lot long, part binary").groupBy("lot")
+    answers = gathered.where("n > 0").select("lot", "n", "r", "total", "levels").groupBy("lot")
+    first = packed.cogroup(answers).applyInArrow(work, f"`{key}` {kind}, held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>")
     first = cut(first.withColumn("row", F.monotonically_increasing_id()))
     asked = first.select("row", F.explode("rare").alias("w"))
     less = known.where(F.col("c") < least) if least else known

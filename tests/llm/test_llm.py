@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -185,6 +186,28 @@ def test_language_model_without_training(spark):
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (None, 1, 0, 0) and r.base_score == pytest.approx(0.0)
 
 
+def test_filter_grows_with_what_is_in_it(spark, monkeypatch):
+    """Two-letter words at random: more pairs for the bytes than the filter had room for. Lots are small, so there are many."""
+    monkeypatch.setattr(logbloom, "HELD", 3000)
+    rng = np.random.default_rng(3)
+    words = np.array([a + b for a in string.ascii_lowercase for b in string.ascii_lowercase])
+    rows = [" ".join(rng.choice(words, 400)) for _ in range(108)]
+    assert sum(map(len, rows)) < 1 << 17
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(rows))]
+    texts = [[None, *r.split(), None] for r in rows]
+    one = Counter(w for t, h in zip(texts, held) if not h for w in t[1:])
+    two = Counter(p for t, h in zip(texts, held) if not h for p in zip(t, t[1:]))
+    mean = lambda c: logbloom.MEAN[int(c).bit_length()]
+    below = one.total() + 0.1 * (len(one) + 1)
+    off = []
+    for r in logbloom.scores(table(spark, rows)).collect():
+        if held[r.doc_id]:
+            t = texts[r.doc_id]
+            exact = sum(math.log10((min(mean(two[v, w]), mean(one[v])) + 20 * (mean(one[w]) + 0.1) / below) / (mean(one[v]) + 20)) for v, w in zip(t, t[1:]))
+            off.append((r.score - exact) / 400)
+    assert len(off) > 5 and abs(np.mean(off)) < 0.15
+
+
 def test_filter_has_no_false_negatives_and_few_errors():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 1 << 64, 4000, dtype=np.uint64))
