@@ -186,37 +186,50 @@ def compare(cells: list[tuple[np.ndarray, np.ndarray | None]], radius: int, orde
 
 
 def closest(cells: list[tuple[np.ndarray, np.ndarray | None]], seconds: list[tuple[np.ndarray, np.ndarray | None]], radius: int, both: int, order: Sequence[int] = range(64), forests: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (place, place, forest) within the radius, and within `both` by the sum of both fingerprints' distances, closest pairs first.
+    """Pairs (place, place, forest) within the radius, and within `both` by the sum of both fingerprints' distances, closest pairs first in every forest's choice.
 
     Forest 0 connects all that is connected in a cell, and each further one what the pairs before leave connected. So as
-    long as fewer than `forests` pairs across a cut turn out wrong, one across it is left."""
-    second = np.concatenate([x for own, others in seconds for x in ((own,) if others is None else (own, others))])
-    first = np.concatenate([x for own, others in cells for x in ((own,) if others is None else (own, others))])
-    woods = [Forest(len(second)) for _ in range(forests)]
+    long as fewer than `forests` pairs across a cut turn out wrong, one across it is left. A pair that no forest of some
+    batches takes is in none of more batches, so what the forests hold is merged with one batch after another."""
+    first, second = _places(cells), _places(seconds)
+    held = [np.zeros(0, np.int64)] * 4
     lanes, batches = met(cells, radius, order)
     for a, lane in batches:
         b = lanes[lane]
         far = np.bitwise_count(second[a] ^ second[b]) + np.bitwise_count(first[a] ^ first[b])
         keep = (far <= both) & (a != b)
-        a, b, far = a[keep], b[keep], far[keep]
-        for d in np.unique(far):
-            x, y = np.minimum(a[far == d], b[far == d]), np.maximum(a[far == d], b[far == d])
-            x, y = np.unique(np.column_stack((x, y)), axis=0).T
-            for f, forest in enumerate(woods):
-                left = np.ones(len(x), bool)
-                while True:
-                    at = np.flatnonzero(left)
-                    rx, ry = forest.root[x[at]], forest.root[y[at]]
-                    at, rx, ry = at[rx != ry], rx[rx != ry], ry[rx != ry]
-                    if not len(at):
-                        break
-                    _, one = np.unique(np.maximum(rx, ry), return_index=True)  # one pair for each root that is joined to another
-                    one = at[one]
-                    left[one] = False
-                    forest.link(x[one], y[one])
-                if not left.all():
-                    yield x[~left], y[~left], np.full((~left).sum(), f)
-                x, y = x[left], y[left]
+        new = np.minimum(a[keep], b[keep]), np.maximum(a[keep], b[keep]), far[keep].astype(np.int64)
+        held = _forests(*np.unique(np.column_stack([np.concatenate(x) for x in zip(held, new)]), axis=0).T, len(first), forests)
+    x, y, _, f = held
+    yield x, y, f
+
+
+def _places(cells: list[tuple[np.ndarray, np.ndarray | None]]) -> np.ndarray:
+    """A column of the cells by place: their arrays one after another, own before others."""
+    return np.concatenate([x for own, others in cells for x in ((own,) if others is None else (own, others))])
+
+
+def _forests(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int, forests: int) -> list[np.ndarray]:
+    """(a, b, far, forest) of the pairs over 0..n-1 that edge-disjoint forests take, the closest first."""
+    woods, out = [Forest(n) for _ in range(forests)], [(a[:0], a[:0], far[:0], a[:0])]
+    for d in np.unique(far):
+        x, y = a[far == d], b[far == d]
+        for f, forest in enumerate(woods):
+            left = np.ones(len(x), bool)
+            while True:
+                at = np.flatnonzero(left)
+                rx, ry = forest.root[x[at]], forest.root[y[at]]
+                at, rx, ry = at[rx != ry], rx[rx != ry], ry[rx != ry]
+                if not len(at):
+                    break
+                _, one = np.unique(np.maximum(rx, ry), return_index=True)  # one pair for each root that is joined to another
+                one = at[one]
+                left[one] = False
+                forest.link(x[one], y[one])
+            took = ~left
+            out.append((x[took], y[took], np.full(took.sum(), d), np.full(took.sum(), f)))
+            x, y = x[left], y[left]
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:

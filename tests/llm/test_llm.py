@@ -137,6 +137,21 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_closest_pairs_of_a_large_cell_come_first():
+    """More than one batch of comparisons: for every distance, forest 0 connects what all closer pairs connect."""
+    rng = np.random.default_rng(4)
+    n = 2304
+    fps, others = (np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (8, n)).astype(np.uint64), axis=0) for _ in range(2))
+    far = np.bitwise_count(fps[:, None] ^ fps) + np.bitwise_count(others[:, None] ^ others)
+    near = np.bitwise_count(fps[:, None] ^ fps) <= 18
+    a, b, f = (np.concatenate(x) for x in zip(*simhash.closest([(fps, None)], [(others, None)], 18, 34, forests=2)))
+    for d in range(4, 35, 3):
+        whole = simhash.Forest(n)
+        whole.link(*np.nonzero(near & (far <= d)))
+        assert ((f == 0) & (far[a, b] <= d)).sum() == n - len(np.unique(whole.root)), d
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
+
+
 def test_deduplication_keeps_one_of_each_group(spark, texts):
     got = sorted(r.doc_id for r in simhash.deduplicate(clashing(table(spark, texts)).drop("_row"), recall=0.9999).collect())
 
