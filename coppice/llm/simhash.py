@@ -28,6 +28,8 @@ FEW = 1 << 24
 FORESTS, RICH = 6, 8
 #: So many row numbers (8 bytes each) are broadcast at most; more are joined by a shuffle.
 FEW_ROWS = 1 << 20
+#: Nodes whose remaining pairs are verified together.
+LOT = 1024
 #: Words of 64 distances that are computed at once.
 AT_ONCE = 1 << 16
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -232,6 +234,23 @@ def _forests(a: np.ndarray, b: np.ndarray, far: np.ndarray, n: int, forests: int
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def across(cells: list[tuple[np.ndarray, np.ndarray | None]], seconds: list, roots: list, radius: int, both: int, order: Sequence[int], before: list[tuple[bool, np.uint64]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (place, place) of two roots that are within the radius and within `both`, but for those that a bucket
+    before has: (whether it is of the second fingerprints, its mask)."""
+    first, second, root = _places(cells), _places(seconds), _places(roots)
+    lanes, batches = met(cells, radius, order)
+    for a, lane in batches:
+        b = lanes[lane]
+        keep = (a < b) & (root[a] != root[b])
+        a, b = a[keep], b[keep]
+        x, y = first[a] ^ first[b], second[a] ^ second[b]
+        keep = np.bitwise_count(x) + np.bitwise_count(y) <= both
+        other = np.bitwise_count(y) <= radius
+        for of_second, mask in before:
+            keep &= ~(other & (y & mask == 0)) if of_second else x & mask != 0
+        yield a[keep], b[keep]
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp, no repeats) that connect all that are within the radius.
 
@@ -364,8 +383,8 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     `least` or more; a group is what such links reach. Candidates are found by SimHash: each text has two fingerprints,
     and is dealt to buckets of sampled bits of either, so many that two texts `far` bits apart in both share one with
     probability `recall` (at a similarity of 0.8 they are about 10 apart). Within a bucket, fingerprints are compared
-    bit-sliced up to the radius, and by the sum of both distances; the closest pairs that connect a bucket are verified
-    exactly. Texts with equal fingerprints are taken for copies. Of empty or null
+    bit-sliced up to the radius, and by the sum of both distances. The closest pairs that connect a bucket are verified
+    exactly; then all other pairs of a bucket that are not yet in one group. Texts with equal fingerprints are taken for copies. Of empty or null
     texts one stays, of repeated rows too. All columns are kept."""
     spark = docs.sparkSession
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
@@ -380,22 +399,23 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     distinct = cut(marked.groupBy("fp", "second").agg(F.min(F.struct(key, "_row")).alias("first")).withColumn("node", F.col("first._row")))
     sampled = masks(distinct.count(), far, recall)
     half = -(-len(sampled) // 2)
-    sides = distinct.select("fp", "second", "node", F.lit(0).alias("side")).union(distinct.select("second", "fp", "node", F.lit(1)))
-    dealt = _cells(sides, F.when(F.col("side") == 0, _tables(sampled[:half])).otherwise(_tables(sampled[half:], half)), ["fp", "second", "node"])
+
+    def deal(nodes: DataFrame, *columns: str) -> DataFrame:
+        sides = nodes.select("fp", "second", *columns, F.lit(0).alias("side")).union(nodes.select("second", "fp", *columns, F.lit(1)))
+        return _cells(sides, F.when(F.col("side") == 0, _tables(sampled[:half])).otherwise(_tables(sampled[half:], half)), ["fp", "second", *columns])
 
     def found(cells: list, t: int, order: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nodes = np.concatenate([x for c in cells for x in c[2] if x is not None])
         for a, b, forest in closest([c[0] for c in cells], [c[1] for c in cells], radius, both, order, FORESTS if t % RICH == 0 else 1):
             yield nodes[a], nodes[b], forest
 
-    pairs = dealt.mapInArrow(_work(found, [o for _, o in sampled], ["a", "b", "forest"]), "a long, b long, forest long")
+    pairs = deal(distinct, "node").mapInArrow(_work(found, [o for _, o in sampled], ["a", "b", "forest"]), "a long, b long, forest long")
     pairs = cut(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest")))
     bagged = lambda b: _bags(b, text, words)
 
     def verified(some: DataFrame) -> DataFrame:
         asked = some.select(F.col("a").alias("_row")).union(some.select("b")).distinct()
-        asked = F.broadcast(asked) if asked.count() <= FEW_ROWS else asked
-        bags = cut(rows.join(asked, "_row", "left_semi").select("_row", text).mapInArrow(bagged, "_row long, bag binary"))
+        bags = cut(rows.join(_few(asked), "_row", "left_semi").select("_row", text).mapInArrow(bagged, "_row long, bag binary"))
         sides = some.join(bags.withColumnsRenamed({"_row": "a", "bag": "x"}), "a").join(bags.withColumnsRenamed({"_row": "b", "bag": "y"}), "b")
         return sides.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, least), "a long, b long")
 
@@ -405,7 +425,24 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     apart = pairs.where("forest > 0").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
     apart = cut(apart.select("a", "b"))
     if not apart.isEmpty():
-        roots = components(verified(apart).union(roots.select("node", "root")))
+        roots = cut(components(verified(apart).union(roots.select("node", "root"))))
+    # what the forests left out: every pair of a bucket that is still of two groups
+    bits = [np.uint64(m & 0xFFFFFFFFFFFFFFFF) for m, _ in sampled]
+
+    def unmet(cells: list, t: int, order: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nodes = _places([c[2] for c in cells])
+        before = [((i < half) != (t < half), bits[i]) for i in range(t)]
+        for a, b in across([c[0] for c in cells], [c[1] for c in cells], [c[3] for c in cells], radius, both, order, before):
+            yield nodes[a], nodes[b]
+
+    grouped = distinct.join(roots, "node", "left").select("fp", "second", "node", F.coalesce("root", "node").alias("root"))
+    packed = _lots(_work(unmet, [o for _, o in sampled]))
+    rest = cut(deal(grouped, "node", "root").mapInArrow(packed, "a long, others binary, lot int").withColumn("lot", F.struct("lot", F.spark_partition_id().alias("of"))))
+    if not rest.isEmpty():
+        bags = rows.join(_few(rest.select(F.col("a").alias("_row")).distinct()), "_row", "left_semi").select("_row", text).mapInArrow(bagged, "_row long, bag binary")
+        full = rest.join(bags.withColumnRenamed("_row", "a"), "a").select("lot", "a", "others", "bag")
+        more = full.groupBy("lot").applyInArrow(lambda x: _linked(x, least), "a long, b long")
+        roots = components(more.union(roots.select("node", "root")))
     group = distinct.join(roots, "node", "left").select("fp", "second", "first", F.coalesce("root", "node").alias("root"))
     firsts = group.groupBy("root").agg(F.min("first").alias("stays"))
     stay = group.join(firsts, "root").where("first = stays").select(F.col("first._row").alias("_row"))
@@ -413,6 +450,60 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     return rows.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, "_row", "left_anti").drop("_row")
 
 
+def _few(asked: DataFrame) -> DataFrame:
+    return F.broadcast(asked) if asked.count() <= FEW_ROWS else asked
+
+
+def _lots(work):
+    """The pairs (a, b) that work yields, packed: (a, others, lot), a row for each node of a lot, with the b of its pairs.
+
+    A lot has the pairs of LOT nodes at most, so rows grow with the nodes of a bucket, not with its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot = 0
+        for pairs in work(batches):
+            a, b = (pairs.column(i).to_numpy() for i in (0, 1))
+            at = np.argsort(a, kind="stable")
+            a, b = a[at], b[at]
+            heads, first = np.unique(a, return_index=True)
+            stops = np.append(first, len(a))
+            for low in range(0, len(heads), LOT):
+                own = heads[low : low + LOT]
+                held = [b[x:y].tobytes() for x, y in zip(stops[low : low + LOT], stops[low + 1 : low + LOT + 1])]
+                only = np.setdiff1d(b[stops[low] : stops[low + len(own)]], own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((own, only))), pa.array(held + [b""] * len(only), pa.binary()), pa.array(np.full(len(own) + len(only), lot, np.int32))], ["a", "others", "lot"])
+                lot += 1
+
+    return run
+
+
+def _linked(lot: pa.Table, least: float) -> pa.Table:
+    """Edges (a, b) that connect what the verified pairs of a lot connect; pairs that are connected already are not verified."""
+    nodes = lot.column("a").to_numpy()
+    order = np.argsort(nodes)
+    nodes = nodes[order]
+    bags = [np.frombuffer(x.as_buffer(), np.uint64) for x in lot.column("bag").take(pa.array(order))]
+    others = [np.frombuffer(x.as_buffer(), np.int64) for x in lot.column("others").take(pa.array(order))]
+    sizes, forest, found = np.array([len(x) for x in bags]), Forest(len(nodes)), []
+    for a, b in enumerate(others):
+        b = np.searchsorted(nodes, b)
+        b = b[forest.root[b] != forest.root[a]]
+        b = b[np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b])]
+        if not len(b):
+            continue
+        if sizes[a]:
+            words = np.concatenate([bags[i] for i in b])
+            at = np.minimum(np.searchsorted(bags[a], words), sizes[a] - 1)
+            both = np.add.reduceat(bags[a][at] == words, np.cumsum(sizes[b]) - sizes[b], dtype=np.int64)
+        else:
+            both = np.zeros(len(b), np.int64)
+        b = b[both >= least * (sizes[a] + sizes[b] - both)]
+        forest.link(np.full(len(b), a), b)
+        found += [(nodes[a], nodes[x]) for x in b]
+    x, y = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.table({"a": pa.array(x), "b": pa.array(y)})
+
+
 def _bags(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, text):
         w = Words(part.column(1))

@@ -137,6 +137,32 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_no_pair_of_a_bucket_stays_unverified(spark, monkeypatch):
+    """Texts just around the threshold, with the pipeline's parameters: what brute force over the same candidates would join, is joined."""
+    monkeypatch.setattr(simhash, "LOT", 8)
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(100)]
+    texts = []
+    for _ in range(150):
+        t = list(base)
+        for i in rng.sample(range(100), rng.choice((2, 3, 4))):
+            t[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    stay = {r.doc_id for r in simhash.deduplicate(table(spark, texts)).collect()}
+    bags = [{tuple(w[i : i + 5]) for i in range(96)} for w in map(str.split, texts)]
+    prints = [simhash.sketch(t, 5) for t in texts]
+    masks = [m & (1 << 64) - 1 for m, _ in simhash.masks(len(texts), 14, 0.98)]
+    half = -(-len(masks) // 2)
+    group = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        x, y = (a ^ b for a, b in zip(prints[i], prints[j]))
+        met = any((x if t < half else y) & m == 0 and (x if t < half else y).bit_count() <= 18 for t, m in enumerate(masks)) and x.bit_count() + y.bit_count() <= 34
+        if met and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j]):
+            a, b = sorted((group[i], group[j]))
+            group = [a if g == b else g for g in group]
+    assert 1 < len(set(group)) < len(texts) and stay == set(group)
+
+
 def test_closest_pairs_of_a_large_cell_come_first():
     """More than one batch of comparisons: for every distance, forest 0 connects what all closer pairs connect."""
     rng = np.random.default_rng(4)
