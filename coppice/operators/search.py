@@ -33,8 +33,8 @@ def java_pattern(query: str, case_sensitive: bool = False) -> str:
 
 def _exact(leaves: DataFrame, queries: DataFrame, mode: str, case_sensitive: bool) -> DataFrame:
     """(query_id, leaf_id, preferred) of exact matches. Every query is held against every text: a stated, broadcast block of queries, no shuffle of leaves."""
-    asked = F.broadcast(queries.select("query_id", "query", "pattern", "files", T.fold(F.col("query"), case_sensitive).alias("needle")))
-    leaves = leaves.select("leaf_id", "file", "text", T.fold(F.col("text"), case_sensitive).alias("folded"))
+    asked = F.broadcast(queries.select("query_id", "query", "pattern", "files", T.fold(T.compatible(F.col("query")), case_sensitive).alias("needle")))
+    leaves = leaves.select("leaf_id", "file", "text", T.fold(T.compatible(F.col("text")), case_sensitive).alias("folded"))
     literal = F.col("folded").contains(F.col("needle"))
     regex = F.expr("text rlike pattern")
     is_regex = F.col("query").rlike(META.pattern)
@@ -89,8 +89,8 @@ def similar_tokens(words: DataFrame, asked: DataFrame, floor: float = FLOOR) ->
 
 def _fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float, case_sensitive: bool) -> DataFrame:
     """(query_id, leaf_id, score): the mean over a query's tokens of each one's best similarity in the leaf; leaves that any token misses are left out."""
-    held = leaves.select("leaf_id", F.explode(F.array_distinct(T.tokens(F.col("text"), case_sensitive))).alias("token"))
-    asked = queries.select("query_id", F.explode(T.tokens(F.col("query"), case_sensitive)).alias("q")).groupBy("query_id", "q").agg(F.count("*").alias("times"))
+    held = leaves.select("leaf_id", F.explode(F.array_distinct(T.tokens(T.compatible(F.col("text")), case_sensitive))).alias("token"))
+    asked = queries.select("query_id", F.explode(T.tokens(T.compatible(F.col("query")), case_sensitive)).alias("q")).groupBy("query_id", "q").agg(F.count("*").alias("times"))
     sizes = asked.groupBy("query_id").agg(F.sum("times").alias("n"), F.count("*").alias("kinds"))
     found = similar_tokens(held.select("token").distinct(), asked.select("q").distinct())
     best = held.join(found, "token").groupBy("leaf_id", "q").agg(F.max("similarity").alias("best"))

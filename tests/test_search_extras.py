@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from coppice.operators import deadline
+from coppice.operators import deadline, search
 from coppice.plans import recall
 
 
@@ -33,3 +33,14 @@ def test_writers_keep_what_they_are_given(tmp_path):
         id_ = tree.append(file, branches[i % 4], text)["id"]
         leaf = tree.state().leaves[id_]
         assert (leaf["text"], leaf["file"], leaf["branch"]) == (text, file, branches[i % 4])
+
+
+def test_search_folds_by_nfkc(spark):
+    """Decomposed accents, full-width letters, a ligature and a no-break space, in leaves and in queries."""
+    texts = ["un cafe\u0301 noir", "ＳＱＬＩＴＥ store", "the o\ufb03ce door", "red\u00a0apple pie"]
+    leaves = spark.createDataFrame([(i, "f", "b", i, t) for i, t in enumerate(texts)], "leaf_id int, file string, branch string, line int, text string")
+    queries = spark.createDataFrame(list(enumerate(["caf\u00e9 noir", "sqlıte store", "ｏｆｆｉｃｅ door", "red apple"])), "query_id int, query string")
+    got = search.search(leaves, queries, mode="literal", threshold=2.0).collect()
+    assert sorted((r.query_id, r.leaf_id) for r in got) == [(i, i) for i in range(4)]
+    fuzzy = search._fuzzy(leaves, queries, 0.99, False).collect()
+    assert sorted((r.query_id, r.leaf_id) for r in fuzzy) == [(i, i) for i in range(4)]
