@@ -9,14 +9,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a Python operator takes up at a time.
 SLICE_BYTES = 2 << 20
-#: Of a word's polynomial hash; any odd number serves.
+#: Added while hashing; any odd number serves.
 BASE = 0x9E3779B97F4A7C15
+#: Words of more bytes are hashed by XXH3, the others eight bytes at a time.
+LONG = 64
+#: Rows of a label table that are broadcast whole at most, and the most frequent values of a larger one that are.
+FEW_LABELS, HOT = 1 << 18, 1 << 12
 #: Only bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -45,6 +50,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as it takes to be none of those taken, upper or lower case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
+def lookup(rows: DataFrame, key: str, label: DataFrame, of: str, n: str) -> DataFrame:
+    """rows with the columns of label (one row for each value of `of`; n: how many rows have that value), null where there is none.
+
+    A label of up to FEW_LABELS rows is broadcast. Of a larger one those values are that a HOT-th of all labelled rows or
+    more have, HOT of them at most, and the others are joined by a shuffle, in which no value has more rows."""
+    count, total = label.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
+    if count <= FEW_LABELS:
+        return rows.join(F.broadcast(label), F.col(key) == F.col(of), "left")
+    hot, rest = label.where(F.col(n) * HOT >= total), label.where(F.col(n) * HOT < total)
+    spread = rows.join(F.broadcast(hot.select(F.col(of).alias(fresh("hot", rows.columns)))), F.col(key) == F.col(fresh("hot", rows.columns)), "left_anti")
+    return rows.join(F.broadcast(hot), F.col(key) == F.col(of)).unionByName(spread.join(rest, F.col(key) == F.col(of), "left"))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -81,24 +107,6 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE and of its inverse, modulo 2^64; kept for later calls while they are small."""
-    if _POWERS and len(_POWERS[0]) >= n:
-        return _POWERS[0][:n], _POWERS[1][:n]
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        with np.errstate(over="ignore"):
-            all_ = np.full(max(n, 1), base, np.uint64)
-            all_[0] = 1
-            out.append(np.multiply.accumulate(all_))
-    if n <= 2 * SLICE_BYTES:
-        _POWERS[:] = out
-    return out[0], out[1]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
     with np.errstate(over="ignore"):
@@ -107,6 +115,47 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number; beyond the end there are zeros."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+#: For the first n bytes of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes. Each step is a bijection of the eight bytes it takes in, so runs of one length up to eight never collide."""
+    size, eight = stops - starts, eights(data)
+    out = mixed((size.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE))
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        out[at] = mixed(out[at] ^ (eight[starts[at] + k] & FIRST[np.minimum(size[at] - k, 8)]))
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        raw = data.tobytes()
+        out[far] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[far].tolist(), stops[far].tolist())]
+    return out
+
+
+def equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which runs of a (from `at` on) and of b (from `begin` on), of the same size, have the same bytes. a and b: bytes, not eights of them."""
+    x, y = eights(a), eights(b)
+    out, left = np.ones(len(size), bool), np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        left = left[size[left] > k]
+        if not len(left):
+            break
+        out[left] &= (x[at[left] + k] ^ y[begin[left] + k]) & FIRST[np.minimum(size[left] - k, 8)] == 0
+    for i in np.flatnonzero(size > LONG):
+        out[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[begin[i] : begin[i] + size[i]])
+    return out
+
+
 class Words:
     """All words of some texts, case of A-Z folded: where they start and end in the bytes, whose they are, a 64-bit hash of each.
 
@@ -134,14 +183,7 @@ class Words:
         self.n_docs = len(self.ends)
         self.counts = np.bincount(self.doc, minlength=self.n_docs)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
-        self.hash = self._hash()
-
-    def _hash(self) -> np.ndarray:
-        power, inverse = powers(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-            return mixed((sums[self.stops] - sums[self.starts]) * inverse[self.starts])
+        self.hash = hashed(self.data, self.starts, self.stops)
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -115,7 +115,7 @@ def fit(texts: pa.Array, y: np.ndarray, epochs: int = 12, size: int = 256, rate:
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 6000, held_out: int = 2, folds: int = 4, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for every row of docs: key, held_out, score, predicted, and the columns named in keep.
 
-    Learns labels.quality from `rows` labelled rows at most whose crc32(key as text) mod folds is not held_out. Null and
+    Learns labels.quality from `rows` labelled rows, and learning.MOST_BYTES of their texts, at most, whose crc32(key as text) mod folds is not held_out. Null and
     empty texts are scored like others, by a text without words. A null key is not held out. Where no labelled row can
     be learned from, every score is 1, so that nothing is rejected unlearned. Other columns of docs are not looked at."""
     share = docs.sparkSession.sparkContext.broadcast(fitted(sample(docs, labels, "quality", key, text, rows, folds, held_out), fit))

@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mixed, powers, remainder, slices
+from .common import FIRST, Words, eights, mixed, remainder, slices
+
+#: Bytes of labelled texts that a model is fitted on at most.
+MOST_BYTES = 1 << 26
 
 
 def sample(docs: DataFrame, labels: DataFrame, target: str, key: str, text: str, rows: int, folds: int | None, held_out: int) -> DataFrame:
@@ -27,10 +31,20 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, key: str, text: str,
 
 
 def fitted(known: DataFrame, fit: Callable[[pa.Array, np.ndarray], object]) -> object:
-    """fit(texts, y) of a bounded sample (k, text, y), run in one task so that the driver needs no memory for it."""
+    """fit(texts, y) of a bounded sample (k, text, y), run in one task so that the driver needs no memory for it.
+
+    Rows are taken in their order until their texts have MOST_BYTES; those that would go beyond it are left out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), schema=pa.schema([("text", pa.string()), ("y", pa.int32())]))
+        kept, held = [], 0
+        for batch in batches:
+            size = pc.binary_length(batch.column(0)).fill_null(0).to_numpy(zero_copy_only=False)
+            fits = []
+            for n in size.tolist():
+                fits.append(held + n <= MOST_BYTES)
+                held += n if fits[-1] else 0
+            kept.append(batch.filter(pa.array(fits, pa.bool_())))
+        rows = pa.Table.from_batches(kept, schema=pa.schema([("text", pa.string()), ("y", pa.int32())]))
         model = fit(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(float))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
@@ -47,17 +61,9 @@ def in_parts(features: Callable[[pa.Array], tuple], texts: pa.Array) -> list[np.
 
 
 def prefixes(w: Words, n: int) -> np.ndarray:
-    """A hash of the first n bytes of each word, or of all it has; words shorter than n are hashed with their end."""
-    if not len(w.starts):
-        return np.zeros(0, np.uint64)
-    power, out = powers(n + 1)[0], np.zeros(len(w.starts), np.uint64)
-    length = w.stops - w.starts
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            own = length > i
-            out[own] += (w.data[w.starts[own] + i].astype(np.uint64) + np.uint64(1)) * power[i]
-        out += (length < n).astype(np.uint64) * power[n]
-        return mixed(out + np.uint64(n))
+    """A hash of the first n bytes (7 at most) of each word, or of all it has; words shorter than n are hashed with their end."""
+    size = np.minimum(w.stops - w.starts, n)
+    return mixed((eights(w.data)[w.starts] & FIRST[size]) | (size.astype(np.uint64) << np.uint64(56)))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
