@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, shingles, slices
+from .common import Words, cut, fresh, lookup, shingles, slices
 from .components import components
 
 #: Fingerprints of one bucket that one task compares with as many others; a larger bucket is dealt to cells of two chunks.
@@ -283,7 +283,7 @@ def _cells(fps: DataFrame, tables: Column, columns: list[str]) -> DataFrame:
         keyed = keyed.join(sizes.withColumn("n", F.ceil(F.col("count") / CHUNK).cast("int")).drop("count"), ["t", "k"])
     else:
         keyed = keyed.withColumn("n", F.lit(1))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    chunk = F.pmod(F.xxhash64(*columns), F.col("n")).cast("int")
     cell = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda d: F.struct(F.least(d, F.col("c")).alias("i"), F.greatest(d, F.col("c")).alias("j")))
     dealt = keyed.withColumn("c", chunk).withColumn("x", F.explode(cell)).select("t", "k", "x.i", "x.j", "c", *columns)
     return dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
@@ -341,26 +341,27 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     and null texts have fingerprint 0 like any other. Repeated rows come out as often as they are there; a null key is
     no component's smallest unless all are null. Columns other than key and text are not looked at."""
     marked = cut(fingerprints(docs, words, key, text))
-    distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least")))
+    distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    label = named.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    return marked.join(label, F.col("fp") == F.col("f")).select(key, "fp", "component_id")
+    label = cut(named.join(smallest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "n", "component_id"))
+    return lookup(marked, "fp", label, "f", "n").select(key, "fp", "component_id")
 
 
-def sketch(text: str | None, words: int) -> tuple[int, int]:
-    """Two independent SimHash fingerprints, from the halves of 128-bit hashes of the distinct shingles."""
+def sketch(text: str | None, words: int) -> tuple[int, int, int]:
+    """Two independent SimHash fingerprints, from the halves of 128-bit hashes of the distinct shingles, and the sum of these hashes modulo 2^64, which tells sets apart."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0, 0
+        return 0, 0, 0
     whole = b" ".join(parts)
     stops = list(accumulate((len(p) + 1 for p in parts), initial=-1))
     digest = xxhash.xxh3_128_digest
     found = {digest(whole[a + 1 : b]) for a, b in zip(stops, stops[words:])} if len(parts) > words else {digest(whole)}
-    ones = np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    raw = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
+    ones = np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
     a, b = np.packbits(2 * ones > len(found), bitorder="little").view("<u8").tolist()
-    return a, b
+    return a, b, int(raw.view("<u8").sum(dtype=np.uint64))
 
 
 def masks(n: int, far: int, recall: float, bucket: int = 2048) -> list[tuple[int, list[int]]]:
@@ -384,19 +385,23 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     and is dealt to buckets of sampled bits of either, so many that two texts `far` bits apart in both share one with
     probability `recall` (at a similarity of 0.8 they are about 10 apart). Within a bucket, fingerprints are compared
     bit-sliced up to the radius, and by the sum of both distances. The closest pairs that connect a bucket are verified
-    exactly; then all other pairs of a bucket that are not yet in one group. Texts with equal fingerprints are taken for copies. Of empty or null
-    texts one stays, of repeated rows too. All columns are kept."""
+    exactly; then all other pairs of a bucket that are not yet in one group. Only texts with the same set of shingles
+    (both fingerprints and the sum of the hashes are equal) are taken for copies unverified. Of empty or null texts one
+    stays, of repeated rows too. All columns are kept, whatever their names. Rows are numbered as they are read, and read
+    more than once: they must come in the same order, as they do from files, else an error is raised."""
     spark = docs.sparkSession
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    row = fresh("row", docs.columns)
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = numbered.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(row).alias("_row"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
-            both = np.array([sketch(t, words) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(both[:, 0].copy().view(np.int64)), pa.array(both[:, 1].copy().view(np.int64)), part.column(2)], [key, "fp", "second", "_row"])
+        for part in slices(batches, "text"):
+            found = np.array([sketch(t, words) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), *(pa.array(x.copy()) for x in found.T)], ["key", "_row", "h", "fp", "second", "sum"])
 
     kind = docs.schema[key].dataType.simpleString()
-    marked = cut(rows.select(key, text, "_row").mapInArrow(work, f"`{key}` {kind}, fp long, second long, _row long"))
-    distinct = cut(marked.groupBy("fp", "second").agg(F.min(F.struct(key, "_row")).alias("first")).withColumn("node", F.col("first._row")))
+    marked = cut(rows.withColumn("h", F.xxhash64("text")).mapInArrow(work, f"key {kind}, _row long, h long, fp long, second long, sum long"))
+    distinct = cut(marked.groupBy("fp", "second", "sum").agg(F.min(F.struct("key", "_row")).alias("first")).withColumn("node", F.col("first._row")))
     sampled = masks(distinct.count(), far, recall)
     half = -(-len(sampled) // 2)
 
@@ -411,11 +416,11 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
 
     pairs = deal(distinct, "node").mapInArrow(_work(found, [o for _, o in sampled], ["a", "b", "forest"]), "a long, b long, forest long")
     pairs = cut(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest")))
-    bagged = lambda b: _bags(b, text, words)
+    bagged = lambda b: _bags(b, words)
 
     def verified(some: DataFrame) -> DataFrame:
         asked = some.select(F.col("a").alias("_row")).union(some.select("b")).distinct()
-        bags = cut(rows.join(_few(asked), "_row", "left_semi").select("_row", text).mapInArrow(bagged, "_row long, bag binary"))
+        bags = cut(rows.join(_few(asked), "_row", "left_semi").select("_row", "text").mapInArrow(bagged, "_row long, bag binary"))
         sides = some.join(bags.withColumnsRenamed({"_row": "a", "bag": "x"}), "a").join(bags.withColumnsRenamed({"_row": "b", "bag": "y"}), "b")
         return sides.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, least), "a long, b long")
 
@@ -439,15 +444,19 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
     packed = _lots(_work(unmet, [o for _, o in sampled]))
     rest = cut(deal(grouped, "node", "root").mapInArrow(packed, "a long, others binary, lot int").withColumn("lot", F.struct("lot", F.spark_partition_id().alias("of"))))
     if not rest.isEmpty():
-        bags = rows.join(_few(rest.select(F.col("a").alias("_row")).distinct()), "_row", "left_semi").select("_row", text).mapInArrow(bagged, "_row long, bag binary")
+        bags = rows.join(_few(rest.select(F.col("a").alias("_row")).distinct()), "_row", "left_semi").select("_row", "text").mapInArrow(bagged, "_row long, bag binary")
         full = rest.join(bags.withColumnRenamed("_row", "a"), "a").select("lot", "a", "others", "bag")
         more = full.groupBy("lot").applyInArrow(lambda x: _linked(x, least), "a long, b long")
         roots = components(more.union(roots.select("node", "root")))
-    group = distinct.join(roots, "node", "left").select("fp", "second", "first", F.coalesce("root", "node").alias("root"))
+    group = distinct.join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     firsts = group.groupBy("root").agg(F.min("first").alias("stays"))
     stay = group.join(firsts, "root").where("first = stays").select(F.col("first._row").alias("_row"))
-    gone = cut(marked.select("_row").join(stay, "_row", "left_anti"))
-    return rows.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, "_row", "left_anti").drop("_row")
+    of, h = fresh("of", [*docs.columns, row]), fresh("h", docs.columns)
+    gone = cut(marked.select(F.col("_row").alias(of), F.col("h").alias(h)).join(stay, F.col(of) == F.col("_row"), "left_anti"))
+    met = numbered.join(F.broadcast(gone) if gone.count() <= FEW_ROWS else gone, F.col(row) == F.col(of), "left")
+    same = F.xxhash64(text) == F.col(h)
+    moved = F.raise_error(F.lit("docs gave its rows in another order when it was read again")).cast("boolean")
+    return met.where(F.when(F.col(of).isNull(), True).when(same, False).otherwise(moved)).drop(row, of, h)
 
 
 def _few(asked: DataFrame) -> DataFrame:
@@ -504,8 +513,8 @@ def _linked(lot: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array(x), "b": pa.array(y)})
 
 
-def _bags(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, text):
+def _bags(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
         w = Words(part.column(1))
         h, inside = shingles(w, words)
         bags = []
