@@ -62,9 +62,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = lambda kind, payload: warc.read(spark, path, payload).where(F.col("record_type") == kind)
     # of what a response holds, else of what a revisit says of its response
     answers = records("response", True).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    visits = records("revisit", False).select("page_id", F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to_id")
-    targets = records("response", False).select(F.col("record_id").alias("id"), F.col("page_id").alias("refers_to")).distinct()
-    visits = visits.join(targets, F.col("refers_to_id") == F.col("id"), "left").drop("refers_to_id", "id")
+    visits = records("revisit", False).select("page_id", F.col("http_length").alias("payload_bytes"), "payload_digest", "record_type", F.col("headers")["warc-refers-to-page-id"].cast("long").alias("refers_to"))
     return answers.unionByName(visits)
 
 

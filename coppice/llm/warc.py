@@ -2,8 +2,9 @@
 
 Writing: every task writes one archive, a gzip member for each record with the member's lengths in an extra field, and
 an index of where members begin; the archives count once the driver has written a manifest that names them, so what a
-failed or repeated attempt leaves is never read. Reading: partitions are ranges of members planned from the manifest,
-or whole files without one. Predicates on record type and header fields are pushed down: a record's headers are
+failed or repeated attempt leaves is never read. Every write has a manifest of its own, so appending keeps what is
+there; overwriting takes the earlier ones away. Reading: partitions are ranges of members planned from the manifests,
+or whole files without any. Predicates on record type and header fields are pushed down: a record's headers are
 inflated and parsed first, and the rest is skipped, not inflated, unless they hold and its payload is wanted."""
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .common import cut, lookup
+
 SCHEMA = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to_id string, payload_digest string, http_length long, headers map<string,string>, payload binary"
 #: Columns that are header fields; predicates on these are pushed down.
 FIELDS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to_id": "warc-refers-to"}
-MANIFEST = "_manifest.json"
+#: Names of manifests; the star stands for what is the write's own.
+MANIFEST = "_manifest-*.json"
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EXTRA = b"sl"
@@ -47,6 +51,8 @@ def member(record: bytes, level: int = 6) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(record) + z.flush()
     size = 10 + 2 + 12 + len(body) + 8
+    if size >= 1 << 32:
+        raise ValueError("a record is too long for its lengths' field: 4 GB at most")
     extra = EXTRA + struct.pack("<HII", 8, size, len(record) & 0xFFFFFFFF)
     return b"\x1f\x8b\x08\x04" + b"\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
@@ -69,11 +75,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     fields += [("WARC-Page-ID", str(page_id))] if page_id is not None else []
     fields += [("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest).decode()), ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode())]
     if refers_to is not None:
-        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", PROFILE)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    start, end = MANIFEST.split("*")
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(i.path for i in found if i.base_name.startswith(start) and i.base_name.endswith(end))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     file: str
@@ -83,7 +95,8 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.overwrite = overwrite
         self.path, self.date, self.every = options["path"], options.get("date", "1970-01-01T00:00:00Z"), int(options.get("split_bytes", 16 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -106,9 +119,12 @@ class Writer(DataSourceArrowWriter):
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
         files = [{"file": m.file, "marks": m.marks, "records": m.records} for m in messages if m]
-        with fs.open_output_stream(f"{root}/{MANIFEST}.new", compression=None) as out:
+        before, name = manifests(fs, root), MANIFEST.replace("*", uuid.uuid4().hex)
+        with fs.open_output_stream(f"{root}/{name}.new", compression=None) as out:
             out.write(json.dumps(files).encode())
-        fs.move(f"{root}/{MANIFEST}.new", f"{root}/{MANIFEST}")
+        fs.move(f"{root}/{name}.new", f"{root}/{name}")
+        for old in before if self.overwrite else ():
+            fs.delete_file(old)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = opened(self.path)
@@ -147,9 +163,11 @@ class Reader(DataSourceReader):
         fs, root = opened(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
             return [Range(root, 0, None)]
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-                listed = json.loads(f.read())
+        if own := manifests(fs, root):
+            listed = []
+            for path in own:
+                with fs.open_input_stream(path, compression=None) as f:
+                    listed += json.loads(f.read())
             return [Range(f"{root}/{x['file']}", a, b) for x in listed for a, b in zip(x["marks"], x["marks"][1:]) if b > a] or [Range("", 0, 0)]
         found = [i.path for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if re.search(r"\.warc(\.gz)?$", i.path)]
         return [Range(p, 0, None) for p in sorted(found)] or [Range("", 0, 0)]
@@ -286,7 +304,7 @@ class WarcSource(DataSource):
         return Reader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
-        return Writer(dict(self.options))
+        return Writer(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -299,18 +317,19 @@ def linked(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     The response is the largest page_id; rows that repeat it are responses too. A null page_id is never referred to, so
     rows of which all have a null page_id are responses."""
-    digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
-    long = F.octet_length("html") >= least
-    groups = pages.where(long).groupBy(digest.alias("d")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("d", "keeper")
-    marked = pages.select("page_id", "url", "html", F.when(long, digest).alias("of"))
-    met = marked.join(groups, F.col("of") == F.col("d"), "left")
-    return met.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    own = pages.select("page_id", "url", "html")
+    long = F.coalesce(F.octet_length("html") >= least, F.lit(False))
+    marked = own.where(long).withColumn("of", F.sha1(F.col("html").cast("binary")))
+    groups = cut(marked.groupBy(F.col("of").alias("d")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1"))
+    met = lookup(marked, "of", groups, "d", "n")
+    repeats = met.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    return repeats.unionByName(own.where(~long).withColumn("refers_to", F.lit(None).cast(pages.schema["page_id"].dataType)))
 
 
-def write(pages: DataFrame, path: str, least: int = 1000) -> None:
-    """Archives of all pages under path: a record for every row. Null html is an empty payload, a null url leaves its field out; other columns are not looked at."""
+def write(pages: DataFrame, path: str, least: int = 1000, mode: str = "append") -> None:
+    """Archives of all pages under path: a record for every row. mode: "append", which keeps the records that are there, or "overwrite". Null html is an empty payload, a null url leaves its field out; other columns are not looked at."""
     register(pages.sparkSession)
-    linked(pages, least).write.format("warc").option("path", path).mode("append").save()
+    linked(pages, least).write.format("warc").option("path", path).mode(mode).save()
 
 
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
