@@ -13,10 +13,13 @@ from pyspark.sql.types import StringType
 ENDINGS = ("larınız", "leriniz", "larımız", "lerimiz", "ları", "leri", "lar", "ler")
 # Words that don't count when leaves are compared for duplication.
 AUDIT_STOP = ("the", "ve", "and", "for", "with", "chose", "alt", "none", "ok", "to", "bir", "ile", "için", "of", "in", "on", "is", "bkz")
-# Words that can't name a cluster.
-CLUSTER_STOP = ("the", "and", "for", "with", "from", "into", "that", "this", "then", "than", "ve", "bir", "ile", "için", "ama", "daha", "bkz", "root", "urdr")
+#: Of metadata comments in documents, <!-- prefix:key:value -->.
+PREFIX = "note"
+# Words that can't name a cluster; the last is the tree's own prefix.
+CLUSTER_STOP = ("the", "and", "for", "with", "from", "into", "that", "this", "then", "than", "ve", "bir", "ile", "için", "ama", "daha", "bkz", "root", PREFIX)
 # Fixed value: how a leaf refers to a branch of another root; \z, as $ would also match before a last line feed.
 REFERENCE = r"(?iu)\bbkz:\s*((?:root|kök|kok)-?\d+)(?:\s*/\s*([^\n();]+?))?(?=\s*(?:[();]|\z))"
+# What a word of a search and a date of an entry are.
 WORD = r"[\p{L}\p{N}]+(?:'\p{L}+)?"
 DATE = r"\b\d{2}\.\d{2}\.\d{4}\b"
 
