@@ -40,8 +40,9 @@ def _slug(s: pd.Series) -> pd.Series:
 
 
 def compatible(c: Column) -> Column:
-    """NFKC. Spark has no expression for it, so this is a Pandas UDF; only texts beyond ASCII are changed by it."""
-    return _nfkc(c)
+    """NFKC. Spark has no expression for it, so this is a Pandas UDF; only texts beyond ASCII, which alone can change, are sent to it."""
+    plain = c.rlike(r"\A\p{ASCII}*+\z")
+    return F.when(plain, c).otherwise(_nfkc(F.when(~plain, c)))
 
 
 def slug(c: Column) -> Column:

@@ -1,14 +1,21 @@
 """Hybrid search of many queries in one plan: literal or regex matches first, then trigram-fuzzy ones, preferred roots first.
 
-leaves: leaf_id, file, branch, line, text. queries: query_id, query, and optionally files (array of preferred files)."""
+leaves: leaf_id, file, branch, line, text. queries: query_id, query, and optionally files (array of preferred files).
+
+Exact matches of a block of queries are found in one pass over the texts, by one automaton of all needles; for a regex
+the needle is the longest literal that every match must contain, and what holds it is verified by the regex. Ranking
+works on ids; texts are joined to the final rows only."""
 
 from __future__ import annotations
 
 import re
+import re._constants as sre
+import re._parser as parser
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,31 +23,112 @@ from ..functions import text as T
 META = re.compile(r"[.*+?^${}()|\[\]\\]")
 #: Queries that are searched for together; more are taken in further blocks over all leaves.
 QUERIES = 2000
+#: Distinct tokens of queries that are compared with all words of the leaves together; more are taken in further blocks.
+TOKENS = 1 << 14
+#: Final rows that are broadcast to fetch their texts at most.
+FEW = 1 << 17
 #: Tokens on either side of a product of gram matrices.
 AT_ONCE = 1024
 #: A query token that finds nothing this similar in a leaf rules the leaf out.
 FLOOR = 0.4
+#: Characters that a regex's literal must have to narrow its texts down.
+RUN = 3
 
 
-def java_pattern(query: str, case_sensitive: bool = False) -> str:
-    """The query as a regex for Spark; one that doesn't compile is taken literally."""
+def java_pattern(spark: SparkSession, query: str, case_sensitive: bool = False) -> str:
+    """The query as a regex for Spark, which runs the JVM's; one that the JVM doesn't compile is taken literally. Case is folded as Unicode has it."""
+    flags = "" if case_sensitive else "(?iu)"
     try:
-        re.compile(query)
-    except re.error:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(flags + query)
+    except IllegalArgumentException:
         query = re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", query)
-    return query if case_sensitive else f"(?i){query}"
+    return flags + query
+
+
+class _Alike(dict):
+    """Of a character's code the one that stands for it where case doesn't count, by single characters as in the JVM."""
+
+    def __missing__(self, code: int) -> int:
+        upper = chr(code).upper()
+        low = (upper if len(upper) == 1 else chr(code)).lower()
+        self[code] = ord(low) if len(low) == 1 else ord("i") if code == 0x130 else code
+        return self[code]
+
+
+ALIKE = _Alike()
+
+
+def alike(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(ALIKE)
+
+
+def literal(pattern: str) -> str:
+    """The longest run of characters that every match of the regex contains one after another; empty if none is certain, as for syntax that only the JVM has."""
+    if re.search(r"\(\?[a-z]*[uUdx]", pattern.removeprefix("(?iu)")):
+        return ""
+    try:
+        parsed = parser.parse(pattern.removeprefix("(?iu)"))
+    except (re.error, RecursionError, OverflowError):
+        return ""
+    runs = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            runs[-1] += chr(arg)
+        else:
+            runs.append("")
+    return max(runs, key=len)
 
 
 def _exact(leaves: DataFrame, queries: DataFrame, mode: str, case_sensitive: bool) -> DataFrame:
-    """(query_id, leaf_id, preferred) of exact matches. Every query is held against every text: a stated, broadcast block of queries, no shuffle of leaves."""
-    asked = F.broadcast(queries.select("query_id", "query", "pattern", "files", T.fold(T.compatible(F.col("query")), case_sensitive).alias("needle")))
-    leaves = leaves.select("leaf_id", "file", "text", T.fold(T.compatible(F.col("text")), case_sensitive).alias("folded"))
-    literal = F.col("folded").contains(F.col("needle"))
-    regex = F.expr("text rlike pattern")
-    is_regex = F.col("query").rlike(META.pattern)
-    preferred = F.coalesce(F.array_contains("files", F.col("file")), F.lit(False))
-    met = leaves.join(asked, {"literal": literal, "regex": regex, "auto": F.when(is_regex, regex).otherwise(literal)}[mode])
-    return met.select("query_id", "leaf_id", preferred.alias("preferred"))
+    """(query_id, leaf_id, file, line, preferred) of exact matches. queries: a block of QUERIES at most."""
+    spark = leaves.sparkSession
+    asked = queries.select("query_id", "query", "files", T.fold(T.compatible(F.col("query")), case_sensitive).alias("needle")).collect()  # QUERIES at most
+    is_regex = [mode == "regex" or mode == "auto" and bool(META.search(r.query)) for r in asked]
+    patterns = [java_pattern(spark, r.query, case_sensitive) if x else None for r, x in zip(asked, is_regex)]
+    runs = [literal(p) if p else "" for p in patterns]
+    plain = [(q, r.needle) for q, r in enumerate(asked) if not is_regex[q]]
+    narrowed = [(q, run if case_sensitive else alike(run)) for q, run in enumerate(runs) if len(run) >= RUN]
+    free = [q for q, p in enumerate(patterns) if p and len(runs[q]) < RUN]
+    kind = queries.schema["query_id"].dataType
+    table = spark.createDataFrame([(q, r.query_id, patterns[q], r.files) for q, r in enumerate(asked)], f"q int, query_id {kind.simpleString()}, pattern string, files array<string>")
+    share = spark.sparkContext.broadcast((plain, narrowed))
+    kinds = {f.name: f.dataType.simpleString() for f in leaves.schema}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        found = []
+        for needles in share.value:
+            own, held = Automaton(), {}
+            for q, needle in needles:
+                held.setdefault(needle, []).append(q)
+            for needle, qs in held.items():
+                own.add_word(needle, tuple(qs))
+            if held:
+                own.make_automaton()
+            found.append(own if held else None)
+
+        def met(own, text: str | None) -> set[int]:
+            return set().union(*{qs for _, qs in own.iter(text)}) if own and text else set()
+
+        for batch in batches:
+            rows, qs, texts = [], [], []
+            for i, (folded, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                for q in met(found[0], folded):
+                    rows.append(i), qs.append(q), texts.append(None)
+                for q in met(found[1], alike(text) if text and not case_sensitive else text):
+                    rows.append(i), qs.append(q), texts.append(text)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int32()), *(batch.column(c).take(at) for c in range(3)), pa.array(texts, pa.string())], ["q", "leaf_id", "file", "line", "text"])
+
+    folded = T.fold(T.compatible(F.col("text")), case_sensitive) if plain else F.lit(None).cast("string")
+    own = leaves.select("leaf_id", "file", "line", folded.alias("folded"), (F.col("text") if narrowed else F.lit(None).cast("string")).alias("text"))
+    got = own.mapInArrow(work, f"q int, leaf_id {kinds['leaf_id']}, file string, line {kinds['line']}, text string")
+    met = got.join(F.broadcast(table), "q").where("text is null or text rlike pattern")
+    if free:  # nothing that they must contain is known: these are held against every text
+        every = leaves.join(F.broadcast(table.where(F.col("q").isin(free))), F.expr("text rlike pattern"))
+        met = met.select("query_id", "leaf_id", "file", "line", "files").unionByName(every.select("query_id", "leaf_id", "file", "line", "files"))
+    return met.select("query_id", "leaf_id", "file", "line", F.coalesce(F.array_contains("files", F.col("file")), F.lit(False)).alias("preferred"))
 
 
 def grams(token: str) -> set[str]:
@@ -55,9 +143,18 @@ def similar_tokens(words: DataFrame, asked: DataFrame, floor: float = FLOOR) ->
     Common grams of many tokens with many query tokens are one product of 0/1 matrices, AT_ONCE tokens at a time against
     the grams of a stated block of queries. A join on grams gives the same, but makes a row for every common gram of any
     two tokens: 27 s against 2 s on 69,327 tokens and 1,029 query tokens."""
-    spark = words.sparkSession
-    own = sorted({r.q for r in asked.distinct().collect() if r.q})  # of QUERIES queries at most
-    share = spark.sparkContext.broadcast(own)
+    distinct = asked.select("q").distinct()
+    blocks = max(1, -(-distinct.count() // TOKENS))
+    out = None
+    for b in range(blocks):
+        part = distinct if blocks == 1 else distinct.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        got = _similar(words, sorted(r.q for r in part.collect() if r.q), floor)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _similar(words: DataFrame, own: list[str], floor: float) -> DataFrame:
+    share = words.sparkSession.sparkContext.broadcast(own)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -87,15 +184,15 @@ def similar_tokens(words: DataFrame, asked: DataFrame, floor: float = FLOOR) ->
     return words.select("token").mapInArrow(work, "q string, token string, similarity double")
 
 
-def _fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float, case_sensitive: bool) -> DataFrame:
+def fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float = 0.42, case_sensitive: bool = False) -> DataFrame:
     """(query_id, leaf_id, score): the mean over a query's tokens of each one's best similarity in the leaf; leaves that any token misses are left out."""
     held = leaves.select("leaf_id", F.explode(F.array_distinct(T.tokens(T.compatible(F.col("text")), case_sensitive))).alias("token"))
     asked = queries.select("query_id", F.explode(T.tokens(T.compatible(F.col("query")), case_sensitive)).alias("q")).groupBy("query_id", "q").agg(F.count("*").alias("times"))
     sizes = asked.groupBy("query_id").agg(F.sum("times").alias("n"), F.count("*").alias("kinds"))
     found = similar_tokens(held.select("token").distinct(), asked.select("q").distinct())
     best = held.join(found, "token").groupBy("leaf_id", "q").agg(F.max("similarity").alias("best"))
-    met = best.join(F.broadcast(asked), "q").groupBy("query_id", "leaf_id").agg(F.sum(F.col("best") * F.col("times")).alias("total"), F.count("*").alias("met"))
-    whole = met.join(F.broadcast(sizes), "query_id").where(F.col("met") == F.col("kinds"))
+    met = best.join(asked, "q").groupBy("query_id", "leaf_id").agg(F.sum(F.col("best") * F.col("times")).alias("total"), F.count("*").alias("met"))
+    whole = met.join(sizes, "query_id").where(F.col("met") == F.col("kinds"))
     return whole.select("query_id", "leaf_id", (F.col("total") / F.col("n")).alias("score")).where(F.col("score") >= threshold)
 
 
@@ -106,40 +203,58 @@ def search(
 
     Exact matches come first, then higher scores, preferred files, file and line. If a preferred file has an exact
     match, the others aren't searched for exact ones; if its best row is exact, they give no rows at all. Empty queries
-    give none."""
+    give none, and null texts match nothing."""
+    return _blocks(leaves, queries, mode, threshold, case_sensitive, lambda rows: _ranked(rows, leaves, max_results))
+
+
+def matches(leaves: DataFrame, queries: DataFrame, mode: str = "auto", threshold: float = 0.42, case_sensitive: bool = False) -> DataFrame:
+    """All that `search` would rank, without ranks and texts: query_id, leaf_id, file, line, match, score, route. Nothing is sorted, so a query with many results is no task of its own."""
+    return _blocks(leaves, queries, mode, threshold, case_sensitive, lambda rows: rows)
+
+
+def _blocks(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float, case_sensitive: bool, then) -> DataFrame:
     if mode not in ("auto", "literal", "regex"):
         raise ValueError("mode must be auto, literal or regex")
     if "files" not in queries.columns:
         queries = queries.withColumn("files", F.lit(None).cast("array<string>"))
-    patterns = F.udf(lambda q: java_pattern(q, case_sensitive) if q is not None else None, "string")
     queries = queries.withColumn("query", F.trim("query")).where(F.length("query") > 0)
-    queries = queries.withColumn("pattern", patterns("query") if mode != "literal" else F.lit(""))
-    blocks = max(1, -(-queries.count() // QUERIES))
+    n, hinted = queries.agg(F.count("*"), F.count("files")).first()
+    blocks = max(1, -(-n // QUERIES))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = _search(leaves, part, mode, max_results, threshold, case_sensitive)
+        got = then(_found(leaves, part, mode, threshold, case_sensitive, bool(hinted)))
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def _search(leaves: DataFrame, queries: DataFrame, mode: str, max_results: int, threshold: float, case_sensitive: bool) -> DataFrame:
-    exact = _exact(leaves, queries, mode, case_sensitive).withColumn("any_preferred", F.max("preferred").over(Window.partitionBy("query_id")))
-    exact = exact.where("preferred or not any_preferred").select("query_id", "leaf_id", F.lit("exact").alias("match"), F.lit(1.0).alias("score"))
-    both = exact
+def _found(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float, case_sensitive: bool, hinted: bool) -> DataFrame:
+    """(query_id, leaf_id, file, line, match, score, route) of a block of queries."""
+    names = ["query_id", "leaf_id", "file", "line"]
+    exact = _exact(leaves, queries, mode, case_sensitive)
+    if hinted:
+        any_preferred = exact.groupBy("query_id").agg(F.max("preferred").alias("any"))  # a row for each query
+        exact = exact.join(F.broadcast(any_preferred), "query_id").where("preferred or not any")
+    rows = exact.select(*names, F.lit("exact").alias("match"), F.lit(1.0).alias("score"))
     if threshold <= 1:  # no score is above 1, so a higher threshold asks for exact matches alone
-        fuzzy = _fuzzy(leaves, queries, threshold, case_sensitive).select("query_id", "leaf_id", F.lit("fuzzy").alias("match"), "score")
-        both = exact.unionByName(fuzzy).groupBy("query_id", "leaf_id").agg(F.min("match").alias("match"), F.max(F.struct((F.col("match") == "exact").alias("e"), "score"))["score"].alias("score"))
-    rows = both.join(leaves, "leaf_id").join(F.broadcast(queries.select("query_id", "files")), "query_id")
+        near = fuzzy(leaves, queries, threshold, case_sensitive).join(leaves.select("leaf_id", "file", "line"), "leaf_id")
+        rows = rows.unionByName(near.select(*names, F.lit("fuzzy").alias("match"), "score")).groupBy(*names).agg(F.min("match").alias("match"), F.max(F.struct((F.col("match") == "exact").alias("e"), "score"))["score"].alias("score"))
+    if not hinted:
+        return rows.withColumn("route", F.lit("fallback"))
     preferred = F.coalesce(F.array_contains("files", F.col("file")), F.lit(False))
-    rows = rows.withColumn("route", F.when(preferred, "hierarchy").otherwise("fallback"))
-    stage = Window.partitionBy("query_id").orderBy(F.desc(F.col("route") == "hierarchy"), F.desc("score"), "file", "line", "leaf_id")
+    rows = rows.join(F.broadcast(queries.select("query_id", "files")), "query_id").withColumn("route", F.when(preferred, "hierarchy").otherwise("fallback")).drop("files")
     # the best row of the preferred files; where it is exact, the rest of the tree isn't looked at
-    top = F.first(F.struct("route", "match")).over(stage.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("top", top).where("not (top.route = 'hierarchy' and top.match = 'exact' and route = 'fallback')")
+    best = rows.where("route = 'hierarchy'").groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "file", "line", "leaf_id", "match"))["match"].alias("top"))
+    return rows.join(F.broadcast(best), "query_id", "left").where("not (coalesce(top = 'exact', false) and route = 'fallback')").drop("top")
+
+
+def _ranked(rows: DataFrame, leaves: DataFrame, max_results: int) -> DataFrame:
+    """The best of each query's rows, with their texts. Every task cuts what it has to max_results before rows are dealt by query."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.col("match") == "exact"), F.desc("score"), F.desc(F.col("route") == "hierarchy"), "file", "line", "leaf_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, max_results))
-    return ranked.select("query_id", "rank", "leaf_id", "file", "branch", "line", T.display(F.col("text")).alias("text"), "match", "score", "route")
+    best = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, max_results))
+    best = F.broadcast(best) if max_results * QUERIES <= FEW else best
+    met = leaves.select(F.col("leaf_id").alias("of"), F.col("file").alias("in"), F.col("line").alias("at"), "branch", "text").join(best, (F.col("of") == F.col("leaf_id")) & F.col("in").eqNullSafe(F.col("file")) & F.col("at").eqNullSafe(F.col("line")))
+    return met.select("query_id", "rank", "leaf_id", "file", "branch", "line", T.display(F.col("text")).alias("text"), "match", "score", "route")
 
 
 def outcomes(results: DataFrame, queries: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def search_literal_topk(spark, sf_dir):
 @query("search_regex", r"SELECT 1 AS query_id, doc_id AS leaf_id FROM documents WHERE regexp_matches(text, '(?i)password\s*[:=]\s*[^ ]+')")
 def search_regex(spark, sf_dir):
     one = spark.createDataFrame([(1, r"password\s*[:=]\s*[^ ]+")], "query_id int, query string")
-    return S.search(leaves(spark, sf_dir), one, mode="regex", max_results=1 << 30, threshold=2.0).select("query_id", "leaf_id")
+    return S.matches(leaves(spark, sf_dir), one, mode="regex", threshold=2.0).select("query_id", "leaf_id")
 
 
 _MASK = f"""WITH hit AS (SELECT b.item_id AS query_id, d.doc_id AS leaf_id, d.source AS file, d.source IN ('src0', 'src1', 'src2') AS pref
@@ -77,7 +77,7 @@ _MASK = f"""WITH hit AS (SELECT b.item_id AS query_id, d.doc_id AS leaf_id, d.so
 @query("search_hierarchy_mask", _MASK + " SELECT query_id, leaf_id, CASE WHEN pref THEN 'hierarchy' ELSE 'fallback' END AS route FROM masked WHERE pref OR NOT any_pref")
 def search_hierarchy_mask(spark, sf_dir):
     own = asked(spark, sf_dir).withColumn("files", F.array(F.lit("src0"), F.lit("src1"), F.lit("src2")))
-    return S.search(leaves(spark, sf_dir), own, mode="literal", max_results=1 << 30, threshold=2.0).select("query_id", "leaf_id", "route")
+    return S.matches(leaves(spark, sf_dir), own, mode="literal", threshold=2.0).select("query_id", "leaf_id", "route")
 
 
 _TOK = r"list_filter(list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+(?:''\p{{L}}+)?'), lambda t: {}), lambda t: length(t) > 1)"
@@ -102,7 +102,7 @@ def _fuzzy_sql(queries: str, texts: str, threshold: float) -> str:
 
 @query("search_fuzzy_documents", _fuzzy_sql("SELECT item_id AS query_id, trim(text) AS query FROM benchmark", "SELECT doc_id AS leaf_id, text FROM documents", 0.42))
 def search_fuzzy_documents(spark, sf_dir):
-    return S._fuzzy(leaves(spark, sf_dir), asked(spark, sf_dir).withColumn("query", F.trim("query")), 0.42, False).withColumn("score", F.round("score", 6))
+    return S.fuzzy(leaves(spark, sf_dir), asked(spark, sf_dir).withColumn("query", F.trim("query"))).withColumn("score", F.round("score", 6))
 
 
 _TYPO = "CASE WHEN length(p_type || ' ' || p_name) >= 4 THEN substring(p_type || ' ' || p_name, 1, 2) || substring(p_type || ' ' || p_name, 4, 1) || substring(p_type || ' ' || p_name, 3, 1) || substring(p_type || ' ' || p_name, 5) ELSE p_type || ' ' || p_name END"
@@ -113,7 +113,7 @@ def search_fuzzy_parts(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     typed = T.typo(F.concat_ws(" ", "p_type", "p_name"))
     own = part.select(F.col("p_partkey").alias("leaf_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return S._fuzzy(own, part.select("p_type", "p_name").distinct().select(typed.alias("query_id"), typed.alias("query")), 0.42, False).withColumn("score", F.round("score", 6))
+    return S.fuzzy(own, part.select("p_type", "p_name").distinct().select(typed.alias("query_id"), typed.alias("query"))).withColumn("score", F.round("score", 6))
 
 
 @query("trigram_dice_pairs", f"""WITH w AS (SELECT DISTINCT p_brand AS w FROM part UNION SELECT DISTINCT p_type FROM part), g AS (SELECT w, {_GRAMS.format("w")} AS g FROM w)
@@ -131,15 +131,15 @@ _OUTCOME = f"""WITH hit AS (SELECT b.item_id AS query_id, d.doc_id, row_number()
 
 @query("telemetry_counts", _OUTCOME + " SELECT CASE WHEN h.query_id IS NULL THEN 'miss' ELSE 'fallback' END AS outcome, count(*) AS n FROM benchmark b LEFT JOIN (SELECT * FROM hit WHERE rank = 1) h ON b.item_id = h.query_id GROUP BY 1")
 def telemetry_counts(spark, sf_dir):
-    found = S.search(leaves(spark, sf_dir), asked(spark, sf_dir), mode="literal", threshold=2.0)
+    found = S.search(leaves(spark, sf_dir), asked(spark, sf_dir), mode="literal", max_results=1, threshold=2.0)
     return S.outcomes(found, asked(spark, sf_dir))
 
 
 @query("recall_at_1", _OUTCOME + f""", truth AS (SELECT b.item_id AS query_id, max(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains({_LOW_TEXT}, {_LOW_QUERY}) GROUP BY 1)
       SELECT count(*) AS queries, count_if(h.doc_id = t.doc_id)::BIGINT AS hits, round(avg(CASE WHEN h.doc_id = t.doc_id THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS recall FROM truth t LEFT JOIN hit h ON h.query_id = t.query_id AND h.rank = 1""")
 def recall_at_1(spark, sf_dir):
-    found = S.search(leaves(spark, sf_dir), asked(spark, sf_dir), mode="literal", max_results=1 << 30, threshold=2.0)
-    truth = found.groupBy("query_id").agg(F.max("leaf_id").alias("leaf_id"))
+    found = S.search(leaves(spark, sf_dir), asked(spark, sf_dir), mode="literal", max_results=1, threshold=2.0)
+    truth = S.matches(leaves(spark, sf_dir), asked(spark, sf_dir), mode="literal", threshold=2.0).groupBy("query_id").agg(F.max("leaf_id").alias("leaf_id"))
     return S.recall_at_1(found, truth).withColumn("recall", F.round("recall", 6))
 
 

@@ -68,7 +68,7 @@ def test_fuzzy_equals_the_plain_version(spark):
     words = ["sqlite", "sqltie", "kararlar", "karar", "gateway", "gatewya", "API", "ışık", "code-only-key", "o'clock", "x", "backup", "backups", "42", "grup7"]
     leaves = [(i, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(60)]
     asked = [(i, " ".join(rng.choices(words, k=rng.randint(1, 3)))) for i in range(30)]
-    got = {(r.query_id, r.leaf_id): r.score for r in S._fuzzy(spark.createDataFrame(leaves, "leaf_id int, text string"), spark.createDataFrame(asked, "query_id int, query string"), 0.42, False).collect()}
+    got = {(r.query_id, r.leaf_id): r.score for r in S.fuzzy(spark.createDataFrame(leaves, "leaf_id int, text string"), spark.createDataFrame(asked, "query_id int, query string"), 0.42, False).collect()}
     want = {(q, i): s for (q, a), (i, t) in itertools.product(asked, leaves) if (s := score(a, t)) >= 0.42}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
