@@ -1,4 +1,4 @@
-"""python -m coppice COMMAND TREE ...: import, reconcile, append, search, lint, compile, apply, forget, split, move, new-root, export."""
+"""python -m coppice COMMAND TREE ...: import, reconcile, append, search, lint, doc-check, compile, apply, forget, split, move, new-root, export."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import sys
 from . import api
 from .plans import restructure
 from .plans.store import Tree
+from .sources import trees
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,6 +28,7 @@ def main(argv: list[str] | None = None) -> int:
         command(name)
     command("append", "file", "branch", "text")
     command("search", "query", mode={"default": "auto"}, max={"type": int, "default": 25}, files={"nargs": "*"})
+    command("doc-check", skip={"nargs": "*", "default": []})
     command("lint", fail_on_warn={"action": "store_true"})
     command("apply", "plan")
     command("forget", "leaf", reason={})
@@ -36,13 +38,16 @@ def main(argv: list[str] | None = None) -> int:
     command("export", "folder")
     a = p.parse_args(argv)
     tree, out, code = Tree(a.tree), None, 0
-    if a.command in ("search", "lint"):
+    if a.command in ("search", "lint", "doc-check"):
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.getOrCreate()
         if a.command == "search":
             found = [r.asDict() for r in api.search(spark, a.tree, a.query, a.mode, a.files, a.max or 25).orderBy("rank").collect()]
             out, code = found, 0 if found else 1
+        elif a.command == "doc-check":
+            out = [r.asDict() for r in trees.check(spark, a.tree, tuple(a.skip)).orderBy("path", "link").collect()]
+            code = 1 if out else 0
         else:
             out = [r.asDict() for r in api.findings(spark, a.tree).orderBy("level", "code", "msg").collect()]
             code = 1 if any(f["level"] == "error" or a.fail_on_warn for f in out) else 0

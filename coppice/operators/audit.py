@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import references
-from .similarity import similar_pairs
+from .similarity import similar_classes
 
 #: Inclusive thresholds.
 MOST_BRANCHES, WARN_LEAVES, MOST_LEAVES, INDEX_LEAVES, DUPLICATE = 9, 30, 50, 15, 0.85
@@ -30,10 +30,17 @@ def index_bloat(leaves: DataFrame, most: int = INDEX_LEAVES) -> DataFrame:
     return leaves.where(F.col("file").rlike(INDEX)).groupBy("file").agg(F.count("*").alias("leaves")).where(F.col("leaves") >= most)
 
 
-def duplicates(leaves: DataFrame, least: float = DUPLICATE) -> DataFrame:
-    """(i, j, similarity) of near-duplicate leaves (leaf_id, text); leaves that only refer elsewhere don't count."""
+def compared(leaves: DataFrame) -> DataFrame:
+    """(leaf_id, tokens) of the leaves that are compared for duplication; those that only refer elsewhere don't count."""
     own = leaves.where(~F.coalesce(F.col("text").rlike(r"(?i)\bbkz:"), F.lit(False)))
-    return similar_pairs(own.withColumn("_t", T.audit_tokens(F.col("text"))), "leaf_id", "_t", least)
+    return own.select("leaf_id", T.audit_tokens(F.col("text")).alias("tokens"))
+
+
+def duplicates(leaves: DataFrame, least: float = DUPLICATE) -> DataFrame:
+    """(i, j, similarity) of near-duplicate leaves (leaf_id, text): pairs of the first leaves of classes, and of each class's first leaf with every copy of it."""
+    members, linked = similar_classes(compared(leaves), "leaf_id", "tokens", least)
+    copies = members.where("class <> leaf_id").select(F.col("class").alias("i"), F.col("leaf_id").alias("j"), F.lit(1.0).alias("similarity"))
+    return linked.select(F.col("a").alias("i"), F.col("b").alias("j"), "similarity").unionByName(copies)
 
 
 def findings(leaves: DataFrame, branches: DataFrame, edges: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -114,5 +114,5 @@ def seed_scores(leaves: DataFrame) -> DataFrame:
 def evidence(members: DataFrame, top: int = 3) -> DataFrame:
     """(cluster, rank, token, leaves): the most frequent words of each cluster. members: cluster, text."""
     counted = members.select("cluster", F.explode(T.keyword_tokens(F.col("text"))).alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("leaves"))
-    best = counted.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("leaves")).alias("n"), "token"))), 1, top).alias("all"))
-    return best.select("cluster", F.posexplode("all").alias("rank", "x")).select("cluster", (F.col("rank") + 1).alias("rank"), F.col("x.token").alias("token"), (-F.col("x.n")).alias("leaves"))
+    order = Window.partitionBy("cluster").orderBy(F.desc("leaves"), "token")  # every task keeps its top few only
+    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("cluster", "rank", "token", "leaves")

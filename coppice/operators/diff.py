@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .needles import containing
+
 #: Fields in which two versions of a leaf are compared.
 FIELDS = ("contentHash", "file", "branch", "index", "kind")
 
@@ -54,10 +56,13 @@ def dirty(files: DataFrame, checkpoints: DataFrame, expected: DataFrame | None =
 
 
 def selectors(leaves: DataFrame, asked: DataFrame) -> DataFrame:
-    """(selector, hits, leaf_id): how many leaves each selector means, by id or by a part of the text, and which if it is one. asked (selector) is a stated block of few."""
-    met = F.broadcast(asked).join(leaves, (F.col("selector") == F.col("leaf_id").cast("string")) | F.col("text").contains(F.col("selector")), "left")
-    counted = met.groupBy("selector").agg(F.count("leaf_id").alias("hits"), F.min("leaf_id").alias("leaf_id"))
-    return counted.select("selector", "hits", F.when(F.col("hits") == 1, F.col("leaf_id")).alias("leaf_id"))
+    """(selector, hits, leaf_id): how many leaves each selector means, by id or by a part of the text, and which if it is one."""
+    asked = asked.select("selector").distinct()
+    by_id = asked.join(leaves.select(F.col("leaf_id").cast("string").alias("selector"), "leaf_id"), "selector")
+    by_text = containing(leaves, "leaf_id", "text", asked).withColumnRenamed("needle", "selector")
+    counted = by_id.unionByName(by_text).distinct().groupBy("selector").agg(F.count("*").alias("hits"), F.min("leaf_id").alias("leaf_id"))
+    met = asked.join(counted, "selector", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return met.select("selector", "hits", F.when(F.col("hits") == 1, F.col("leaf_id")).alias("leaf_id"))
 
 
 def newest(rows: DataFrame, group: str, order: str, keep: int, name: str) -> DataFrame:
@@ -66,9 +71,15 @@ def newest(rows: DataFrame, group: str, order: str, keep: int, name: str) -> Dat
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """(hashes): a map of file to the hash of its content."""
-    return files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", F.sha2("content", 256))))).alias("hashes"))
+def manifest(parts: DataFrame, file: str = "file", at: str = "at", content: str = "content", run: int = 1024) -> DataFrame:
+    """(file, hash) of files given in parts, ordered by `at`, a whole number.
+
+    A part's hash is its content's SHA-256; those of `run` neighbouring places are joined and hashed, and so are these
+    in turn, so no task holds more than a file's hashes over `run`."""
+    own = parts.select(F.col(file).alias("file"), F.floor(F.col(at) / run).alias("r"), F.struct(F.col(at).alias("at"), F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("h")).alias("x"))
+    joined = lambda: F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"])), 256)
+    runs = own.groupBy("file", "r").agg(joined().alias("h")).select("file", F.struct(F.col("r").alias("at"), "h").alias("x"))
+    return runs.groupBy("file").agg(joined().alias("hash"))
 
 
 def forward(points: DataFrame, marks: DataFrame, group: str, at: str, value: str) -> DataFrame:

@@ -23,6 +23,13 @@ def valid_prefix(log: DataFrame, stream: str, line: str, seq: str, start: int =
     return marked.withColumn("_until", until).where(F.col("_until").isNull() | (F.col(line) < F.col("_until"))).drop("_ok", "_until")
 
 
+def unchained(log: DataFrame, stream: str, line: str, hash: str, before: str) -> DataFrame:
+    """(stream, line, found, wanted): records that don't name the hash of the record before them, as the first of a stream names none."""
+    w = Window.partitionBy(stream).orderBy(line)
+    checked = log.select(stream, line, F.col(before).alias("found"), F.lag(hash).over(w).alias("wanted"))
+    return checked.where(~F.col("found").eqNullSafe(F.col("wanted")))
+
+
 def committed(operations: DataFrame, commits: DataFrame) -> DataFrame:
     """Operations of transactions whose commit names exactly the hashes they have, in order; commit_seq is the commit's place.
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .needles import automaton, met as held
 
 META = re.compile(r"[.*+?^${}()|\[\]\\]")
 #: Queries that are searched for together; more are taken in further blocks over all leaves.
@@ -95,28 +96,13 @@ def _exact(leaves: DataFrame, queries: DataFrame, mode: str, case_sensitive: boo
     kinds = {f.name: f.dataType.simpleString() for f in leaves.schema}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ahocorasick import Automaton
-
-        found = []
-        for needles in share.value:
-            own, held = Automaton(), {}
-            for q, needle in needles:
-                held.setdefault(needle, []).append(q)
-            for needle, qs in held.items():
-                own.add_word(needle, tuple(qs))
-            if held:
-                own.make_automaton()
-            found.append(own if held else None)
-
-        def met(own, text: str | None) -> set[int]:
-            return set().union(*{qs for _, qs in own.iter(text)}) if own and text else set()
-
+        found = [automaton(needles) for needles in share.value]
         for batch in batches:
             rows, qs, texts = [], [], []
             for i, (folded, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                for q in met(found[0], folded):
+                for q in held(found[0], folded):
                     rows.append(i), qs.append(q), texts.append(None)
-                for q in met(found[1], alike(text) if text and not case_sensitive else text):
+                for q in held(found[1], alike(text) if text and not case_sensitive else text):
                     rows.append(i), qs.append(q), texts.append(text)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int32()), *(batch.column(c).take(at) for c in range(3)), pa.array(texts, pa.string())], ["q", "leaf_id", "file", "line", "text"])

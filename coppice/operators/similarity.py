@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import lookup
+
 
 def similar_classes(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
-    """Classes of rows with equal token sets: (class, key) of every row, and (a, b, similarity) of all pairs of classes as similar as `least` or more.
+    """Classes of rows with equal token sets: (key, class, copies) of every row, and (a, b, similarity) of all pairs of classes, a < b, as similar as `least` or more.
 
-    Copies are compared once and not expanded. With a set's tokens ordered from rare to frequent, two sets that qualify
-    share one of the first n - ceil(least n) + 1; only those are joined, and candidates are verified on the whole sets.
-    Rows with an empty set or a null key are in no class."""
+    A class is named by its smallest key. Sets are told apart by their SHA-256, copies are compared once and not
+    expanded. With a set's tokens ordered from rare to frequent, two sets that qualify share one of the first
+    n - ceil(least n) + 1; only those are joined, and candidates are verified on the whole sets. Rows with an empty set
+    or a null key are in no class."""
     sets = rows.select(F.col(key).alias(key), F.array_sort(F.array_distinct(F.col(tokens))).alias("set")).where(F.col(key).isNotNull() & (F.size("set") > 0))
-    sets = sets.withColumn("class", F.xxhash64("set"))
-    distinct = sets.groupBy("class").agg(F.first("set").alias("set"))
+    sets = sets.withColumn("digest", F.unhex(F.sha2(F.to_json("set"), 256)))
+    distinct = sets.groupBy("digest").agg(F.min(key).alias("class"), F.count("*").alias("copies"), F.first("set").alias("set"))
     held = distinct.select("class", F.size("set").alias("n"), F.explode("set").alias("t"))
     frequency = held.groupBy("t").agg(F.count("*").alias("df"))
     ranked = held.join(frequency, "t").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
@@ -23,18 +26,31 @@ def similar_classes(rows: DataFrame, key: str, tokens: str, least: float = 0.85)
     one, other = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), "t")
     close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
     candidates = one.join(other, "t").where(close).select("a", "b").distinct()
-    met = candidates.join(distinct.withColumnsRenamed({"class": "a", "set": "x"}), "a").join(distinct.withColumnsRenamed({"class": "b", "set": "y"}), "b")
+    own = distinct.select("class", "set")
+    met = candidates.join(own.withColumnsRenamed({"class": "a", "set": "x"}), "a").join(own.withColumnsRenamed({"class": "b", "set": "y"}), "b")
     both = F.size(F.array_intersect("x", "y"))
     linked = met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least)
-    return sets.select("class", key), linked
+    members = lookup(sets.select(key, F.col("digest").alias("own")), "own", distinct.select("digest", "class", "copies"), "digest", "copies")
+    return members.select(key, "class", "copies"), linked
+
+
+def links(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> DataFrame:
+    """(key, class, links): of every row its class and how many other rows are as similar as `least` or more, copies included; no pair of copies is made for it."""
+    members, linked = similar_classes(rows, key, tokens, least)
+    sizes = members.groupBy("class").agg(F.max("copies").alias("copies"))
+    both = linked.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("class"), F.col("a").alias("other")))
+    others = both.join(sizes.withColumnsRenamed({"class": "other", "copies": "there"}), "other").groupBy("class").agg(F.sum("there").alias("there"))
+    label = sizes.join(others, "class", "left").select(F.col("class").alias("of"), "copies", (F.col("copies") - 1 + F.coalesce("there", F.lit(0))).alias("links"))
+    return lookup(members.select(key, "class"), "class", label, "of", "copies").select(key, "class", "links")
 
 
 def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> DataFrame:
     """(i, j, similarity) of all pairs of rows, i < j, whose token sets are as similar as `least` or more; copies of one set are pairs too.
 
-    This is as long as there are pairs; `similar_classes` says the same without expanding copies."""
+    This is as long as there are pairs; `similar_classes` and `links` say the same without expanding copies."""
     members, linked = similar_classes(rows, key, tokens, least)
+    members = members.select("class", key)
     equal = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"))
-    links = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(equal)
+    pairs = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(equal)
     one, other = members.select(F.col("class").alias("a"), F.col(key).alias("i")), members.select(F.col("class").alias("b"), F.col(key).alias("j"))
-    return links.join(one, "a").join(other, "b").where("i < j").select("i", "j", "similarity")
+    return pairs.join(one, "a").join(other, "b").where("i < j").select("i", "j", "similarity")

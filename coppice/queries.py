@@ -160,11 +160,18 @@ def inverted_index_size(spark, sf_dir):
     return token_frequency(spark, sf_dir).agg(F.sum("leaves").alias("postings"), F.count("*").alias("tokens"), F.max("leaves").alias("longest"))
 
 
-@query("near_duplicate_leaves", f"""WITH s AS (SELECT doc_id, {_AUDIT.format('text')} AS s FROM documents WHERE NOT coalesce(regexp_matches(text, '(?i)\\bbkz:'), false)), t AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM s),
-      p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-      SELECT i, j, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.85""")
+_CLASSES = f"""WITH s AS (SELECT doc_id, list_sort({_AUDIT.format('text')}) AS s FROM documents WHERE NOT coalesce(regexp_matches(text, '(?i)\\bbkz:'), false)), c AS (SELECT s, min(doc_id) AS class, count(*) AS copies FROM s WHERE len(s) > 0 GROUP BY 1),
+      t AS (SELECT class, copies, len(s) AS n, unnest(s) AS w FROM c), p AS (SELECT a.class AS a, b.class AS b, any_value(b.copies) AS there, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.class <> b.class GROUP BY 1, 2 HAVING similarity >= 0.85)"""
+
+
+@query("near_duplicate_leaves", _CLASSES + " SELECT s.doc_id AS leaf_id, c.class AS class, (c.copies - 1 + coalesce(o.there, 0))::BIGINT AS links FROM s JOIN c USING (s) LEFT JOIN (SELECT a, sum(there) AS there FROM p GROUP BY 1) o ON o.a = c.class")
 def near_duplicate_leaves(spark, sf_dir):
-    return audit.duplicates(leaves(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
+    return similarity.links(audit.compared(leaves(spark, sf_dir)), "leaf_id", "tokens", audit.DUPLICATE)
+
+
+@query("near_duplicate_classes", _CLASSES + " SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE a < b")
+def near_duplicate_classes(spark, sf_dir):
+    return similarity.similar_classes(audit.compared(leaves(spark, sf_dir)), "leaf_id", "tokens", audit.DUPLICATE)[1].withColumn("similarity", F.round("similarity", 6))
 
 
 @query("exact_duplicates", "SELECT sha256(text) AS hash, count(*) AS leaves, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -312,13 +319,17 @@ def eventlog_sequence_gaps(spark, sf_dir):
     return replay.first_bad(log(spark, sf_dir), "conv_id", "turn", "seq", 0)
 
 
-@query("eventlog_chain_check", """WITH h AS (SELECT conv_id, turn, sha256(conv_id || ':' || turn || ':' || text) AS hash FROM conversations)
-      SELECT conv_id, turn, hash, lag(hash) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_hash FROM h""")
+@query("eventlog_chain_check", """WITH h AS (SELECT conv_id, turn, sha256(conv_id || ':' || turn || ':' || text) AS hash, lead(length(text) > 400 AND role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS skipped FROM conversations),
+      l AS (SELECT conv_id, turn, lag(hash) OVER (PARTITION BY conv_id ORDER BY turn) AS wanted, lag(skipped) OVER (PARTITION BY conv_id ORDER BY turn) AS broken FROM h)
+      SELECT conv_id, turn, 'skipped' AS found, wanted FROM l WHERE coalesce(broken, false)""")
 def eventlog_chain_check(spark, sf_dir):
     from pyspark.sql import Window
 
-    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws(":", "conv_id", "turn", "text"), 256).alias("hash"))
-    return own.withColumn("prev_hash", F.lag("hash").over(Window.partitionBy("conv_id").orderBy("turn")))
+    # a log as it would be written, but for long user turns, which name no record that is there
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws(":", "conv_id", "turn", "text"), 256).alias("hash"), ((F.col("role") == "user") & (F.length("text") > 400)).alias("long"))
+    written = own.withColumn("before", F.when(F.lag("hash").over(w).isNotNull() & F.col("long"), "skipped").otherwise(F.lag("hash").over(w)))
+    return replay.unchained(written, "conv_id", "turn", "hash", "before")
 
 
 _TX = """WITH o AS (SELECT conv_id AS tx, turn AS seq, sha256(text) AS hash, role FROM conversations), c AS (SELECT tx, list(hash ORDER BY seq) AS own, max(seq) + 1 AS cs FROM o GROUP BY 1),
@@ -423,23 +434,18 @@ def diff_edges(spark, sf_dir):
     return diff.edges(o.where("o_orderstatus <> 'F'"), o.where("o_orderstatus <> 'O'"), o.select("source"))
 
 
-_FILES = "SELECT source AS file, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS hash FROM documents {} GROUP BY 1"
-
-
-def files(docs: DataFrame) -> DataFrame:
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", T.content_hash(F.col("text")).alias("h")))), lambda x: x["h"])
-    return docs.groupBy(F.col("source").alias("file")).agg(F.sha2(F.concat_ws("", parts), 256).alias("hash"))
+_FILES = "SELECT file, sha256(string_agg(hash, '' ORDER BY r)) AS hash FROM (SELECT source AS file, doc_id // 1024 AS r, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS hash FROM documents {} GROUP BY 1, 2) GROUP BY 1"
 
 
 @query("hash_manifest", _FILES.format(""))
 def hash_manifest(spark, sf_dir):
-    return files(table(spark, sf_dir, "documents"))
+    return diff.manifest(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
 
 
 @query("dirty_views", f"SELECT a.file AS file FROM ({_FILES.format('')}) a LEFT JOIN ({_FILES.format('WHERE n_chars < 15000')}) b USING (file) WHERE a.hash IS DISTINCT FROM b.hash")
 def dirty_views(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return diff.dirty(files(docs.where("n_chars < 15000")), files(docs))
+    return diff.dirty(diff.manifest(docs.where("n_chars < 15000"), "source", "doc_id", "text"), diff.manifest(docs, "source", "doc_id", "text"))
 
 
 @query("move_selector_ambiguity", """WITH s AS (SELECT DISTINCT p_brand AS selector FROM part UNION SELECT DISTINCT p_name FROM part), l AS (SELECT 'p' || p_partkey AS leaf_id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part),

@@ -225,10 +225,13 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     Every tree's chain is checked by windows over its own lines, trees in parallel; valid holds up to a tree's first
     record that can't be read, isn't in its place, doesn't follow the one before or doesn't have its own hash. A last
     line without an end is left out. operation stays JSON, to be read by type."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("tree"), "value")
-    lines = texts.select("tree", F.posexplode(F.split("value", "\n")).alias("at", "raw")).select("tree", (F.col("at") + 1).cast("long").alias("line"), F.regexp_replace("raw", r"\r\z", "").alias("raw"))
-    last = F.max("line").over(Window.partitionBy("tree"))
-    lines = lines.withColumn("_last", last).where("line < _last").drop("_last")
+    # a file is read in parts, each in its order; a part's place in the file and the row's in the part give the line
+    told = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select(told["file_path"].alias("tree"), told["file_block_start"].alias("part"), told["file_size"].alias("size"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+    w = Window.partitionBy("tree").orderBy("part", "at")
+    size, count = F.sum(F.octet_length("raw") + 1).over(Window.partitionBy("tree")), F.count("*").over(Window.partitionBy("tree"))
+    lines = lines.select("tree", "raw", "size", F.row_number().over(w).cast("long").alias("line"), size.alias("held"), count.alias("count")).where("held <= size or line < count")
+    lines = lines.select("tree", "line", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
     record = F.from_json("raw", RECORD)
     rows = lines.select("tree", "line", "raw", record.alias("r"), _hash_of(F.col("raw")).alias("own")).select("tree", "line", "r.*", "own")
     w = Window.partitionBy("tree").orderBy("line")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import markdown
 
+#: Folders that hold no documents of a tree's own.
+SKIP = (".git", "node_modules")
+# Folders of tools that documents name in backticks.
+TOOLS = ("scripts", "protocols", "examples", "integrations")
 ROOT = r"(?iu)^(?:(?:root|kök|kok)-)?\d[-_].*\.md$"
 
 
@@ -16,12 +23,15 @@ def roots(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("file").rlike(ROOT))
 
 
+def paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files below a folder; contents aren't read. Empty files, and names that begin with a dot or an underscore, are hidden to Spark's readers."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+
+
 def documents(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content) of all Markdown files below a folder, without paths that contain one of skip."""
-    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    for s in skip:
-        found = found.where(~F.col("path").contains(s))
-    return found
+    """(path, content) of all Markdown files below a folder, but for SKIP and folders and files named in skip."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return found.where(F.lower("path").endswith(".md") & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, (*SKIP, *skip))))).select("path", F.col("content").cast("string").alias("content"))
 
 
 def leaves(spark: SparkSession, folder: str, prefix: str = markdown.PREFIX) -> DataFrame:
@@ -33,12 +43,49 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("modified"), "content")
 
 
-def broken_links(docs: DataFrame) -> DataFrame:
-    """(path, link): relative links of Markdown documents (path, content) that name no document among them."""
-    link = r"\[[^\]]*\]\(([^)#\s:]+\.md)(?:#[^)]*)?\)"
-    asked = docs.select("path", F.explode(F.regexp_extract_all("content", F.lit(link), F.lit(1))).alias("link"))
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    target = F.concat(folder, F.regexp_replace("link", r"^\./", ""))
-    for _ in range(4):  # each step up a folder
-        target = F.regexp_replace(target, r"[^/]+/\.\./", "")
-    return asked.withColumn("target", target).join(docs.select(F.col("path").alias("target")), "target", "left_anti").select("path", "link")
+@F.pandas_udf(BooleanType())
+def _there(paths: pd.Series) -> pd.Series:
+    """Whether a path (scheme:/a/b, or a/b of the local root) is there; false where the store can't be reached from here."""
+
+    def one(path: str) -> bool:
+        scheme, mark, rest = path.partition(":/")
+        try:
+            fs, name = (pafs.LocalFileSystem(), f"/{rest if mark else path}") if not mark or scheme == "file" else pafs.FileSystem.from_uri(f"{scheme}://{rest}")
+            return fs.get_file_info(name).type != pafs.FileType.NotFound
+        except (OSError, ValueError):
+            return False
+
+    return paths.map(one)
+
+
+def resolved(path: Column) -> Column:
+    """The path's steps as an array, with "." and ".." taken, however many there are."""
+    step = lambda done, s: F.when(s.isin("", "."), done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+
+
+def broken_links(docs: DataFrame, files: DataFrame, root: str, tools: tuple[str, ...] = TOOLS) -> DataFrame:
+    """(path, link): what Markdown documents (path, content) below a root refer to and no file (path) or folder is.
+
+    References are links, with a title or without, that don't lead to another site, mail or the document itself, and
+    paths of tools in backticks. Those that begin with a slash or a tool's folder count from the root, others from the
+    document; percent signs are decoded, fragments cut off. Patterns (with <, { or *) aren't judged. What no listed file
+    accounts for, as empty and hidden files aren't listed, is looked for in the store itself."""
+    link, tool = r'\[[^\]]*\]\((?!https?:|mailto:|#)([^)\s]+)(?:\s+"[^"]*")?\)', rf"`((?:{'|'.join(tools)})/[A-Za-z0-9._/-]+)`"
+    asked = docs.select("path", F.explode(F.array_distinct(F.concat(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in (link, tool))))).alias("link"))
+    own = F.try_url_decode(F.regexp_replace(F.substring_index("link", "#", 1), r"\+", "%2B"))
+    asked = asked.withColumn("clean", F.coalesce(own, F.substring_index("link", "#", 1))).where("clean <> '' and not clean rlike '[<{*]'")
+    from_root = F.col("link").rlike(rf"^/|^(?:{'|'.join(tools)})/")
+    target = resolved(F.when(from_root, F.concat(F.lit(root.rstrip("/") + "/"), "clean")).otherwise(F.concat(F.regexp_replace("path", r"[^/]*$", ""), "clean")))
+    # a file's steps, and those of every folder that it is in
+    there = files.select(F.split(F.regexp_replace("path", "/+", "/"), "/").alias("s")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.slice("s", 1, n))).alias("target")).distinct()
+    lost = asked.withColumn("target", target).join(there, "target", "left_anti")
+    return lost.where(~_there(F.array_join("target", "/"))).select("path", "link")
+
+
+def check(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(path, link): broken links of all documents below a folder."""
+    files = paths(spark, folder)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString()
+    return broken_links(documents(spark, folder, skip), files, root)

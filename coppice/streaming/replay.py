@@ -22,25 +22,36 @@ def configure(spark: SparkSession) -> None:
 
 
 class Transactions(StatefulProcessor):
-    """Operations of a transaction, given out once a commit names exactly their hashes in order; another commit is passed over."""
+    """Operations of a transaction, given out once a commit names exactly their hashes in order.
+
+    Whichever comes last, an operation or the commit, in whatever batch, completes the transaction; a commit that names
+    others waits on. With a time to live, what has waited for longer is forgotten."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", OPERATION.replace("tx string, ", ""))
+        self.held = handle.getListState("held", OPERATION.replace("tx string, ", ""), self.ttl_ms)
+        self.commits = handle.getListState("commits", "hashes array<string>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows)).sort_values("seq")
         waiting = [tuple(r) for r in self.held.get()] if self.held.exists() else []
-        out = []
-        for r in new.itertuples():
-            if r.kind == "commit":
-                if [w[1] for w in waiting] == list(r.hashes):
-                    out += [(key[0], *w) for w in waiting]
-                    waiting = []
+        commits = [list(r[0]) for r in self.commits.get()] if self.commits.exists() else []
+        waiting += [(int(r.seq), r.hash, r.type, r.id, None if pd.isna(r.value) else float(r.value)) for r in new.itertuples() if r.kind != "commit"]
+        commits += [list(r.hashes) for r in new.itertuples() if r.kind == "commit"]
+        waiting.sort(key=lambda w: w[0])
+        out, left = [], []
+        for hashes in commits:
+            if waiting and [w[1] for w in waiting] == hashes:
+                out += [(key[0], *w) for w in waiting]
+                waiting = []
             else:
-                waiting.append((int(r.seq), r.hash, r.type, r.id, None if pd.isna(r.value) else float(r.value)))
-        self.held.clear()
-        if waiting:
-            self.held.put(waiting)
+                left.append((hashes,))
+        for state, rest in ((self.held, waiting), (self.commits, left)):
+            state.clear()
+            if rest:
+                state.put(rest)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OPERATION.split(", ")])
 
     def close(self) -> None:
@@ -70,9 +81,12 @@ class Leaves(StatefulProcessor):
         pass
 
 
-def committed(log: DataFrame) -> DataFrame:
-    """Operations of committed transactions. log: tx, seq, kind (operation or commit), hash, hashes, type, id, value; streaming or not."""
-    return log.groupBy("tx").transformWithStateInPandas(Transactions(), OPERATION, "Append", "None")
+def committed(log: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Operations of committed transactions. log: tx, seq, kind (operation or commit), hash, hashes, type, id, value; streaming or not.
+
+    ttl_ms: how long operations wait for their commit, and a commit for its operations, before they are dropped from the state; None: for ever. With it, a stream that
+    is to end when its data does needs spark.sql.streaming.noDataMicroBatches.enabled to be false."""
+    return log.groupBy("tx").transformWithStateInPandas(Transactions(ttl_ms), OPERATION, "Append", "None" if ttl_ms is None else "ProcessingTime")
 
 
 def leaf_states(operations: DataFrame) -> DataFrame:

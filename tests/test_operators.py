@@ -184,11 +184,33 @@ def test_cluster_golden(spark):
 
 
 def test_links_between_documents(spark, tmp_path):
+    deep = tmp_path / "one" / "two" / "three" / "four" / "five" / "six"
+    deep.mkdir(parents=True)
     (tmp_path / "sub").mkdir()
-    (tmp_path / "a.md").write_text("[ok](sub/b.md) [lost](c.md) [web](https://x/y.md)")
-    (tmp_path / "sub" / "b.md").write_text("[up](../a.md#part) [lost](../sub/d.md)")
-    got = {(r.path.rsplit("/", 1)[1], r.link) for r in trees.broken_links(trees.documents(spark, str(tmp_path))).collect()}
-    assert got == {("a.md", "c.md"), ("b.md", "../sub/d.md")}
+    (tmp_path / "scripts").mkdir()
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "scripts" / "tool.sh").write_text("")
+    (tmp_path / "sub" / "a picture.png").write_bytes(b"x")
+    (tmp_path / "a.md").write_text('[ok](sub/b.md) [lost](c.md) [web](https://x/y.md) [m](mailto:a@b.md) [here](#part) [t](sub/b.md "title") [t](sub/no.png "title") ![p](sub/a%20picture.png) [folder](sub) [any](x/*.md) [h](.hidden.md) [h](.none.md)')
+    (tmp_path / "sub" / "b.md").write_text("[up](../a.md#part) [lost](../sub/d.md) [root](/a.md) [root](/b.md) `scripts/tool.sh` `scripts/none.sh` [tool](scripts/tool.sh) `other/none.sh`")
+    (deep / "c.md").write_text("[six up](../../../../../../a.md) [seven](../../../../../../z/../a.md) [lost](../../../../../../z.md)")
+    (tmp_path / ".hidden.md").write_text("")
+    (tmp_path / "node_modules" / "n.md").write_text("[lost](gone.md)")
+    (tmp_path / "LOG.md").write_text("[lost](gone.md)")
+    got = {(r.path.rsplit("/", 1)[1], r.link) for r in trees.check(spark, str(tmp_path), ("LOG.md",)).collect()}
+    assert got == {("a.md", "c.md"), ("a.md", "sub/no.png"), ("a.md", ".none.md"), ("b.md", "../sub/d.md"), ("b.md", "/b.md"), ("b.md", "scripts/none.sh"), ("c.md", "../../../../../../z.md")}
+
+
+def test_needles_in_blocks(spark, monkeypatch):
+    from coppice.operators import needles
+
+    texts = spark.createDataFrame([(1, "abc bcd"), (2, "bc"), (3, None), (4, ""), (5, "xyz")], "id int, t string")
+    asked = spark.createDataFrame([("bc",), ("bc",), ("abc",), ("",), (None,), ("zz",)], "n string")
+    want = {("bc", 1), ("bc", 2), ("abc", 1)}
+    assert {tuple(r) for r in needles.containing(texts, "id", "t", asked).collect()} == want
+    monkeypatch.setattr(needles, "NEEDLES", 1)
+    assert {tuple(r) for r in needles.containing(texts, "id", "t", asked).collect()} == want
+    assert needles.containing(texts, "id", "t", asked.limit(0)).count() == 0
 
 
 def test_cli(tmp_path, capsys):

@@ -68,3 +68,16 @@ def test_counters_and_windows(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
     counted = collect(spark, R.windowed(stream, "ts", "1 day", "1 hour", "event_type"), "append", "windows", tmp_path)
     assert 0 < counted.count() <= events.selectExpr("date(ts) d", "event_type").distinct().count()
+
+
+def test_operations_after_their_commit(spark, tmp_path):
+    """A commit that comes before its operations completes them; with a time to live the same."""
+    R.configure(spark)
+    rows = [("t", 3, "commit", None, ["a", "b"], None, None, None), ("t", 1, "operation", "a", None, "upsert", "x", 1.0), ("t", 2, "operation", "b", None, "upsert", "y", 2.0), ("u", 1, "operation", "c", None, "upsert", "z", 3.0)]
+    for r in rows:
+        spark.createDataFrame([r], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a stream with a time to live goes on for ever
+    for name, ttl in (("kept", None), ("timed", 3_600_000)):
+        out = collect(spark, R.committed(stream, ttl), "append", name, tmp_path)
+        assert sorted((r.tx, r.seq, r.hash) for r in out.collect()) == [("t", 1, "a"), ("t", 2, "b")]
