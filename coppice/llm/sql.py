@@ -18,17 +18,16 @@ LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 
 
 def op5() -> str:
-    """Every start at which the first key phrase has its place in a template, held against the whole template."""
-    templates = (*licenses.BASE, *licenses.MORE)
+    """Every place of a first key phrase, the other key phrases within the slack of theirs, and the share of the template's different words around it."""
     parts = []
-    for t, own in zip(templates, licenses.anchors(templates)):
-        words, keys = t.words, [k.split() for k in t.keys]
-        at = [next(i for i in range(len(words)) if words[i : i + len(k)] == k) for k in keys]
-        starts = f"list_filter(list_transform(list_filter(range(0, len(w)), lambda k: w[k + 1:k + {len(keys[0])}] = {_list(keys[0])}), lambda k: k - {at[0]}), lambda s: s >= 0)"
-        share = f"list_sum(list_transform({_list(words)}, lambda x, i: CASE WHEN w[s + i] = x THEN 1 ELSE 0 END)) / {len(words)}::DOUBLE"
-        agree = " + ".join(f"CASE WHEN w[s + {i + 1}] = {_text(a)} THEN 1 ELSE 0 END" for a, i in own)
-        rest = "".join(f" AND w[s + {1 + a}:s + {a + len(k)}] = {_list(k)}" for a, k in zip(at[1:], keys[1:]))
-        parts.append(f"CASE WHEN NOT contains(flat, {_text(' ' + t.keys[0] + ' ')}) THEN [] ELSE list_filter(list_transform({starts}, lambda s: {{'label': {_text(t.label)}, 'base': {str(t.base).lower()}, 'start': s, 'share': CASE WHEN {agree} >= {min(2, len(own))}{rest} THEN {share} ELSE 0 END}}), lambda x: x.share >= {t.share}) END")
+    for t in (*licenses.BASE, *licenses.MORE):
+        (at, key), *others = t.phrases
+        starts = f"list_transform(list_filter(range(0, len(w)), lambda k: w[k + 1:k + {len(key)}] = {_list(key)}), lambda k: k - {at})"
+        rest = "".join(f" AND len(list_filter(range(greatest(s + {a - t.slack}, 0), s + {a + t.slack + 1}), lambda k: w[k + 1:k + {len(k_)}] = {_list(k_)})) > 0" for a, k_ in others)
+        own = sorted(set(t.words))
+        share = f"len(list_intersect({_list(own)}, w[greatest(s - {t.slack}, 0) + 1:s + {len(t.words) + t.slack}])) / {len(own)}::DOUBLE"
+        places = f"list_transform(list_filter({starts}, lambda s: true{rest}), lambda s: {{'label': {_text(t.label)}, 'base': {str(t.base).lower()}, 'start': s, 'share': {share}}})"
+        parts.append(f"CASE WHEN NOT contains(flat, {_text(' ' + ' '.join(key) + ' ')}) THEN [] ELSE list_filter({places}, lambda x: x.share >= {t.share}) END")
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), f AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS flat FROM d), p AS (SELECT doc_id, len(w) AS n_words, flatten([{", ".join(parts)}]) AS p FROM f),
       b AS (SELECT *, list_filter(p, lambda x: x.base) AS base FROM p)
       SELECT doc_id, n_words, len(base) AS n_base, list_min(list_transform(base, lambda x: x.start)) AS first_word, list_max(list_transform(base, lambda x: x.start)) AS last_word,
