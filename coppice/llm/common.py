@@ -20,8 +20,6 @@ SLICE_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Words of more bytes are hashed by XXH3, the others eight bytes at a time.
 LONG = 64
-#: Rows of a label table that are broadcast whole at most, and the most frequent values of a larger one that are.
-FEW_LABELS, HOT = 1 << 18, 1 << 12
 #: Only bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -50,27 +48,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """The name, with as many underscores before it as it takes to be none of those taken, upper or lower case."""
-    low = {t.lower() for t in taken}
-    while name.lower() in low:
-        name = f"_{name}"
-    return name
-
-
-def lookup(rows: DataFrame, key: str, label: DataFrame, of: str, n: str) -> DataFrame:
-    """rows with the columns of label (one row for each value of `of`; n: how many rows have that value), null where there is none.
-
-    A label of up to FEW_LABELS rows is broadcast. Of a larger one those values are that a HOT-th of all labelled rows or
-    more have, HOT of them at most, and the others are joined by a shuffle, in which no value has more rows."""
-    count, total = label.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first()
-    if count <= FEW_LABELS:
-        return rows.join(F.broadcast(label), F.col(key) == F.col(of), "left")
-    hot, rest = label.where(F.col(n) * HOT >= total), label.where(F.col(n) * HOT < total)
-    spread = rows.join(F.broadcast(hot.select(F.col(of).alias(fresh("hot", rows.columns)))), F.col(key) == F.col(fresh("hot", rows.columns)), "left_anti")
-    return rows.join(F.broadcast(hot), F.col(key) == F.col(of)).unionByName(spread.join(rest, F.col(key) == F.col(of), "left"))
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

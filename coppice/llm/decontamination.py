@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import fresh
 from .chains import MARKS
-from .common import Words, fresh, mixed, shingles, slices
+from .common import Words, mixed, shingles, slices
 
 #: Items, and bytes of them, whose tables are broadcast together; more are taken in further blocks, each over all documents.
 ITEMS, ITEM_BYTES = 20_000, 32 << 20

@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, fresh
+from ..operators.skew import fresh
+from .common import ascii_lower, cut
 
 #: Texts in a block of postings, on average.
 BLOCK = 1 << 14

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, fresh, lookup, shingles, slices
+from ..operators.skew import fresh, lookup
+from .common import Words, cut, shingles, slices
 from .components import components
 
 #: Fingerprints of one bucket that one task compares with as many others; a larger bucket is dealt to cells of two chunks.

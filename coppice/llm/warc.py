@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import cut, lookup
+from ..operators.skew import lookup
+from .common import cut
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, page_id long, refers_to_id string, payload_digest string, http_length long, headers map<string,string>, payload binary"
 #: Columns that are header fields; predicates on these are pushed down.
