@@ -27,6 +27,8 @@ PROBES = 3
 BITS = 32
 #: Bytes of text whose tokens a task sums before it sends them on, as one lot.
 HELD = 12 << 20
+#: Bytes of runs that a range is to hold, and of runs for each byte of text (12 for each word and pair of a lot).
+RANGE_BYTES, RUN_SHARE = 1 << 28, 3
 #: Added to every count of the smoothed word probabilities.
 ADD = 0.1
 #: Exact counts of so many words at most are broadcast; the others are joined.
@@ -135,7 +137,7 @@ def counts(docs: DataFrame, ranges: int, held_out: int, folds: int, key: str, te
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["lot", "n", "r", "total", "levels", "words", "times"])
 
     runs = docs.mapInArrow(gather, "lot long, r int, n int, keys binary, times binary")
-    return runs.repartition("r").sortWithinPartitions("r").mapInArrow(merge, "lot long, n int, r int, total long, levels binary, words binary, times binary")
+    return runs.repartition(max(1, ranges // 4), "r").sortWithinPartitions("r").mapInArrow(merge, "lot long, n int, r int, total long, levels binary, words binary, times binary")
 
 
 def segment(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -174,10 +176,12 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: i
     from the filter: (c(vw) + weight p(w)) / (c(v) + weight), where p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). A null or
     empty text is its end alone; a row with a null key is not held out (held_out is null) and not learned from.
     Without any training tokens all counts are 0. docs is read twice and must give its rows in the same order, as files
-    do; else the levels of a lot don't fit it, which raises an error."""
+    do; else the levels of a lot don't fit it, which raises an error. Ranges are as many as the bytes of text ask for, so
+    that none holds more than about RANGE_BYTES; a word that the filter doesn't have needs no join for its exact count, 0."""
     spark = docs.sparkSession
     rows = docs.select(key, text, F.monotonically_increasing_id().alias("row"))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * RUN_SHARE // RANGE_BYTES))
     gathered = cut(counts(rows, ranges, held_out, folds, key, text))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +211,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: i
                     yield pa.RecordBatch.from_arrays([pa.array([lot]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lot", "part"])
 
     def work(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        frequent, times = share.value
+        frequent, seen = share.value
         parts = [b for x in packed.column("part") for b in pa.ipc.open_stream(x.as_buffer())]
         met = [tokens(part.column(1)) for part in parts]
         one = [np.unique(t, return_inverse=True) for t, _ in met]
@@ -220,38 +224,39 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: i
             if len(unique[n]) != len(level[n]) or unique[n].sum(dtype=np.uint64) != own.column("total").to_numpy().view(np.uint64).sum(dtype=np.uint64):
                 raise RuntimeError("docs gave its rows in another order when it was read again")
         of = lambda n, u: MEAN[level[n][np.searchsorted(unique[n], u)]]
-        out = [scored(part, *m, *a, of(1, a[0]), of(2, b[0])[b[1]], frequent, times) for part, m, a, b in zip(parts, met, one, two)]
+        out = [scored(part, *m, *a, of(1, a[0]), of(2, b[0])[b[1]], frequent, seen) for part, m, a, b in zip(parts, met, one, two)]
         return pa.Table.from_batches(out)
 
-    def scored(part: pa.RecordBatch, t: np.ndarray, begins: np.ndarray, unique: np.ndarray, back: np.ndarray, own: np.ndarray, pair: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    def scored(part: pa.RecordBatch, t: np.ndarray, begins: np.ndarray, unique: np.ndarray, back: np.ndarray, own: np.ndarray, pair: np.ndarray, frequent: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
         c = np.zeros(len(unique))
         at = np.minimum(np.searchsorted(frequent, unique), max(len(frequent) - 1, 0))
         found = frequent[at] == unique if len(frequent) else np.zeros(len(unique), bool)
-        c[found] = times[at[found]]
+        c[found] = seen[at[found]]
         exact = np.log10((c + ADD) / below)
         p = (own + ADD) / below
         v = np.concatenate(([np.searchsorted(unique, END)], back[:-1]))
         pair = np.minimum(pair, own[v])
         model = np.log10(np.minimum((pair + weight * p[back]) / (own[v] + weight), 1.0))
-        rare = ~found[back]
-        base = np.add.reduceat(np.where(rare, 0.0, exact[back]), begins[:-1])
-        n_rare = np.add.reduceat(rare.astype(np.int64), begins[:-1])
-        n = np.diff(begins)
-        fold = remainders(part.column(0).to_pylist(), folds)
-        rest = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_rare))).astype(np.int32)), pa.array(t[rare].view(np.int64)))
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array([None if f is None else f == held_out for f in fold], pa.bool_()), pa.array(n), pa.array(n - n_rare), pa.array(base), pa.array(np.add.reduceat(model, begins[:-1])), rest], names)
+        rare = ~found & (own > 0)  # what the filter doesn't have was never learned from; the rest of the others is counted exactly
+        base = np.add.reduceat(np.where(rare[back], 0.0, exact[back]), begins[:-1])
+        n, sure = np.diff(begins), np.add.reduceat(found[back].astype(np.int64), begins[:-1])
+        asked, times = np.unique(np.repeat(np.arange(len(n)), n)[rare[back]] * len(unique) + back[rare[back]], return_counts=True)
+        ends = np.searchsorted(asked, np.arange(len(n) + 1) * len(unique)).astype(np.int32)
+        asked = pa.StructArray.from_arrays([pa.array(unique[asked % len(unique)].view(np.int64)), pa.array(times)], ["w", "times"])
+        fold, rest = remainders(part.column(0).to_pylist(), folds), pa.ListArray.from_arrays(pa.array(ends), asked)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array([None if f is None else f == held_out for f in fold], pa.bool_()), pa.array(n), pa.array(sure), pa.array(base), pa.array(np.add.reduceat(model, begins[:-1])), rest], names)
 
     names = [key, "held_out", "n_tokens", "sure", "base", "score", "rare"]
     kind = docs.schema[key].dataType.simpleString()
     packed = rows.mapInArrow(pack, "lot long, part binary").groupBy("lot")
     answers = gathered.where("n > 0").select("lot", "n", "r", "total", "levels").groupBy("lot")
-    first = packed.cogroup(answers).applyInArrow(work, f"`{key}` {kind}, held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>")
+    first = packed.cogroup(answers).applyInArrow(work, f"`{key}` {kind}, held_out boolean, n_tokens long, sure long, base double, score double, rare array<struct<w:bigint,times:bigint>>")
     first = cut(first.withColumn("row", F.monotonically_increasing_id()))
-    asked = first.select("row", F.explode("rare").alias("w"))
+    asked = first.select("row", F.explode("rare").alias("x")).select("row", "x.w", "x.times")
     less = known.where(F.col("c") < least) if least else known
     met = asked.join(less, F.col("w") == F.col("h"), "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(below))
-    rest = met.groupBy(F.col("row").alias("of")).agg(F.sum(log).alias("more"), F.count("c").alias("known"))
+    rest = met.groupBy(F.col("row").alias("of")).agg(F.sum(F.col("times") * log).alias("more"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0)).alias("known"))
     return first.join(rest, F.col("row") == F.col("of"), "left").select(
         key, "held_out", "n_tokens", (F.col("sure") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
     )

@@ -227,6 +227,15 @@ def test_language_model(spark, texts):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
         assert -math.inf < r.score <= 0
+    # the score by brute force: counts as the levels of the filter tell them
+    pairs = Counter(p for t, h in zip(tokens, held) if not h for p in zip([None, *t], t))
+    told = lambda k: logbloom.MEAN[int(k).bit_length()]
+    off = []
+    for i, t in enumerate(tokens):
+        want = sum(math.log10(min(1, (min(told(pairs[a, b]), told(c[a])) + 20 * (told(c[b]) + 0.1) / (n + 0.1 * (v + 1))) / (told(c[a]) + 20))) for a, b in zip([None, *t], t))
+        off.append(abs(got[i].score - want) < 1e-9 * max(1, -want))
+        assert abs(got[i].score - want) <= 0.02 * max(1, -want)
+    assert np.mean(off) > 0.9
     unseen = [i for i, h in enumerate(held) if h and len(tokens[i]) > 30]
     assert sum(got[i].score for i in unseen) > sum(got[i].base_score for i in unseen)
 
