@@ -179,7 +179,8 @@ def fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float = 0.42, case_s
     best = held.join(found, "token").groupBy("leaf_id", "q").agg(F.max("similarity").alias("best"))
     met = best.join(asked, "q").groupBy("query_id", "leaf_id").agg(F.sum(F.col("best") * F.col("times")).alias("total"), F.count("*").alias("met"))
     whole = met.join(sizes, "query_id").where(F.col("met") == F.col("kinds"))
-    return whole.select("query_id", "leaf_id", (F.col("total") / F.col("n")).alias("score")).where(F.col("score") >= threshold)
+    # rounded, so that the order in which a sum was taken never decides between equal scores
+    return whole.select("query_id", "leaf_id", F.round(F.col("total") / F.col("n"), 12).alias("score")).where(F.col("score") >= threshold)
 
 
 def search(
