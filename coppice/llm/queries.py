@@ -8,12 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..registry import table
+from ..sources.shared import shared_dir
 from . import chains, decontamination, factorization, licenses, logbloom, media, packing, secrets, simhash, sql, warc
-from .common import shared_dir
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
