@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import decontamination, factorization, packing, secrets, simhash
-from coppice.llm.common import cut, shared_dir
-from coppice.llm.queries import table, vocabulary
+from coppice.llm.common import cut
+from coppice.llm.queries import vocabulary
+from coppice.registry import table
+from coppice.sources.shared import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
