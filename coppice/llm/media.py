@@ -45,31 +45,29 @@ def write_png(samples: bytes, width: int = ROW // 3, channels: int = 3, level: i
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(body, level)) + _chunk(b"IEND", b"")
 
 
-def _paeth(row: np.ndarray, above: np.ndarray, n: int) -> None:
-    a, b, c = [0] * n, above.tolist(), [0] * n + above.tolist()
-    out = row.tolist()
-    left = a + out
-    for i in range(len(out)):
-        x, y, z = left[i], b[i], c[i]
-        p, q, r = abs(y - z), abs(x - z), abs(x + y - 2 * z)
-        left[i + n] = (out[i] + (x if p <= q and p <= r else y if q <= r else z)) & 255
-    row[:] = left[n:]
-
-
-def _average(row: np.ndarray, above: np.ndarray, n: int) -> None:
-    left = [0] * n + row.tolist()
-    for i, y in enumerate(above.tolist()):
-        left[i + n] = (left[i + n] + ((left[i] + y) >> 1)) & 255
-    row[:] = left[n:]
+def _diagonals(kind: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Any filters undone, diagonal by diagonal: a pixel is told by those on its left, above it and between these, all of which earlier diagonals have."""
+    high, wide = len(rows), rows.shape[1] // n
+    given, done = rows.reshape(high, wide, n), np.zeros((high + 1, wide + 1, n), np.int16)
+    for d in range(high + wide - 1):
+        y = np.arange(max(0, d - wide + 1), min(high, d + 1))
+        x = d - y
+        left, above, corner = done[y + 1, x], done[y, x + 1], done[y, x]
+        p, q, r = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        nearest = np.where((p <= q) & (p <= r), left, np.where(q <= r, above, corner))
+        told = np.choose(kind[y][:, None], [np.zeros_like(left), left, above, (left + above) >> 1, nearest])
+        done[y + 1, x + 1] = (given[y, x] + told) & 255
+    return done[1:, 1:].astype(np.uint8).reshape(high, -1)
 
 
 def unfilter(body: np.ndarray, channels: int) -> np.ndarray:
-    """body: rows, each a filter type and filtered bytes. Runs of rows with one filter are taken together where that is possible."""
+    """body: rows, each a filter type and filtered bytes. Without Average and Paeth, runs of rows with one filter are taken together."""
     kind, rows = body[:, 0], body[:, 1:].copy()
     if (kind > 4).any():
         raise ValueError("unknown filter")
+    if (kind > 2).any():
+        return _diagonals(kind, rows, channels)
     edges = np.concatenate(([0], np.flatnonzero(np.diff(kind)) + 1, [len(kind)])) if len(kind) else np.zeros(1, int)
-    zero = np.zeros(rows.shape[1], np.uint8)
     for a, b in zip(edges, edges[1:]):
         if kind[a] == 1:
             rows[a:b] = np.cumsum(rows[a:b].reshape(b - a, -1, channels), axis=1, dtype=np.uint8).reshape(b - a, -1)
@@ -77,9 +75,6 @@ def unfilter(body: np.ndarray, channels: int) -> np.ndarray:
             if a:
                 rows[a] += rows[a - 1]
             rows[a:b] = np.cumsum(rows[a:b], axis=0, dtype=np.uint8)
-        elif kind[a] > 2:
-            for i in range(a, b):
-                (_average if kind[a] == 3 else _paeth)(rows[i], rows[i - 1] if i else zero, channels)
     return rows
 
 
@@ -110,11 +105,13 @@ def read_png(data: bytes) -> tuple[np.ndarray, int]:
     if depth != 8 or colour not in CHANNELS or interlaced:
         raise ValueError("only 8-bit samples without a palette or interlacing")
     channels = CHANNELS[colour]
+    size, z = height * (1 + width * channels), zlib.decompressobj()
     try:
-        body = zlib.decompress(b"".join(packed))
+        body = z.decompress(b"".join(packed), size + 1)  # no more than the header says, whatever the data would inflate to
+        whole = len(body) == size and (z.eof or not z.decompress(z.unconsumed_tail, 1) and z.eof)
     except zlib.error as e:
         raise ValueError(f"the image data is damaged: {e}") from e
-    if len(body) != height * (1 + width * channels):
+    if not whole:
         raise ValueError("the image data has another size")
     return unfilter(np.frombuffer(body, np.uint8).reshape(height, -1), channels), channels
 
@@ -143,10 +140,11 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw))
 
 
-def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def media(docs: DataFrame, key: str = "doc_id", text: str = "text", hashes: bool = True) -> DataFrame:
     """(key, n_bytes, png, hash): every text's bytes, padded with spaces to whole rows, as a PNG in a binary column.
 
-    hash is the eight bytes of `cosine_hash`. A null text is stored like an empty one; repeated rows come out each."""
+    hash is the eight bytes of `cosine_hash`, or null where hashes aren't asked for, as `digests` takes them anew from
+    what it reads. A null text is stored like an empty one; repeated rows come out each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
@@ -155,7 +153,7 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 n, payload = padded(t)
                 size.append(n)
                 png.append(write_png(payload))
-                found.append(cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, ROW), 3))
+                found.append(cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, ROW), 3) if hashes else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(png, pa.binary()), pa.array(found, pa.binary())], [key, "n_bytes", "png", "hash"])
 
     kind = docs.schema[key].dataType.simpleString()

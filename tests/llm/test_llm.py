@@ -382,6 +382,22 @@ def test_media_round_trip(spark, texts):
     assert [r.intact for r in media.digests(bad).orderBy("doc_id").collect()] == [False, False, True]
 
 
+def test_hashes_against_a_plain_transform(spark, texts):
+    """The feature by sums written out: mean of the channels, blocks shrunk to SIDE x SIDE, cosine sums, bits above the median."""
+    plain = lambda rows: [[sum(p) / 3 for p in zip(*[iter(r)] * 3)] for r in rows]
+    side, low = media.SIDE, media.LOW
+    cut = lambda n: [(i * n // side, max(i * n // side + 1, (i + 1) * n // side)) for i in range(side)]
+    got = {r.doc_id: r.feature for r in media.digests(media.media(table(spark, texts[:6]), hashes=False)).collect()}
+    assert {r.doc_id: bytes(r.hash).hex() for r in media.media(table(spark, texts[:6])).collect()} == got
+    for i, t in enumerate(texts[:6]):
+        grey = plain(np.frombuffer(media.padded(t)[1], np.uint8).reshape(-1, media.ROW).tolist())
+        small = [[sum(sum(grey[y][x0:x1]) for y in range(y0, y1)) / ((y1 - y0) * (x1 - x0)) for x0, x1 in cut(64)] for y0, y1 in cut(len(grey))]
+        wave = lambda k, n: math.cos(math.pi / side * (n + 0.5) * k)
+        value = [sum(small[y][x] * wave(v, y) * wave(u, x) for y in range(side) for x in range(side)) for v in range(1, low + 1) for u in range(1, low + 1)]
+        bits, own = bin(int(got[i], 16))[2:].zfill(64), np.median(value)
+        assert all((b == "1") == (x > own) for b, x in zip(bits, value) if abs(x - own) > 1e-2)
+
+
 def test_png_filters_and_damage():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 4):
@@ -395,6 +411,10 @@ def test_png_filters_and_damage():
                 near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
                 body[i, j + 1] = (int(rows[i, j]) - (0, a, b, (a + b) // 2, near)[k]) % 256
         assert (media.unfilter(body, n) == rows).all()
+    bomb = media.write_png(b"x" * media.ROW)
+    huge = media.SIGNATURE + media._chunk(b"IHDR", bomb[16:29]) + media._chunk(b"IDAT", zlib.compress(b"\0" * (1 << 24))) + bomb[-12:]
+    with pytest.raises(ValueError, match="another size"):
+        media.read_png(huge)
     data = media.write_png(media.padded("abc")[1])
     for i in range(len(data)):
         with pytest.raises(ValueError):
