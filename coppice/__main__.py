@@ -1,4 +1,4 @@
-"""python -m coppice COMMAND TREE ...: import, reconcile, append, search, lint, doc-check, compile, apply, forget, split, move, new-root, export."""
+"""python -m coppice COMMAND TREE ...: import, reconcile, append, search, lint, doc-check, compile, apply, forget, split, move, new-root, export, init; and bench, without a tree."""
 
 from __future__ import annotations
 
@@ -36,9 +36,20 @@ def main(argv: list[str] | None = None) -> int:
     command("move", "source", "target", "branch", "selectors+")
     command("new-root", "name", "source", "branches+")
     command("export", "folder")
+    command("init", "name")
+    sub.add_parser("bench").add_argument("--leaves", type=int, default=300)
     a = p.parse_args(argv)
+    if a.command == "bench":
+        from pyspark.sql import SparkSession
+
+        from .plans import recall
+
+        print(json.dumps(recall.measure(SparkSession.builder.getOrCreate(), a.leaves), indent=1))
+        return 0
     tree, out, code = Tree(a.tree), None, 0
-    if a.command in ("search", "lint", "doc-check"):
+    if a.command == "init":
+        out = sorted(restructure.seed(a.tree, a.name).roots())
+    elif a.command in ("search", "lint", "doc-check"):
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.getOrCreate()

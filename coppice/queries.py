@@ -225,7 +225,10 @@ def cluster_evidence_top3(spark, sf_dir):
 
 @query("branch_split_clusters")
 def branch_split_clusters(spark, sf_dir):
-    return cluster.split_branches(leaves(spark, sf_dir), audit.WARN_LEAVES).select("file", "branch", "cluster", "keyword", "confidence", "overall", F.size("leaf_ids").alias("leaves"))
+    """Conversations as branches, which their length bounds, and turns as leaves."""
+    c = table(spark, sf_dir, "conversations")
+    turns = c.select(F.concat_ws(":", "conv_id", "turn").alias("leaf_id"), F.lit("conversations").alias("file"), F.col("conv_id").cast("string").alias("branch"), F.col("turn").alias("index"), "text")
+    return cluster.split_branches(turns, 4).select("file", "branch", "cluster", "keyword", "confidence", "overall", F.size("leaf_ids").alias("leaves"))
 
 
 # --- references -----------------------------------------------------------------------------------------------------
