@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Words, mixed, slices
+from .common import Words, mixed, slices, unlike
 from .learning import Adam, fitted, in_parts, prefixes, sample, sigmoid
 
 BITS = 17
@@ -130,6 +130,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     Learns labels.toxic from `rows` labelled rows and learning.MOST_BYTES of their texts at most. Null and empty texts have no words and get what the chain
     gives such a text; without any labelled row, all probabilities are 0. Other columns of docs are not looked at."""
+    unlike(key, "toxic", *(f"p_{c}" for c in CHAIN))
     share = docs.sparkSession.sparkContext.broadcast(fitted(sample(docs, labels, "toxic", key, text, rows, None, 0), fit))
     names = [f"p_{c}" for c in CHAIN]
 

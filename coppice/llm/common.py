@@ -34,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unlike(key: str, *results: str) -> None:
+    """Refuses a key column that is named like a column of the result."""
+    if key.lower() in results:
+        raise ValueError(f"the key can't be named {key}, as a column of the result is")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import fresh
 from .chains import MARKS
-from .common import Words, mixed, shingles, slices
+from .common import Words, mixed, shingles, slices, unlike
 
 #: Items, and bytes of them, whose tables are broadcast together; more are taken in further blocks, each over all documents.
 ITEMS, ITEM_BYTES = 20_000, 32 << 20
@@ -231,6 +231,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     similarity of 0.8 fingerprints differ in 10 bits on average and in 20 at 3.6 standard deviations. Items that repeat
     a few shingles over and over, whose fingerprints are less steady, have a radius that none is beyond (`loose`). Items
     are taken in blocks, by hash, of about ITEMS and ITEM_BYTES, each over all documents, so what is broadcast is bounded."""
+    unlike(key, item.lower(), "similarity", "first_word", "n_words")
     spark = docs.sparkSession
     few = benchmark.select(F.col(item), F.col("text").alias(fresh("text", [item])))
     body = few.columns[1]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, remainders, slices
+from .common import Words, remainders, slices, unlike
 from .learning import Adam, fitted, in_parts, sample, sigmoid
 
 BUCKETS = 1 << 14
@@ -118,6 +118,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Learns labels.quality from `rows` labelled rows, and learning.MOST_BYTES of their texts, at most, whose crc32(key as text) mod folds is not held_out. Null and
     empty texts are scored like others, by a text without words. A null key is not held out. Where no labelled row can
     be learned from, every score is 1, so that nothing is rejected unlearned. Other columns of docs are not looked at."""
+    unlike(key, "held_out", "score", "predicted", "_text", *map(str.lower, keep))
     share = docs.sparkSession.sparkContext.broadcast(fitted(sample(docs, labels, "quality", key, text, rows, folds, held_out), fit))
     names = [key, "held_out", "score", "predicted"]
 

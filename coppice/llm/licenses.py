@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import license_texts as texts
-from .common import ascii_lower
+from .common import ascii_lower, unlike
 
 #: Between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -118,6 +118,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
     word numbers from 0, that of a template whose first words are missing may be below 0. docs is read twice, first to
     count words. There is no shuffle but that of these counts, and words are looked up only in texts that hold an
     anchor at all. The work for a file grows with the hits of its words, not with the number of templates."""
+    unlike(key, "n_words", "places")
     templates = (*BASE, *templates)
     own = anchors(templates, frequencies(docs, templates, text))
     posts: dict[str, list[tuple[int, int]]] = defaultdict(list)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, mixed, pairs_hash, remainders, slices
+from .common import Words, cut, mixed, pairs_hash, remainders, slices, unlike
 
 #: Hash of the end of a text, which also stands before the first word.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -178,6 +178,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: i
     Without any training tokens all counts are 0. docs is read twice and must give its rows in the same order, as files
     do; else the levels of a lot don't fit it, which raises an error. Ranges are as many as the bytes of text ask for, so
     that none holds more than about RANGE_BYTES; a word that the filter doesn't have needs no join for its exact count, 0."""
+    unlike(key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "sure", "base", "rare", "row")
     spark = docs.sparkSession
     rows = docs.select(key, text, F.monotonically_increasing_id().alias("row"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

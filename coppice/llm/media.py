@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, unlike
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -146,6 +146,8 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text", hashes: bool
     hash is the eight bytes of `cosine_hash`, or null where hashes aren't asked for, as `digests` takes them anew from
     what it reads. A null text is stored like an empty one; repeated rows come out each."""
 
+    unlike(key, "n_bytes", "png", "hash")
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             size, png, found = [], [], []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import Words, equal, slices
+from .common import Words, equal, slices, unlike
 
 TIERS = (512, 1024, 2048, 4096)
 #: Documents that are packed together; a task packs one lot after another.
@@ -276,6 +276,7 @@ def sequences(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
             done, left = pack([len(x) for x in ids], tiers)
             yield from rows(done + last(left, tiers[-1]))
 
+    unlike(key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step")
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step"]
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(work, ", ".join([f"`{key}` {kind}", *(f"`{n}` long" for n in names[1:])]))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import fresh, lookup
-from .common import Words, cut, shingles, slices
+from .common import Words, cut, shingles, slices, unlike
 from .components import components
 
 #: Fingerprints of one bucket that one task compares with as many others; a larger bucket is dealt to cells of two chunks.
@@ -340,7 +340,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
 
     Rows with equal fingerprints are linked, and so are rows whose fingerprints differ in `radius` bits or fewer; empty
     and null texts have fingerprint 0 like any other. Repeated rows come out as often as they are there; a null key is
-    no component's smallest unless all are null. Columns other than key and text are not looked at."""
+    no component's smallest unless all are null. Columns other than key and text are not looked at; a key named
+    like a column of the result is refused."""
+    unlike(key, "fp", "component_id")
     marked = cut(fingerprints(docs, words, key, text))
     distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius))

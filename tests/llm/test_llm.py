@@ -785,3 +785,13 @@ def test_slices_are_whole_and_small():
     batch = pa.RecordBatch.from_arrays([pa.array([None, "", "abc", "d" * 50, "e"])], ["text"])
     got = list(common.slices(iter([batch, batch.slice(0, 0)]), "text", 10))
     assert [p.column(0).to_pylist() for p in got] == [[None, "", "abc"], ["d" * 50], ["e"]]
+
+
+def test_keys_named_like_results_are_refused(spark):
+    docs = table(spark, ["a"])
+    labels = spark.createDataFrame([(1, 1, 1)], "score long, quality int, toxic int")
+    bench = spark.createDataFrame([("i", "a")], "item_id string, text string")
+    for name, f in (("FP", simhash.near_duplicates), ("score", logbloom.scores), ("step", lambda d, key: packing.sequences(d, vocabulary(), key)), ("places", licenses.scan), ("png", media.media), ("similarity", lambda d, key: decontamination.contaminated(d, bench, key)),
+                    ("score", lambda d, key: factorization.classify(d, labels, key)), ("toxic", lambda d, key: chains.classify(d, labels, key))):
+        with pytest.raises(ValueError, match="named"):
+            f(docs.withColumnRenamed("doc_id", name), key=name)
