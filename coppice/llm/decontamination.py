@@ -232,19 +232,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     a few shingles over and over, whose fingerprints are less steady, have a radius that none is beyond (`loose`). Items
     are taken in blocks, by hash, of about ITEMS and ITEM_BYTES, each over all documents, so what is broadcast is bounded."""
     unlike(key, item.lower(), "similarity", "first_word", "n_words")
-    spark = docs.sparkSession
+    kinds, out = (docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()), None
+    for share in _blocks(benchmark, item):
+        got = docs.select(key, text).mapInArrow(_search(share, words, threshold, radius, text, [key, item]), f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, similarity double, first_word long, n_words long")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", words: int = 5, threshold: float = 0.8, radius: int = 19) -> DataFrame:
+    """The rows of docs, with all their columns, of which no window is as similar to an item as the threshold, as `contaminated` has it. Rows are judged where they lie, without a join; null and empty texts stay."""
+    for share in _blocks(benchmark, item):
+        docs = docs.mapInArrow(_kept(share, words, threshold, radius, text), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item: str) -> Iterator:
+    """The items (id, text) in broadcast blocks, dealt by hash."""
     few = benchmark.select(F.col(item), F.col("text").alias(fresh("text", [item])))
     body = few.columns[1]
     n, size = few.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()
     blocks = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
-    kinds = docs.schema[key].dataType.simpleString(), few.schema[item].dataType.simpleString()
     of_block = F.pmod(F.xxhash64(body, item), F.lit(blocks))
-    out = None
     for b in range(blocks):
-        share = spark.sparkContext.broadcast(few.where(of_block == b).toArrow())
-        got = docs.select(key, text).mapInArrow(_search(share, words, threshold, radius, text, [key, item]), f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, similarity double, first_word long, n_words long")
-        out = got if out is None else out.unionByName(got)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(few.where(of_block == b).toArrow())
+
+
+def _kept(share, words: int, threshold: float, radius: int, text: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(share.value.column(1).combine_chunks(), words, radius, threshold)
+        for part in slices(batches, text):
+            found = {d for d, _ in hits(items, part.column(part.schema.get_field_index(text)), threshold)}
+            yield part.filter(pa.array([d not in found for d in range(part.num_rows)], pa.bool_()))
+
+    return work
 
 
 def _search(share, words: int, threshold: float, radius: int, text: str, names: list[str]):

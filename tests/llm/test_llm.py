@@ -672,6 +672,19 @@ def test_decontamination_of_moved_passages(spark, kind):
     got = {(r.doc_id, 0 if r.item_id is None else int(r.item_id)): r.similarity for r in decontamination.contaminated(table(spark, docs), bench).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert sum(v < 1 for v in want.values()) > 10 and (0, 0) in want
+    kept = decontamination.clean(clashing(table(spark, [*docs, None, ""])), bench)
+    assert kept.columns == clashing(table(spark, [])).columns
+    assert {r.doc_id for r in kept.collect()} == set(range(len(docs) + 2)) - {d for d, _ in want}
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [prose(rng, 20) for _ in range(9)]
+    docs = table(spark, [f"{prose(rng, 9)} {it} {prose(rng, 9)}" for it in items[:6]] + [prose(rng, 50)])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(decontamination, "ITEMS", 2)
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(i, i) for i in range(6)}
+    assert [r.doc_id for r in decontamination.clean(docs, bench).collect()] == [6]
 
 
 def test_multi_index_tables_find_all_within_the_radius():
