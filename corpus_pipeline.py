@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coppice.llm import decontamination, factorization, packing, secrets, simhash
-from coppice.llm.common import cut
 from coppice.llm.queries import vocabulary
 from coppice.registry import table
 from coppice.sources.shared import shared_dir
@@ -29,9 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaked = cut(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    few = F.broadcast(leaked) if leaked.count() <= simhash.FEW_ROWS else leaked
-    return docs.join(few.withColumnRenamed("doc_id", "_leaked"), F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti").select(COLUMNS)
+    return decontamination.clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
