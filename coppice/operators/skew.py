@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a label table that are broadcast whole at most, and the most frequent values of a larger one that are.
-FEW_LABELS, HOT = 1 << 18, 1 << 12
+FEW_LABELS, HOT = 1 << 14, 1 << 12
 
 
 def fresh(name: str, taken: list[str]) -> str:
