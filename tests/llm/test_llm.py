@@ -354,6 +354,29 @@ def test_marks_come_from_the_rows_they_are_mined_from():
     assert chains.categories(begins, index, toxic, np.arange(80))[40:, 0].all()
 
 
+def test_a_chain_against_sums_written_out(texts):
+    """Every category's probability from hashed words and word beginnings one by one, fed with those of the categories before."""
+    rng = np.random.default_rng(3)
+    own = [t for t in texts[:40]] + [None, "", "one"]
+    chain = chains.fit(pa.array(own[:30]), (rng.random(30) < 0.4).astype(float))
+    got = chains.predict(chain, pa.array(own))
+    split = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    one = lambda raw: common.hashed(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0]
+    for i, t in enumerate(own):
+        words = [w.encode() for w in split.split((t or "").translate(AZ)) if w]
+        counts = Counter()
+        for w in words:
+            for k, n in enumerate((None, *chains.STARTS)):
+                h = one(w) if n is None else common.mixed(np.array([int.from_bytes(w[:n], "little") | min(len(w), n) << 56], np.uint64))[0]
+                counts[int(common.mixed(np.array([h + np.uint64(k)]))[0] >> np.uint64(64 - chains.BITS))] += 1
+        earlier = []
+        for m, p in zip(chain, got[i]):
+            z = m.bias + sum(m.weights[b] * min(c / max(len(words), 4) * chains.SCALE, chains.MOST) for b, c in counts.items())
+            z += sum(w * math.log(min(max(e, 0.01), 0.99) / (1 - min(max(e, 0.01), 0.99))) for w, e in zip(m.earlier, earlier))
+            earlier.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
+            assert p == pytest.approx(earlier[-1], abs=1e-9)
+
+
 def test_a_sample_is_bounded_in_bytes(spark, monkeypatch):
     from coppice.llm import learning
 
