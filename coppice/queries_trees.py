@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .plans import restructure
 from .plans.store import Tree
 from .registry import query, table
-from .sources import eventlog, markdown
+from .sources import eventlog, markdown, trees
 from .sources.shared import shared_dir
 
 # --- documents ------------------------------------------------------------------------------------------------------
@@ -188,8 +188,6 @@ def tree_published(spark, sf_dir):
         own.append(file, "Later", f"added to {file.split('-')[1]}")
     folder = own.folder.with_name(f"{own.folder.name}-export")
     own.export(folder)
-    from .sources import trees
-
     texts = F.transform(F.array_sort(F.collect_list(F.struct("index", "text"))), lambda x: x["text"])
     return trees.leaves(spark, str(folder)).groupBy("file").agg(F.sha2(F.array_join(texts, "\n"), 256).alias("hash"), F.count("*").alias("leaves"))
 
@@ -212,3 +210,98 @@ def tree_replayed(spark, sf_dir):
     live = eventlog.leaves_of(eventlog.committed_operations(eventlog.read_logs(spark, str(own.log.file))))
     leaf = F.from_json("leaf", _STATE)
     return live.select(leaf.alias("x")).select("x.*")
+
+
+_ROOTS = "SELECT r_regionkey AS r, 'root-' || r_regionkey || '-' || replace(lower(r_name), ' ', '-') || '.md' AS file FROM region"
+
+
+@query("tree_split", f"""SELECT file, b.branch AS branch, b.ord AS branch_ord FROM ({_ROOTS}), (VALUES ('Nations', 0), ('Nations / North', 1), ('Nations / South', 2), ('Later', 3)) b(branch, ord)""")
+def tree_split(spark, sf_dir):
+    own = tree(spark, sf_dir)
+    for file in own.roots():
+        restructure.split_branch(own, file, "nations", ["North", "## South", "North"])
+    published = spark.createDataFrame(list(own.published().items()), "file string, content string")
+    return markdown.parsed(published).where("kind = 'branch'").select("file", "branch", "branch_ord")
+
+
+@query("tree_new_root", f"""WITH l AS ({_LEAVES}), n AS (SELECT max(r_regionkey) + 1 AS r FROM region), one AS (SELECT file FROM ({_ROOTS}) WHERE r = 1)
+      SELECT CASE WHEN r = 1 THEN 'root-' || (SELECT n.r FROM n) || '-moved-away.md' ELSE file END AS file, branch, ("index" + CASE WHEN r = 1 THEN 1 ELSE 0 END)::INTEGER AS "index", kind, text FROM l
+      UNION ALL SELECT 'root-' || n.r || '-moved-away.md', NULL, 0, 'blockquote', '> **Created:** from ' || one.file FROM n, one
+      UNION ALL SELECT f.file, 'Later', (SELECT count(*) FROM l WHERE l.r = 0)::INTEGER, 'list-item', '- **Root-' || n.r || '** — `root-' || n.r || '-moved-away.md`' FROM n, ({_ROOTS}) f WHERE f.r = 0""")
+def tree_new_root(spark, sf_dir):
+    own = tree(spark, sf_dir)
+    source = next(f for f in own.roots() if f.startswith("root-1-"))
+    restructure.new_root(own, " Moved away ", source, ["Nations"])
+    return state(spark, own)
+
+
+def referring(spark: SparkSession, sf_dir: str) -> Tree:
+    """Each root has one leaf in its last branch, to which a leaf of the root before it refers."""
+    own = tree(spark, sf_dir)
+    files = list(own.roots())
+    own.append_all((f, "Later", f"added to {f.split('-')[1]}") for f in files)
+    own.append_all((f, "Nations", f"see {f.split('-')[1]}, bkz: root-{(int(f.split('-')[1]) + 1) % len(files)} / later") for f in files)
+    return own
+
+
+_EDGES = f"WITH r AS ({_ROOTS}), e AS (SELECT r, (r + 1) % (SELECT count(*) FROM r) AS next FROM r)"
+
+
+@query("tree_edges", _EDGES + " SELECT 'see ' || r || ', bkz: root-' || next || ' / later' AS source, 'added to ' || next AS target, 'resolved' AS status, 'bkz: root-' || next || ' / later' AS human FROM e")
+def tree_edges(spark, sf_dir):
+    now = referring(spark, sf_dir).state()
+    said = lambda i: now.leaves[i]["text"]
+    return spark.createDataFrame([(said(e["sourceId"]), said(e["targetId"]), e["status"], e["human"]) for e in now.edges.values()], "source string, target string, status string, human string")
+
+
+@query("tree_retargeted", _EDGES + """, f AS (SELECT r FROM r WHERE r = (SELECT max(r) FROM r)) SELECT 'see ' || e.r || ', bkz: root-' || CASE WHEN next = 0 THEN f.r ELSE next END || CASE WHEN next = 0 THEN ' / Nations' ELSE ' / later' END AS text FROM e, f""")
+def tree_retargeted(spark, sf_dir):
+    """The leaf that the last root refers to moves there; the reference names its new place."""
+    own = referring(spark, sf_dir)
+    files = sorted(own.roots())
+    restructure.move(own, files[0], files[-1], "Nations", ["added to 0"])
+    return spark.createDataFrame([(x["text"],) for x in own.state().leaves.values() if x["text"].startswith("see ")], "text string")
+
+
+@query("tree_provenance", f"SELECT text, CASE WHEN \"index\" = 0 THEN '0.5' END AS confidence FROM ({_LEAVES})")
+def tree_provenance(spark, sf_dir):
+    """Facts of the first leaf of each root, the second of which takes the place of the first, folded by the executors."""
+    own = tree(spark, sf_dir)
+    for i, x in own.state().leaves.items():
+        if x["index"] == 0:
+            own.provenance(i, confidence=0.9, source="a person")
+            own.provenance(i, confidence=0.5)
+    live = eventlog.leaves_of(eventlog.committed_operations(eventlog.read_logs(spark, str(own.log.file))))
+    return live.select(F.get_json_object("leaf", "$.text").alias("text"), F.col("confidence").cast("string").alias("confidence"))
+
+
+@query("tree_tombstones", f"""WITH l AS ({_LEAVES}) SELECT 'leaf.delete' AS type, 0 AS records WHERE false UNION ALL SELECT 'leaf.forget', count(*) FROM l WHERE "index" = 0 UNION ALL SELECT 'leaf.upsert', 2 * count(*) - count(*) FILTER (WHERE "index" = 0) FROM l
+      UNION ALL SELECT 'view.checkpoint', 2 * count(DISTINCT r) FROM l""")
+def tree_tombstones(spark, sf_dir):
+    """The log's operations once the first leaf of each root is forgotten: the others of the root move up."""
+    own = tree(spark, sf_dir)
+    for i in [i for i, x in own.state().leaves.items() if x["index"] == 0]:
+        restructure.forget(own, i)
+    done = eventlog.committed_operations(eventlog.read_logs(spark, str(own.log.file)))
+    return done.groupBy("type").agg(F.count("*").alias("records"))
+
+
+@query("tree_log_damaged", "SELECT CASE WHEN line < 10 THEN true ELSE false END AS valid, count(*) AS records FROM (SELECT unnest(range(1, (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation) + 2)) AS line) GROUP BY 1")
+def tree_log_damaged(spark, sf_dir):
+    """One record of the log is changed: those before it hold, it and what follows don't."""
+    own = tree(spark, sf_dir)
+    lines = own.log.file.read_text().split("\n")
+    lines[9] = lines[9].replace("nation ", "notion ", 1)
+    own.log.file.write_text("\n".join(lines))
+    return eventlog.read_logs(spark, str(own.log.file)).groupBy("valid").agg(F.count("*").alias("records"))
+
+
+@query("document_links", """SELECT '/orders-by-customer/c' || o_custkey || '/' || o_orderkey || '.md' AS path, '../../orders-by-customer/./c' || o_custkey || '/' || (o_orderkey + 1) || '.md' AS link FROM orders o
+      WHERE NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_custkey = o.o_custkey AND n.o_orderkey = o.o_orderkey + 1) UNION ALL SELECT '/orders-by-customer/c' || o_custkey || '/' || o_orderkey || '.md', 'scripts/' || o_orderkey || '.sh' FROM orders""")
+def document_links(spark, sf_dir):
+    """Each order's document refers to the next order of the customer, to itself from the root, to a folder, a site, and a tool that isn't there."""
+    o = table(spark, sf_dir, "orders")
+    path = F.format_string("/orders-by-customer/c%s/%s.md", "o_custkey", "o_orderkey")
+    text = F.format_string('[next](../../orders-by-customer/./c%s/%s.md "title"), [self](/c%s/%s.md#top), [all](../c%s), [site](https://x/y.md), `scripts/%s.sh`', "o_custkey", F.col("o_orderkey") + 1, "o_custkey", "o_orderkey", "o_custkey", "o_orderkey")
+    docs = o.select(path.alias("path"), text.alias("content"))
+    return trees.broken_links(docs, docs.select("path"), "/orders-by-customer")
