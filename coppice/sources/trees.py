@@ -78,7 +78,7 @@ def broken_links(docs: DataFrame, files: DataFrame, root: str, tools: tuple[str,
     from_root = F.col("link").rlike(rf"^/|^(?:{'|'.join(tools)})/")
     target = resolved(F.when(from_root, F.concat(F.lit(root.rstrip("/") + "/"), "clean")).otherwise(F.concat(F.regexp_replace("path", r"[^/]*$", ""), "clean")))
     # a file's steps, and those of every folder that it is in
-    there = files.select(F.split(F.regexp_replace("path", "/+", "/"), "/").alias("s")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.slice("s", 1, n))).alias("target")).distinct()
+    there = files.select(resolved(F.col("path")).alias("s")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.slice("s", 1, n))).alias("target")).distinct()
     lost = asked.withColumn("target", target).join(there, "target", "left_anti")
     return lost.where(~_there(F.array_join("target", "/"))).select("path", "link")
 
