@@ -25,8 +25,6 @@ from .components import components
 CHUNK = 4096
 #: Up to so many distinct fingerprints, r + 1 blocks are enough for small buckets.
 FEW = 1 << 24
-#: Edge-disjoint forests of closest pairs that every RICH-th table of buckets gives; the others give one.
-FORESTS, RICH = 6, 8
 #: So many row numbers (8 bytes each) are broadcast at most; more are joined by a shuffle.
 FEW_ROWS = 1 << 20
 #: Nodes whose remaining pairs are verified together.
@@ -414,27 +412,17 @@ def deduplicate(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int
 
     def found(cells: list, t: int, order: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         nodes = np.concatenate([x for c in cells for x in c[2] if x is not None])
-        for a, b, forest in closest([c[0] for c in cells], [c[1] for c in cells], radius, both, order, FORESTS if t % RICH == 0 else 1):
-            yield nodes[a], nodes[b], forest
+        for a, b, _ in closest([c[0] for c in cells], [c[1] for c in cells], radius, both, order):
+            yield nodes[a], nodes[b]
 
-    pairs = deal(distinct, "node").mapInArrow(_work(found, [o for _, o in sampled], ["a", "b", "forest"]), "a long, b long, forest long")
-    pairs = cut(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("forest").alias("forest")))
+    pairs = deal(distinct, "node").mapInArrow(_work(found, [o for _, o in sampled]), "a long, b long")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     bagged = lambda b: _bags(b, words)
-
-    def verified(some: DataFrame) -> DataFrame:
-        asked = some.select(F.col("a").alias("_row")).union(some.select("b")).distinct()
-        bags = cut(rows.join(_few(asked), "_row", "left_semi").select("_row", "text").mapInArrow(bagged, "_row long, bag binary"))
-        sides = some.join(bags.withColumnsRenamed({"_row": "a", "bag": "x"}), "a").join(bags.withColumnsRenamed({"_row": "b", "bag": "y"}), "b")
-        return sides.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, least), "a long, b long")
-
-    roots = cut(components(verified(pairs.where("forest = 0").select("a", "b"))))
-    # the other pairs count only where the closest ones have not held
-    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    apart = pairs.where("forest > 0").join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
-    apart = cut(apart.select("a", "b"))
-    if not apart.isEmpty():
-        roots = cut(components(verified(apart).union(roots.select("node", "root"))))
-    # what the forests left out: every pair of a bucket that is still of two groups
+    asked = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
+    bags = cut(rows.join(_few(asked), "_row", "left_semi").select("_row", "text").mapInArrow(bagged, "_row long, bag binary"))
+    sides = pairs.join(bags.withColumnsRenamed({"_row": "a", "bag": "x"}), "a").join(bags.withColumnsRenamed({"_row": "b", "bag": "y"}), "b")
+    roots = cut(components(sides.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, least), "a long, b long")))
+    # what the closest pairs left out: every pair of a bucket that is still of two groups
     bits = [np.uint64(m & 0xFFFFFFFFFFFFFFFF) for m, _ in sampled]
 
     def unmet(cells: list, t: int, order: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
