@@ -354,6 +354,35 @@ def test_marks_come_from_the_rows_they_are_mined_from():
     assert chains.categories(begins, index, toxic, np.arange(80))[40:, 0].all()
 
 
+def test_a_step_goes_down_the_loss():
+    """One step of one batch moves every parameter by the rate against its numeric derivative."""
+    texts, y = pa.array(["a b c", "d e", "a a f", "d g", "b d"]), np.array([1.0, 0, 1, 0, 1])
+    m = factorization.fit(texts, y, epochs=1, size=5, rate=0.02, decay=0.0)
+    begins, index, value, stats = factorization.in_parts(factorization.features, texts)
+    rng = np.random.default_rng(7)
+    first = factorization.Model(m.mean, m.scale, np.zeros(1), np.zeros_like(m.linear), rng.normal(0, 0.02, m.factors.shape))
+    rows = first.rows(begins, index, value, stats.astype(float))
+
+    def loss():
+        z = first.margin(*rows)[0]
+        return float(np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))))
+
+    seen = 0
+    for before, after in ((first.bias, m.bias), (first.linear, m.linear), (first.factors, m.factors)):
+        flat, moved = before.reshape(-1), (after - before).reshape(-1) if before is not first.factors else (after - first.factors.copy()).reshape(-1)
+        for i in np.flatnonzero(np.abs(moved) > 1e-9)[:60]:
+            kept = flat[i]
+            flat[i] = kept + 1e-5
+            up = loss()
+            flat[i] = kept - 1e-5
+            slope = (up - loss()) / 2e-5
+            flat[i] = kept
+            if abs(slope) > 1e-5:
+                seen += 1
+                assert moved[i] == pytest.approx(-0.02 * np.sign(slope), rel=0.02)
+    assert seen > 50
+
+
 def test_a_chain_against_sums_written_out(texts):
     """Every category's probability from hashed words and word beginnings one by one, fed with those of the categories before."""
     rng = np.random.default_rng(3)
@@ -588,7 +617,7 @@ def test_packing(spark, texts):
         for r in sorted(own, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 4096 and at & at - 1 == 0
+        assert at <= 4096 and at & at - 1 == 0 and len({(r.tier, r.step) for r in own}) == 1 and own[0].tier == at
     assert packing.sequences(table(spark, []), vocabulary()).count() == 0
     assert sum(r.length for r in packing.sequences(table(spark, ["a b", "a b", None], [None, 1, 1]), vocabulary()).collect()) == 7
 
