@@ -14,6 +14,7 @@ import re._parser as parser
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ TOKENS = 1 << 14
 FEW = 1 << 17
 #: Tokens on either side of a product of gram matrices.
 AT_ONCE = 1024
+#: Leaves, and queries, whose scores are one product.
+LEAVES = 256
 #: A query token that finds nothing this similar in a leaf rules the leaf out.
 FLOOR = 0.4
 #: Characters that a regex's literal must have to narrow its texts down.
@@ -171,16 +174,57 @@ def _similar(words: DataFrame, own: list[str], floor: float) -> DataFrame:
 
 
 def fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float = 0.42, case_sensitive: bool = False) -> DataFrame:
-    """(query_id, leaf_id, score): the mean over a query's tokens of each one's best similarity in the leaf; leaves that any token misses are left out."""
-    held = leaves.select("leaf_id", F.explode(F.array_distinct(T.tokens(T.compatible(F.col("text")), case_sensitive))).alias("token"))
-    asked = queries.select("query_id", F.explode(T.tokens(T.compatible(F.col("query")), case_sensitive)).alias("q")).groupBy("query_id", "q").agg(F.count("*").alias("times"))
-    sizes = asked.groupBy("query_id").agg(F.sum("times").alias("n"), F.count("*").alias("kinds"))
-    found = similar_tokens(held.select("token").distinct(), asked.select("q").distinct())
-    best = held.join(found, "token").groupBy("leaf_id", "q").agg(F.max("similarity").alias("best"))
-    met = best.join(asked, "q").groupBy("query_id", "leaf_id").agg(F.sum(F.col("best") * F.col("times")).alias("total"), F.count("*").alias("met"))
-    whole = met.join(sizes, "query_id").where(F.col("met") == F.col("kinds"))
-    # rounded, so that the order in which a sum was taken never decides between equal scores
-    return whole.select("query_id", "leaf_id", F.round(F.col("total") / F.col("n"), 12).alias("score")).where(F.col("score") >= threshold)
+    """(query_id, leaf_id, score): the mean over a query's tokens of each one's best similarity in the leaf; leaves that any token misses are left out.
+
+    Queries are taken in blocks. Of a leaf, the best similarity for each of the block's tokens is gathered, and the
+    scores of all the block's queries are one product of that with their tokens' counts."""
+    words = leaves.select("leaf_id", F.explode(F.array_distinct(F.regexp_extract_all(T.fold(T.compatible(F.col("text")), case_sensitive), F.lit(T.WORD), F.lit(0)))).alias("w"))
+    held = words.select("leaf_id", T.stem(F.col("w")).alias("token")).where(F.length("token") > 1)
+    blocks = max(1, -(-queries.count() // QUERIES))
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        got = _scored(held, part, threshold, case_sensitive)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _scored(held: DataFrame, queries: DataFrame, threshold: float, case_sensitive: bool) -> DataFrame:
+    spark = held.sparkSession
+    asked = queries.select("query_id", F.explode(T.tokens(T.compatible(F.col("query")), case_sensitive)).alias("q")).groupBy("query_id", "q").agg(F.count("*").alias("times")).toArrow()  # of QUERIES at most
+    tokens = pc.unique(asked.column("q").combine_chunks()) if asked.num_rows else pa.array([], pa.string())
+    ids = pc.unique(asked.column("query_id").combine_chunks()) if asked.num_rows else asked.column("query_id").combine_chunks()
+    at, of = (pc.index_in(asked.column(c), v).to_numpy() for c, v in (("q", tokens), ("query_id", ids)))
+    share = spark.sparkContext.broadcast((len(tokens), ids, at, of, asked.column("times").to_numpy()))
+    numbered = spark.createDataFrame(list(enumerate(tokens.to_pylist())), "t int, q string")
+    found = similar_tokens(held.select("token").distinct(), numbered.select("q")).join(F.broadcast(numbered), "q")
+    best = held.join(found, "token").groupBy("leaf_id", "t").agg(F.max("similarity").alias("best"))
+    packed = best.groupBy("leaf_id").agg(F.collect_list("t").alias("t"), F.collect_list("best").alias("best"))
+    kinds = held.schema["leaf_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        n, ids, at, of, times = share.value
+        size, need = np.bincount(of, times, len(ids)), np.bincount(of, minlength=len(ids))
+        for batch in batches:
+            for low in range(0, batch.num_rows, LEAVES):
+                part = batch.slice(low, LEAVES)
+                lists = part.column(1), part.column(2)
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists[0]).to_numpy())
+                own = np.zeros((part.num_rows, n))
+                own[row, pc.list_flatten(lists[0]).to_numpy()] = pc.list_flatten(lists[1]).to_numpy()
+                for first in range(0, len(ids), LEAVES):
+                    mine = (of >= first) & (of < first + LEAVES)
+                    weight = np.zeros((n, min(LEAVES, len(ids) - first)))
+                    weight[at[mine], of[mine] - first] = times[mine]
+                    some = slice(first, first + weight.shape[1])
+                    whole = (own > 0).astype(np.float32) @ (weight > 0).astype(np.float32) == need[some]
+                    score = np.round(own @ weight / size[some], 12)  # so that the order of a sum never decides between equal scores
+                    i, q = np.nonzero(whole & (score >= threshold))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), part.column(0).take(pa.array(i)), pa.array(score[i, q])], ["query_id", "leaf_id", "score"])
+
+    return packed.mapInArrow(work, f"query_id {kinds[1]}, leaf_id {kinds[0]}, score double")
 
 
 def search(

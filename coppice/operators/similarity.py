@@ -5,43 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .skew import lookup
 
 
-def similar_classes(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
-    """Classes of rows with equal token sets: (key, class, copies) of every row, and (a, b, similarity) of all pairs of classes, a < b, as similar as `least` or more.
-
-    A class is named by its smallest key. Sets are told apart by their SHA-256, copies are compared once and not
-    expanded. With a set's tokens ordered from rare to frequent, two sets that qualify share one of the first
-    n - ceil(least n) + 1; only those are joined, and candidates are verified on the whole sets. Rows with an empty set
-    or a null key are in no class."""
+def _classes(rows: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """(key, digest) of every row that has a set, and (digest, class, copies, set) of the distinct sets; texts are gone over once."""
     sets = rows.select(F.col(key).alias(key), F.array_sort(F.array_distinct(F.col(tokens))).alias("set")).where(F.col(key).isNotNull() & (F.size("set") > 0))
-    sets = sets.withColumn("digest", F.unhex(F.sha2(F.to_json("set"), 256)))
-    distinct = sets.groupBy("digest").agg(F.min(key).alias("class"), F.count("*").alias("copies"), F.first("set").alias("set"))
+    sets = cut(sets.withColumn("digest", F.unhex(F.sha2(F.to_json("set"), 256))))
+    return sets.select(key, "digest"), cut(sets.groupBy("digest").agg(F.min(key).alias("class"), F.count("*").alias("copies"), F.first("set").alias("set")))
+
+
+def _linked(distinct: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of all pairs of distinct sets, a < b, as similar as `least` or more."""
     held = distinct.select("class", F.size("set").alias("n"), F.explode("set").alias("t"))
     frequency = held.groupBy("t").agg(F.count("*").alias("df"))
     ranked = held.join(frequency, "t").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
     size = (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int")
     prefix = ranked.select("class", "n", F.explode(F.slice("all", F.lit(1), size)).alias("x")).select("class", "n", F.col("x.t").alias("t"))
+    prefix = cut(prefix)
     one, other = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), "t")
     close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
     candidates = one.join(other, "t").where(close).select("a", "b").distinct()
     own = distinct.select("class", "set")
     met = candidates.join(own.withColumnsRenamed({"class": "a", "set": "x"}), "a").join(own.withColumnsRenamed({"class": "b", "set": "y"}), "b")
     both = F.size(F.array_intersect("x", "y"))
-    linked = met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least)
-    members = lookup(sets.select(key, F.col("digest").alias("own")), "own", distinct.select("digest", "class", "copies"), "digest", "copies")
-    return members.select(key, "class", "copies"), linked
+    return met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def similar_classes(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Classes of rows with equal token sets: (key, class, copies) of every row, and (a, b, similarity) of all pairs of classes, a < b, as similar as `least` or more.
+
+    A class is named by its smallest key. Sets are told apart by their SHA-256, copies are compared once and not
+    expanded. With a set's tokens ordered from rare to frequent, two sets that qualify share one of the first
+    n - ceil(least n) + 1; only those are joined, and candidates are verified on the whole sets. Rows with an empty set
+    or a null key are in no class."""
+    keyed, distinct = _classes(rows, key, tokens)
+    members = lookup(keyed.withColumnRenamed("digest", "own"), "own", distinct.select("digest", "class", "copies"), "digest", "copies")
+    return members.select(key, "class", "copies"), _linked(distinct, least)
 
 
 def links(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> DataFrame:
     """(key, class, links): of every row its class and how many other rows are as similar as `least` or more, copies included; no pair of copies is made for it."""
-    members, linked = similar_classes(rows, key, tokens, least)
-    sizes = members.groupBy("class").agg(F.max("copies").alias("copies"))
+    keyed, distinct = _classes(rows, key, tokens)
+    linked = cut(_linked(distinct, least).select("a", "b"))
     both = linked.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("class"), F.col("a").alias("other")))
-    others = both.join(sizes.withColumnsRenamed({"class": "other", "copies": "there"}), "other").groupBy("class").agg(F.sum("there").alias("there"))
-    label = sizes.join(others, "class", "left").select(F.col("class").alias("of"), "copies", (F.col("copies") - 1 + F.coalesce("there", F.lit(0))).alias("links"))
-    return lookup(members.select(key, "class"), "class", label, "of", "copies").select(key, "class", "links")
+    there = both.join(distinct.select(F.col("class").alias("other"), F.col("copies").alias("there")), "other").groupBy("class").agg(F.sum("there").alias("there"))
+    label = cut(distinct.select("digest", "class", "copies").join(there, "class", "left").select("digest", "class", "copies", (F.col("copies") - 1 + F.coalesce("there", F.lit(0))).alias("links")))
+    return lookup(keyed.withColumnRenamed("digest", "own"), "own", label, "digest", "copies").select(key, "class", "links")
 
 
 def similar_pairs(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> DataFrame:
