@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import table
 from ..sources.shared import shared_dir
-from . import chains, decontamination, factorization, licenses, logbloom, media, packing, secrets, simhash, sql, warc
+from . import chains, decontamination, factorization, licenses, logbloom, media, packing, resampling, secrets, simhash, sql, warc
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_warc": op9_warc,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 SQL: dict[str, str] = dict(sql.SQL)

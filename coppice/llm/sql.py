@@ -55,4 +55,19 @@ def op6() -> str:
 OP9 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS keeper FROM p WHERE strlen(h) >= 1000 GROUP BY h)
       SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM p LEFT JOIN g ON p.h = g.h"""
 
-SQL = {"op5_license_scan": op5(), "op6_secret_scan": op6(), "op9_warc": OP9}
+#: CRC-32 of each distinct feature, from a table of the polynomial's 256 remainders; the runs of a text's words by places.
+OP11 = f"""WITH RECURSIVE rem AS (SELECT range AS x, range AS c, 0 AS k FROM range(256) UNION ALL SELECT x, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM rem WHERE k < 8),
+      tab AS (SELECT list(c ORDER BY x) AS t FROM rem WHERE k = 8),
+      a AS (SELECT doc_id, false AS target, regexp_extract_all({LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents UNION ALL SELECT item_id, true, regexp_extract_all({LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+      f AS (SELECT doc_id, target, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i]) || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM a),
+      d AS (SELECT DISTINCT f FROM f),
+      h AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS b FROM d, tab),
+      p AS (SELECT doc_id, target, b FROM f JOIN h USING (f)),
+      n AS (SELECT b, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM p GROUP BY b),
+      g AS (SELECT b, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS g FROM n),
+      m AS (SELECT doc_id, count(*) AS n_features, sum(g)::BIGINT AS weight FROM p JOIN g USING (b) WHERE NOT target GROUP BY doc_id),
+      o AS (SELECT a.doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, floor(-1000 * ln(-ln((('0x' || sha256('42:' || a.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise FROM a LEFT JOIN m ON a.doc_id = m.doc_id WHERE NOT target),
+      r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER (PARTITION BY words >= 20) AS n FROM o)
+      SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM r"""
+
+SQL = {"op5_license_scan": op5(), "op6_secret_scan": op6(), "op9_warc": OP9, "op11_importance_resampling": OP11}
