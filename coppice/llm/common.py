@@ -188,3 +188,45 @@ def pairs_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of ordered pairs of hashes."""
     with np.errstate(over="ignore"):
         return mixed(a * np.uint64(0xD6E8FEB86659FD93) + b + np.uint64(0x2545F4914F6CDD1D))
+
+
+#: Bits of a map for each hash in it, up to 2^27 (16 MB). A task sends slices of 2^13 of them.
+BITS_EACH, MOST_BITS, SLICE = 16, 27, 13
+
+
+def bit_map(hashes: DataFrame) -> tuple[np.ndarray, int] | None:
+    """A map with a bit for each of the hashes (h long), packed, and the logarithm of its bits: a hash has the bit that its highest bits number.
+
+    None if there are no hashes. The map has 2^MOST_BITS bits at most, whatever the number of hashes, and reaches the
+    driver slice by slice. It is for leaving work out: what isn't among the hashes may have its bit, never the other way."""
+    size = hashes.count()
+    if not size:
+        return None
+    log = min(MOST_BITS, max(SLICE, (BITS_EACH * size - 1).bit_length()))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spots = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - log))
+            own = (spots >> np.uint64(SLICE)).astype(np.int64)
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            bits = np.zeros((len(first), 1 << SLICE), bool)
+            bits[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own)))), spots & np.uint64((1 << SLICE) - 1)] = True
+            yield pa.RecordBatch.from_arrays([pa.array(own[first]), pa.array([b.tobytes() for b in np.packbits(bits, axis=1, bitorder="little")], pa.binary())], ["slice", "bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(b.as_buffer(), np.uint8)
+                held[s] = held[s] | own if s in held else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["slice", "bits"])
+
+    kind = "slice long, bits binary"
+    bits = np.zeros(1 << (log - 3), np.uint8)
+    grouped = hashes.repartitionByRange("h").mapInArrow(marks, kind)
+    for r in grouped.repartition("slice").mapInArrow(either, kind).toLocalIterator():
+        low = r["slice"] << (SLICE - 3)
+        bits[low : low + (1 << (SLICE - 3))] |= np.frombuffer(r["bits"], np.uint8)
+    return bits, log

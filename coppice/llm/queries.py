@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import table
 from ..sources.shared import shared_dir
-from . import chains, decontamination, factorization, licenses, logbloom, media, packing, resampling, secrets, simhash, sql, warc
+from . import chains, collocations, decontamination, factorization, licenses, logbloom, media, packing, resampling, secrets, simhash, sql, suffixes, warc
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.deduplicate(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -83,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_toxicity_chain": op10_toxicity_chain,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 SQL: dict[str, str] = dict(sql.SQL)

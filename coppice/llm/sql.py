@@ -70,4 +70,15 @@ OP11 = f"""WITH RECURSIVE rem AS (SELECT range AS x, range AS c, 0 AS k FROM ran
       r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER (PARTITION BY words >= 20) AS n FROM o)
       SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM r"""
 
-SQL = {"op5_license_scan": op5(), "op6_secret_scan": op6(), "op9_warc": OP9, "op11_importance_resampling": OP11}
+#: All n-grams of all pieces, every cut of the candidates, products of 128 bits.
+OP12 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(unnest(string_split_regex({LOW}, '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM documents),
+      f AS (SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS phrase FROM p WHERE len(w) > 0) GROUP BY ALL),
+      n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+      c AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE f >= 100 AND contains(phrase, ' ')),
+      d AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS m WHERE m.lang = c.lang AND len(m.w) > len(c.w) AND contains(' ' || m.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * m.a >= 100 * c.a)),
+      k AS (SELECT lang, phrase, w, a, unnest(range(1, len(w))) AS k FROM d),
+      s AS (SELECT k.*, h.f AS l, t.f AS r, n.n, ((1000::HUGEINT * a * n.n) // (h.f::HUGEINT * t.f))::BIGINT AS score FROM k JOIN f h ON h.lang = k.lang AND h.phrase = array_to_string(w[1:k], ' ') JOIN f t ON t.lang = k.lang AND t.phrase = array_to_string(w[k + 1:], ' ') JOIN n ON n.lang = k.lang),
+      b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000"""
+
+SQL = {"op5_license_scan": op5(), "op6_secret_scan": op6(), "op9_warc": OP9, "op11_importance_resampling": OP11, "op12_phrase_collocations": OP12}
