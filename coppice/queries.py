@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, cluster, diff, references, replay
+from .operators import audit, cluster, diff, references, replay, scan
 from .operators import search as S
 from .operators import similarity
 from .registry import QUERIES, SQL, query, table
@@ -319,12 +319,9 @@ def eventlog_sequence_gaps(spark, sf_dir):
       l AS (SELECT conv_id, turn, lag(hash) OVER (PARTITION BY conv_id ORDER BY turn) AS wanted, lag(skipped) OVER (PARTITION BY conv_id ORDER BY turn) AS broken FROM h)
       SELECT conv_id, turn, 'skipped' AS found, wanted FROM l WHERE coalesce(broken, false)""")
 def eventlog_chain_check(spark, sf_dir):
-    from pyspark.sql import Window
-
     # a log as it would be written, but for long user turns, which name no record that is there
-    w = Window.partitionBy("conv_id").orderBy("turn")
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws(":", "conv_id", "turn", "text"), 256).alias("hash"), ((F.col("role") == "user") & (F.length("text") > 400)).alias("long"))
-    written = own.withColumn("before", F.when(F.lag("hash").over(w).isNotNull() & F.col("long"), "skipped").otherwise(F.lag("hash").over(w)))
+    written = scan.numbered(own, ["conv_id"], ["turn"], "place", {"last": "hash"}).withColumn("before", F.when(F.col("last").isNotNull() & F.col("long"), "skipped").otherwise(F.col("last")))
     return replay.unchained(written, "conv_id", "turn", "hash", "before")
 
 

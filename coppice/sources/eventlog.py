@@ -222,23 +222,26 @@ def _hash_of(lines: pd.Series) -> pd.Series:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """All records of the logs under path (a file, or a pattern for many trees): tree, line, the record's fields, valid.
 
-    Every tree's chain is checked by windows over its own lines, trees in parallel; valid holds up to a tree's first
+    A log is read in parts and checked by a prefix scan over ranges of its lines, so a long one is many tasks' work. valid holds up to a tree's first
     record that can't be read, isn't in its place, doesn't follow the one before or doesn't have its own hash. A last
     line without an end is left out. operation stays JSON, to be read by type."""
+    from ..operators.replay import before_bad
+    from ..operators.scan import numbered
+    from ..operators.skew import lookup
+
     # a file is read in parts, each in its order; a part's place in the file and the row's in the part give the line
     told = F.col("_metadata")
-    lines = spark.read.option("lineSep", "\n").text(path).select(told["file_path"].alias("tree"), told["file_block_start"].alias("part"), told["file_size"].alias("size"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
-    w = Window.partitionBy("tree").orderBy("part", "at")
-    size, count = F.sum(F.octet_length("raw") + 1).over(Window.partitionBy("tree")), F.count("*").over(Window.partitionBy("tree"))
-    lines = lines.select("tree", "raw", "size", F.row_number().over(w).cast("long").alias("line"), size.alias("held"), count.alias("count")).where("held <= size or line < count")
-    lines = lines.select("tree", "line", F.regexp_replace("raw", r"\r\z", "").alias("raw"))
-    record = F.from_json("raw", RECORD)
-    rows = lines.select("tree", "line", "raw", record.alias("r"), _hash_of(F.col("raw")).alias("own")).select("tree", "line", "r.*", "own")
-    w = Window.partitionBy("tree").orderBy("line")
-    good = F.col("sequence").eqNullSafe(F.col("line")) & F.col("hash").eqNullSafe(F.col("own")) & F.col("hash").isNotNull() & F.col("prevHash").eqNullSafe(F.lag("hash").over(w))
-    rows = rows.withColumn("_good", good)
-    bad = F.min(F.when(~F.col("_good"), F.col("line"))).over(Window.partitionBy("tree"))
-    return rows.withColumn("valid", F.coalesce(F.col("line") < bad, F.lit(True))).drop("_good", "own")
+    lines = spark.read.option("lineSep", "\n").text(path).select(told["file_path"].alias("tree"), told["file_block_start"].alias("_part"), told["file_size"].alias("_size"), F.monotonically_increasing_id().alias("_at"), F.octet_length("value").alias("_held"), F.regexp_replace("value", r"\r\z", "").alias("raw"))
+    rows = lines.select("*", F.from_json("raw", RECORD).alias("_r"), _hash_of(F.col("raw")).alias("_own")).select(*lines.columns, "_r.*", "_own")
+    rows = numbered(rows, ["tree"], ["_part", "_at"], "line", {"_before": "hash"})
+    # what has no end is a file's last line, and only if the lines with their ends are more than the file
+    sizes = rows.groupBy(F.col("tree").alias("_of")).agg(F.count("*").alias("_n"), (F.sum(F.col("_held") + 1) > F.max("_size")).alias("_open")).where("_open")
+    rows = lookup(rows, "tree", sizes, "_of", "_n").where("not (coalesce(_open, false) and line = _n)")
+    good = F.col("sequence").eqNullSafe(F.col("line")) & F.col("hash").eqNullSafe(F.col("_own")) & F.col("hash").isNotNull() & F.col("prevHash").eqNullSafe(F.col("_before"))
+    out = rows.withColumn("_good", good)
+    bad = out.groupBy(F.col("tree").alias("_bad_of")).agg(F.min(F.when(~F.col("_good"), F.col("line"))).alias("_bad"), F.count("*").alias("_lines")).where("_bad is not null")
+    out = lookup(out, "tree", bad, "_bad_of", "_lines")
+    return out.select("tree", "line", "raw", *(c.split()[0] for c in RECORD.split(", ")), F.coalesce(F.col("line") < F.col("_bad"), F.lit(True)).alias("valid"))
 
 
 def committed_operations(records: DataFrame) -> DataFrame:

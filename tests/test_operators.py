@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coppice import api
 from coppice.functions import text as T
-from coppice.operators import audit, cluster, diff, references, replay
+from coppice.operators import audit, cluster, diff, references, replay, scan
 from coppice.operators import search as S
 from coppice.operators import similarity
 from coppice.sources import trees
@@ -157,6 +157,53 @@ def test_replay_equals_a_plain_fold(spark):
     assert {r.id for r in replay.tombstones(df).collect()} == forgotten
 
 
+def test_summaries_merge_in_any_grouping(spark):
+    """The state from summaries of random parts of a log is that of the whole log."""
+    rng = random.Random(5)
+    kinds = ["upsert"] * 4 + ["provenance"] * 5 + ["delete"] * 2 + ["forget"]
+    ops = [(f"i{rng.randrange(40)}", i, rng.choice(kinds), f"v{i}", {rng.choice(["confidence", "source"]): rng.choice([None, str(i)])}) for i in range(600)]
+    df = spark.createDataFrame(ops, "id string, seq long, type string, value string, provenance map<string,string>")
+    fields = ("confidence", "source")
+    want = sorted(map(tuple, replay.states(replay.summaries(df, fields=fields), fields).collect()))
+    rng.shuffle(ops)
+    parts = [spark.createDataFrame(ops[a:b], df.schema) for a, b in ((0, 1), (1, 250), (250, 600))]
+    summed = [replay.summaries(p, fields=fields) for p in parts]
+    for one, two, three in itertools.permutations(summed):
+        again = replay.merge(replay.merge(one.unionByName(two), fields).unionByName(three), fields)
+        assert sorted(map(tuple, replay.states(again, fields).collect())) == want
+    plan = replay.leaf_state(df, fields=fields)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max_by" in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_prefix_scan(spark, monkeypatch, parts):
+    """One long group, small ones, nulls in keys and values, over few and many ranges."""
+    rng = random.Random(parts)
+    rows = [("long", i, f"h{i}" if i % 7 else None) for i in range(400)] + [(rng.choice(["a", "b", None, "m", "z"]), 1000 + i, str(i)) for i in range(60)] + [("one", 5, "x")]
+    want, last = {}, {}
+    for g, o, v in sorted(rows, key=lambda r: r[1]):
+        n, before = last.get(g, (0, None))
+        want[g, o] = (n + 1, before)
+        last[g] = (n + 1, v)
+    rng.shuffle(rows)
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "g string, o long, v string")
+        got = scan.numbered(df, ["g"], ["o"], "p", {"before": "v"}).collect()
+        assert len(got) == len(rows) and {(r.g, r.o): (r.p, r.before) for r in got} == want
+        assert scan.numbered(df.limit(0), ["g"], ["o"]).count() == 0
+        log = spark.createDataFrame([("long", i, i if i < 333 else i + 1) for i in range(1, 500)] + [("good", i, i) for i in range(1, 90)], "s string, line long, seq long")
+        assert {tuple(r) for r in replay.first_bad(log, "s", "line", "seq").collect()} == {("long", 333), ("good", None)}
+        assert {tuple(r) for r in replay.valid_prefix(log, "s", "line", "seq").groupBy("s").count().collect()} == {("long", 332), ("good", 89)}
+        plan = replay.valid_prefix(log, "s", "line", "seq")._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept[1])
+
+
 def test_commits_must_name_their_operations(spark):
     ops = spark.createDataFrame([("t", 1, "x"), ("t", 2, "y"), ("u", 4, "z"), ("v", 6, "w")], "tx string, seq long, hash string")
     commits = spark.createDataFrame([("t", 3, ["x", "y"]), ("u", 5, ["q"])], "tx string, seq long, hashes array<string>")
