@@ -1,13 +1,32 @@
-"""Exact Jaccard similarity self-join of token sets by length and prefix filters."""
+"""Exact Jaccard similarity self-join of token sets by length, prefix, positional and suffix filters.
+
+Tokens are ordered from rare to frequent by how often their hash's slot occurs, a table of bounded size; an order needs no
+exact frequencies, only to be the same for all sets. Two sets that qualify share a token of their prefixes, so a set is
+dealt to the tokens of its prefix, with its size, the token's position and a bit signature of its tokens. What can't
+reach the overlap by the tokens left after the position, or by the bits in which signatures differ, drops out
+there; only what is left has its sets fetched. A token of many sets is dealt to cells of two chunks of them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 from .skew import lookup
 
+#: Slots of the table of frequencies.
+SLOTS = 1 << 16
+#: Sets of one prefix token that are compared with each other; more are dealt to cells of two chunks.
+CHUNK = 2048
+#: 64-bit words of a signature.
+SIGNED = 4
+#: Pairs of sets that are looked at together.
+AT_ONCE = 1 << 18
+
 
 def _classes(rows: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """(key, digest) of every row that has a set, and (digest, class, copies, set) of the distinct sets; texts are gone over once."""
@@ -16,29 +35,140 @@ def _classes(rows: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFra
     return sets.select(key, "digest"), cut(sets.groupBy("digest").agg(F.min(key).alias("class"), F.count("*").alias("copies"), F.first("set").alias("set")))
 
 
+def frequencies(sets: DataFrame, tokens: str) -> np.ndarray:
+    """How many tokens of the sets (arrays of hashes) are in each of SLOTS slots of hashes."""
+    slot = F.explode(tokens).alias("h")
+    found = sets.select(slot).groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.count("*").alias("n")).collect()
+    out = np.zeros(SLOTS, np.int64)
+    for r in found:
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _needed(na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """The tokens that sets of these sizes must share; a little less, so that rounding loses none."""
+    return np.ceil(least / (1 + least) * (na + nb) - 1e-6).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(t, id, n, place, bits) of the prefix tokens of sets (id, hashes): t the token's hash, place its position in the set's order, bits the signature."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets, "hashes"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            h, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, often[h % SLOTS], row))  # row by row, in each from rare to frequent
+            h, begin = h[order], np.cumsum(n) - n
+            place = np.arange(len(h)) - np.repeat(begin, n)
+            u = h.view(np.uint64)
+            word, bit = (u >> np.uint64(8)) % np.uint64(SIGNED), np.uint64(1) << (u >> np.uint64(16)) % np.uint64(64)
+            bits = np.zeros((len(n), SIGNED), np.uint64)
+            np.bitwise_or.at(bits, (row, word), bit)
+            signed = np.array([b.tobytes() for b in bits], object)
+            some = place < np.repeat(n - np.ceil(least * n - 1e-6).astype(np.int64) + 1, n)
+            row = row[some]
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), batch.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(place[some]), pa.array(signed[row], pa.binary())], ["t", "id", "n", "place", "bits"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "hashes").mapInArrow(work, f"t long, id {kind}, n long, place long, bits binary")
+
+
+def _compared(n: np.ndarray, place: np.ndarray, bits: np.ndarray, side: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of rows that may be similar; all share a token. side: 0 and 1 are compared with each other only, 2 with all."""
+    order = np.argsort(n, kind="stable")
+    size = n[order]
+    upto = np.searchsorted(size, np.floor(size / least + 1e-6), "right")  # of equal or larger size, but not too large
+    many = upto - np.arange(len(size)) - 1
+    low = 0
+    while low < len(size):
+        high = low + max(1, int(np.searchsorted(np.cumsum(many[low:]), AT_ONCE, "right")))
+        k = many[low:high]
+        i = np.repeat(np.arange(low, min(high, len(size))), k)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
+        a, b = order[i], order[j]
+        need = _needed(n[a], n[b], least)
+        # as if nothing before were shared: of the first token that two sets share this is so, and once is enough
+        may = (np.minimum(n[a] - place[a], n[b] - place[b]) >= need) & ((side[a] != side[b]) | (side[a] == 2))
+        a, b, need = a[may], b[may], need[may]
+        differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        may = (n[a] + n[b] - differ) // 2 >= need
+        yield a[may], b[may]
+        low = high
+
+
+def candidates(held: DataFrame, least: float) -> DataFrame:
+    """(a, b) of sets, a < b, that share a prefix token and aren't ruled out by sizes, positions and signatures; held: as `prefixes` gives it."""
+    held = cut(held)
+    hot = held.groupBy(F.col("t").alias("of")).agg(F.count("*").alias("many")).where("many > 1")
+    chunks = cut(hot)
+    told = lookup(held, "t", chunks, "of", "many").where("many > 1").drop("of")
+    parts = F.ceil(F.col("many") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    # every chunk meets every other: in the cell of the two, the first as side 0; alone as side 2
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda c: F.struct(F.least(c, own).alias("x"), F.greatest(c, own).alias("y"), F.when(c == own, 2).otherwise((own > c).cast("int")).alias("side")))
+    dealt = told.select("t", "id", "n", "place", "bits", F.explode(cells).alias("cell")).select("t", "id", "n", "place", "bits", "cell.*")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            rows = rows.combine_chunks()
+            yield from cell(rows, False)
+            keys = np.stack([rows.column(c).to_numpy() for c in ("t", "x", "y")])
+            same = np.all(keys == keys[:, -1:], axis=0)
+            rest = rows.slice(len(same) - int(np.argmin(same[::-1])) if not same.all() else 0)
+        if rest is not None:
+            yield from cell(rest, True)
+
+    def cell(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        """The pairs of all cells in rows; of the last one only if it is whole."""
+        if not rows.num_rows:
+            return
+        keys = np.stack([rows.column(c).to_numpy() for c in ("t", "x", "y")])
+        edges = np.flatnonzero(np.concatenate(([True], np.any(keys[:, 1:] != keys[:, :-1], axis=0), [True])))
+        if not last:
+            edges = edges[:-1]
+        n, place, side = (rows.column(c).to_numpy() for c in ("n", "place", "side"))
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNED)
+        a, b = [], []
+        for low, high in zip(edges[:-1], edges[1:]):
+            if high - low > 1:
+                for x, y in _compared(n[low:high], place[low:high], bits[low:high], side[low:high], least):
+                    a.append(low + x)
+                    b.append(low + y)
+        if a:
+            ids = rows.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
+
+    kind = held.schema["id"].dataType.simpleString()
+    met = dealt.repartition("t", "x", "y").sortWithinPartitions("t", "x", "y").mapInArrow(work, f"a {kind}, b {kind}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
 def _linked(distinct: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of all pairs of distinct sets, a < b, as similar as `least` or more."""
-    held = distinct.select("class", F.size("set").alias("n"), F.explode("set").alias("t"))
-    frequency = held.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = held.join(frequency, "t").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("all"))
-    size = (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int")
-    prefix = ranked.select("class", "n", F.explode(F.slice("all", F.lit(1), size)).alias("x")).select("class", "n", F.col("x.t").alias("t"))
-    prefix = cut(prefix)
-    one, other = prefix.select(F.col("class").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("class").alias("b"), F.col("n").alias("nb"), "t")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
-    candidates = one.join(other, "t").where(close).select("a", "b").distinct()
+    sets = cut(distinct.select(F.col("class").alias("id"), F.transform("set", lambda t: F.xxhash64(t)).alias("hashes")))
+    found = cut(candidates(prefixes(sets, least), least))
     own = distinct.select("class", "set")
-    met = candidates.join(own.withColumnsRenamed({"class": "a", "set": "x"}), "a").join(own.withColumnsRenamed({"class": "b", "set": "y"}), "b")
+    for side, kept in (("a", "x"), ("b", "y")):
+        asked = found.groupBy(F.col(side).alias("of")).agg(F.count("*").alias("asked"))
+        label = cut(asked.join(own.withColumnRenamed("set", kept), F.col("of") == F.col("class")).drop("class"))
+        found = lookup(found, side, label, "of", "asked").drop("of", "asked")
     both = F.size(F.array_intersect("x", "y"))
-    return met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least)
+    return found.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def similar_classes(rows: DataFrame, key: str, tokens: str, least: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Classes of rows with equal token sets: (key, class, copies) of every row, and (a, b, similarity) of all pairs of classes, a < b, as similar as `least` or more.
 
     A class is named by its smallest key. Sets are told apart by their SHA-256, copies are compared once and not
-    expanded. With a set's tokens ordered from rare to frequent, two sets that qualify share one of the first
-    n - ceil(least n) + 1; only those are joined, and candidates are verified on the whole sets. Rows with an empty set
+    expanded. With a set's tokens in one order for all, two sets that qualify share one of the first
+    n - ceil(least n) + 1; only those are compared, and candidates are verified on the whole sets. Rows with an empty set
     or a null key are in no class."""
     keyed, distinct = _classes(rows, key, tokens)
     members = lookup(keyed.withColumnRenamed("digest", "own"), "own", distinct.select("digest", "class", "copies"), "digest", "copies")

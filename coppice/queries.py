@@ -14,8 +14,16 @@ from .operators import search as S
 from .operators import similarity
 from .registry import QUERIES, SQL, query, table
 
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores if it has fewer, as a table of one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("leaf_id"), F.col("source").alias("file"), F.col("lang").alias("branch"), F.col("lang").alias("branch_ord"), F.col("doc_id").alias("line"), F.col("doc_id").alias("index"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("leaf_id"), F.col("source").alias("file"), F.col("lang").alias("branch"), F.col("lang").alias("branch_ord"), F.col("doc_id").alias("line"), F.col("doc_id").alias("index"), "text")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

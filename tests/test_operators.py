@@ -103,6 +103,20 @@ def test_similarity_join_equals_the_plain_join(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_similar_sets_of_a_hot_token_in_cells(spark, monkeypatch):
+    """All sets share a rare-looking token and are near each other; chunks of three make many cells."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    sets = [(i, ["hot", *(w if rng.random() < 0.97 else f"x{i}{w}" for w in base)]) for i in range(60)] + [(100 + i, rng.sample(base, 25)) for i in range(20)]
+    want = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for (i, a), (j, b) in itertools.combinations(sets, 2)}
+    for chunk, at_once in ((3, 7), (2048, 1 << 18)):
+        monkeypatch.setattr(similarity, "CHUNK", chunk)
+        monkeypatch.setattr(similarity, "AT_ONCE", at_once)
+        for least in (0.5, 0.85):
+            got = {(r.i, r.j): r.similarity for r in similarity.similar_pairs(spark.createDataFrame(sets, "id int, t array<string>"), "id", "t", least).collect()}
+            assert got == {k: pytest.approx(v) for k, v in want.items() if v >= least}
+
+
 def test_audits(spark, tmp_path):
     many = "\n\n".join(f"leaf {i} of words{i} other{i}" for i in range(50))
     folder = tree(tmp_path, **{
