@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .needles import containing
+from .scan import numbered
 
 #: Fields in which two versions of a leaf are compared.
 FIELDS = ("contentHash", "file", "branch", "index", "kind")
@@ -83,10 +84,11 @@ def manifest(parts: DataFrame, file: str = "file", at: str = "at", content: str
 
 
 def forward(points: DataFrame, marks: DataFrame, group: str, at: str, value: str) -> DataFrame:
-    """As-of join to the next: every mark's row with the first point of its group at or after it (next_value, next_at). One window over both, no range join."""
-    both = points.select(group, at, F.lit(1).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(marks.schema[value].dataType).alias("mark")).unionByName(
-        marks.select(group, at, F.lit(0).alias("_side"), F.lit(None).cast(points.schema[value].dataType).alias("_v"), F.col(value).alias("mark"))
-    )
-    w = Window.partitionBy(group).orderBy(at, "_side", "_v", "mark").rowsBetween(0, Window.unboundedFollowing)
-    near = F.first(F.when(F.col("_side") == 1, F.struct(F.col("_v"), F.col(at).alias("t"))), ignorenulls=True).over(w)
-    return both.withColumn("_n", near).where("_side = 0").select(group, at, "mark", F.col("_n._v").alias("next_value"), F.col("_n.t").alias("next_at"))
+    """As-of join to the next: every mark's row with the first point of its group at or after it (next_value, next_at).
+
+    Points and marks are gone through together from the last to the first, by ranges: a group of any size is many tasks' work."""
+    both = points.select(group, at, F.lit(1).alias("_side"), F.struct(F.col(value).alias("v"), F.col(at).alias("t")).alias("_p"), F.lit(None).cast(marks.schema[value].dataType).alias("mark"))
+    both = both.unionByName(marks.select(group, at, F.lit(0).alias("_side"), F.lit(None).cast(both.schema["_p"].dataType).alias("_p"), F.col(value).alias("mark")))
+    order = [F.desc(at), F.desc("_side"), F.desc(F.col("_p.v")), F.desc("mark")]
+    near = numbered(both, [group], order, "_place", filled={"_n": "_p"})
+    return near.where("_side = 0").select(group, at, "mark", F.col("_n.v").alias("next_value"), F.col("_n.t").alias("next_at"))

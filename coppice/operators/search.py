@@ -25,13 +25,15 @@ from .needles import automaton, met as held
 META = re.compile(r"[.*+?^${}()|\[\]\\]")
 #: Queries that are searched for together; more are taken in further blocks over all leaves.
 QUERIES = 2000
-#: Distinct tokens of queries that are compared with all words of the leaves together; more are taken in further blocks.
-TOKENS = 1 << 14
+#: Distinct tokens of queries that are compared with the words of the leaves together; more are taken in further blocks.
+TOKENS = 1 << 13
+#: Words of leaves whose similar query tokens a task remembers.
+KNOWN = 1 << 18
 #: Final rows that are broadcast to fetch their texts at most.
 FEW = 1 << 17
-#: Tokens on either side of a product of gram matrices.
-AT_ONCE = 1024
-#: Leaves, and queries, whose scores are one product.
+#: Words of leaves whose common grams with the queries' tokens are counted together.
+AT_ONCE = 512
+#: Leaves that are scored together.
 LEAVES = 256
 #: A query token that finds nothing this similar in a leaf rules the leaf out.
 FLOOR = 0.4
@@ -126,12 +128,41 @@ def grams(token: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+class GramIndex:
+    """Postings of the grams of some tokens, by which the tokens similar to others are counted."""
+
+    def __init__(self, tokens: list[str]):
+        import numpy as np
+
+        held = [grams(t) for t in tokens]
+        self.place = {g: n for n, g in enumerate(sorted(set().union(*held)))}
+        pairs = sorted((self.place[g], k) for k, h in enumerate(held) for g in h)
+        self.postings = np.array([k for _, k in pairs], np.int64)
+        self.offsets = np.searchsorted(np.array([g for g, _ in pairs], np.int64), np.arange(len(self.place) + 1))
+        self.sizes = np.array([len(h) for h in held], np.float64)
+
+    def similar(self, tokens: list[str], floor: float) -> Iterator[tuple]:
+        """(number in tokens, number in the index, similarity) of all that are as similar as floor or more, for parts of tokens at a time."""
+        import numpy as np
+
+        most = len(self.sizes)
+        for low in range(0, len(tokens) if most else 0, AT_ONCE):
+            sets = [grams(t) for t in tokens[low : low + AT_ONCE]]
+            found = np.array([(i, self.place[g]) for i, s in enumerate(sets) for g in s if g in self.place], np.int64).reshape(-1, 2)
+            length = self.offsets[found[:, 1] + 1] - self.offsets[found[:, 1]]
+            at = np.repeat(self.offsets[found[:, 1]] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            common = np.bincount(np.repeat(found[:, 0], length) * most + self.postings[at], minlength=len(sets) * most)
+            key = np.flatnonzero(common)
+            i, k = key // most, key % most
+            value = 2.0 * common[key] / (np.array([len(s) for s in sets], np.float64)[i] + self.sizes[k])
+            some = value >= floor
+            yield i[some] + low, k[some], value[some]
+
+
 def similar_tokens(words: DataFrame, asked: DataFrame, floor: float = FLOOR) -> DataFrame:
     """(q, token, similarity) of all distinct tokens of words (token) whose trigram similarity to one of asked (q) is floor or more.
 
-    Common grams of many tokens with many query tokens are one product of 0/1 matrices, AT_ONCE tokens at a time against
-    the grams of a stated block of queries. A join on grams gives the same, but makes a row for every common gram of any
-    two tokens: 27 s against 2 s on 69,327 tokens and 1,029 query tokens."""
+    A stated block of asked tokens is an index of grams, which every task looks its words up in."""
     distinct = asked.select("q").distinct()
     blocks = max(1, -(-distinct.count() // TOKENS))
     out = None
@@ -146,85 +177,145 @@ def _similar(words: DataFrame, own: list[str], floor: float) -> DataFrame:
     share = words.sparkSession.sparkContext.broadcast(own)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        own = share.value
-        held = [grams(q) for q in own]
-        place = {g: n for n, g in enumerate(sorted(set().union(*held)))}
-        sizes = np.array([len(h) for h in held], np.float64)
+        index, own = GramIndex(share.value), pa.array(share.value, pa.string())
         for batch in batches:
-            for low in range(0, batch.num_rows if own else 0, AT_ONCE):
-                tokens = batch.column(0).slice(low, AT_ONCE).to_pylist()
-                sets = [grams(t) for t in tokens]
-                left = np.zeros((len(tokens), len(place)), np.float32)
-                at = [(i, place[g]) for i, s in enumerate(sets) for g in s if g in place]
-                if not at:
-                    continue
-                left[tuple(np.array(at).T)] = 1
-                n = np.array([len(s) for s in sets], np.float64)
-                for first in range(0, len(own), AT_ONCE):
-                    part = held[first : first + AT_ONCE]
-                    right = np.zeros((len(place), len(part)), np.float32)
-                    right[tuple(np.array([(place[g], k) for k, h in enumerate(part) for g in h]).T)] = 1
-                    value = 2.0 * (left @ right).astype(np.float64) / (n[:, None] + sizes[first : first + AT_ONCE])
-                    i, k = np.nonzero(value >= floor)
-                    yield pa.RecordBatch.from_arrays([pa.array([own[first + x] for x in k], pa.string()), pa.array([tokens[x] for x in i], pa.string()), pa.array(value[i, k])], ["q", "token", "similarity"])
+            for i, k, value in index.similar(batch.column(0).to_pylist(), floor):
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(k)), batch.column(0).take(pa.array(i)), pa.array(value)], ["q", "token", "similarity"])
 
     return words.select("token").mapInArrow(work, "q string, token string, similarity double")
 
 
-def fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float = 0.42, case_sensitive: bool = False) -> DataFrame:
+def fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float = 0.42, case_sensitive: bool = False, best: int | None = None) -> DataFrame:
     """(query_id, leaf_id, score): the mean over a query's tokens of each one's best similarity in the leaf; leaves that any token misses are left out.
 
-    Queries are taken in blocks. Of a leaf, the best similarity for each of the block's tokens is gathered, and the
-    scores of all the block's queries are one product of that with their tokens' counts."""
-    words = leaves.select("leaf_id", F.explode(F.array_distinct(F.regexp_extract_all(T.fold(T.compatible(F.col("text")), case_sensitive), F.lit(T.WORD), F.lit(0)))).alias("w"))
-    held = words.select("leaf_id", T.stem(F.col("w")).alias("token")).where(F.length("token") > 1)
+    Queries are taken in blocks, each in one pass over the leaves without a shuffle. With `best`, a row is left out if its
+    task has so many better ones of the query, of whatever leaves; rows of equal score stay."""
+    words = F.array_distinct(F.regexp_extract_all(T.fold(T.compatible(F.col("text")), case_sensitive), F.lit(T.WORD), F.lit(0)))
+    held = leaves.select("leaf_id", F.filter(F.array_distinct(F.transform(words, T.stem)), lambda t: F.length(t) > 1).alias("tokens"))
     blocks = max(1, -(-queries.count() // QUERIES))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = _scored(held, part, threshold, case_sensitive)
+        got = _scored(held, part, threshold, case_sensitive, best)
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def _scored(held: DataFrame, queries: DataFrame, threshold: float, case_sensitive: bool) -> DataFrame:
+class Scorer:
+    """Scores of leaves for some queries, which together have TOKENS distinct tokens at most (or are one query).
+
+    Of each chunk of leaves, the best similarity of every query token is gathered from an index of grams. A query's tokens
+    are then gone through from the one that fewest leaves have, and with the most that the rest could add: what misses
+    one, or can't reach the threshold or the query's `best` so far, isn't looked at further."""
+
+    def __init__(self, asked: list[tuple[int, dict[str, int]]], threshold: float, best: int | None):
+        import numpy as np
+
+        self.tokens = sorted({t for _, q in asked for t in q})
+        place = {t: n for n, t in enumerate(self.tokens)}
+        self.index = GramIndex(self.tokens)
+        self.asked = [(n, np.array([place[t] for t in q], np.int64), np.array(list(q.values()), float)) for n, q in asked]
+        self.least = np.full(len(asked), threshold)  # what a score must reach
+        self.top = [np.zeros(0)] * len(asked)
+        self.best = best
+        self.known: dict[str, tuple] = {}
+
+    def similar(self, words: list[str]) -> list[tuple]:
+        """(numbers, similarities) of the query tokens similar to each word; words of this task that were met before are remembered."""
+        import numpy as np
+
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = words
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        self.known.update(dict.fromkeys(new, none))
+        for i, k, value in self.index.similar(new, FLOOR):
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            for low, high in zip(first, [*first[1:], len(i)]):
+                self.known[new[i[low]]] = k[low:high], value[low:high]
+        return [self.known[w] for w in words]
+
+    def scores(self, row, code, words: list[str], n: int) -> Iterator[tuple]:
+        """(leaves, query, scores) of a chunk of n leaves; row, code: of every token its leaf and its number among words."""
+        import numpy as np
+
+        met = self.similar(words)
+        length = np.array([len(k) for k, _ in met], np.int64)
+        begin = np.cumsum(length) - length
+        k, value = (np.concatenate([m[c] for m in met]) if met else np.zeros(0, int) for c in (0, 1))
+        size = length[code]
+        at = np.repeat(begin[code] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        found = np.zeros((len(self.tokens), n))
+        np.maximum.at(found, (k[at], np.repeat(row, size)), value[at])
+        often = np.count_nonzero(found, axis=1)
+        most = found.max(axis=1, initial=0.0)
+        for number, (q, own, times) in enumerate(self.asked):
+            order = np.argsort(often[own], kind="stable")
+            if not len(own) or not often[own[order[0]]]:
+                continue
+            rest, total = float((most[own] * times).sum()), times.sum()
+            leaves = np.flatnonzero(found[own[order[0]]])
+            sofar = np.zeros(len(leaves))
+            for o in order:
+                got = found[own[o], leaves]
+                rest -= most[own[o]] * times[o]
+                sofar = sofar + got * times[o]
+                may = (got > 0) & (sofar + rest >= (self.least[number] - 1e-9) * total)
+                leaves, sofar = leaves[may], sofar[may]
+                if not len(leaves):
+                    break
+            if not len(leaves):
+                continue
+            # summed anew in the order of the tokens and rounded, so that the order of a sum never decides between equal scores
+            score = np.round((found[own][:, leaves] * times[:, None]).sum(axis=0) / total, 12)
+            some = score >= self.least[number]
+            if some.any():
+                if self.best:
+                    self.top[number] = np.sort(np.concatenate((self.top[number], score[some])))[-self.best :]
+                    if len(self.top[number]) == self.best:
+                        self.least[number] = max(self.least[number], self.top[number][0])
+                yield leaves[some], q, score[some]
+
+
+def _scored(held: DataFrame, queries: DataFrame, threshold: float, case_sensitive: bool, best: int | None) -> DataFrame:
     spark = held.sparkSession
-    asked = queries.select("query_id", F.explode(T.tokens(T.compatible(F.col("query")), case_sensitive)).alias("q")).groupBy("query_id", "q").agg(F.count("*").alias("times")).toArrow()  # of QUERIES at most
-    tokens = pc.unique(asked.column("q").combine_chunks()) if asked.num_rows else pa.array([], pa.string())
-    ids = pc.unique(asked.column("query_id").combine_chunks()) if asked.num_rows else asked.column("query_id").combine_chunks()
-    at, of = (pc.index_in(asked.column(c), v).to_numpy() for c, v in (("q", tokens), ("query_id", ids)))
-    share = spark.sparkContext.broadcast((len(tokens), ids, at, of, asked.column("times").to_numpy()))
-    numbered = spark.createDataFrame(list(enumerate(tokens.to_pylist())), "t int, q string")
-    found = similar_tokens(held.select("token").distinct(), numbered.select("q")).join(F.broadcast(numbered), "q")
-    best = held.join(found, "token").groupBy("leaf_id", "t").agg(F.max("similarity").alias("best"))
-    packed = best.groupBy("leaf_id").agg(F.collect_list("t").alias("t"), F.collect_list("best").alias("best"))
-    kinds = held.schema["leaf_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    asked: dict = {}
+    for r in queries.select("query_id", T.tokens(T.compatible(F.col("query")), case_sensitive).alias("tokens")).collect():  # QUERIES at most
+        own = asked.setdefault(r.query_id, {})
+        for t in r.tokens or []:
+            own[t] = own.get(t, 0) + 1
+    kinds = held.schema["leaf_id"].dataType.simpleString(), queries.schema["query_id"].dataType
+    ids = spark.createDataFrame([(q,) for q in asked], f"query_id {kinds[1].simpleString()}").toArrow().column(0).combine_chunks()
+    groups: list[list] = [[]]
+    together: set[str] = set()
+    for n, own in enumerate(asked.values()):
+        if groups[-1] and len(together | own.keys()) > TOKENS:
+            groups.append([])
+            together = set()
+        groups[-1].append((n, own))
+        together |= own.keys()
+    share = spark.sparkContext.broadcast((ids, groups))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        n, ids, at, of, times = share.value
-        size, need = np.bincount(of, times, len(ids)), np.bincount(of, minlength=len(ids))
+        ids, groups = share.value
+        scorers = [Scorer(g, threshold, best) for g in groups if g]
         for batch in batches:
             for low in range(0, batch.num_rows, LEAVES):
                 part = batch.slice(low, LEAVES)
-                lists = part.column(1), part.column(2)
-                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists[0]).to_numpy())
-                own = np.zeros((part.num_rows, n))
-                own[row, pc.list_flatten(lists[0]).to_numpy()] = pc.list_flatten(lists[1]).to_numpy()
-                for first in range(0, len(ids), LEAVES):
-                    mine = (of >= first) & (of < first + LEAVES)
-                    weight = np.zeros((n, min(LEAVES, len(ids) - first)))
-                    weight[at[mine], of[mine] - first] = times[mine]
-                    some = slice(first, first + weight.shape[1])
-                    whole = (own > 0).astype(np.float32) @ (weight > 0).astype(np.float32) == need[some]
-                    score = np.round(own @ weight / size[some], 12)  # so that the order of a sum never decides between equal scores
-                    i, q = np.nonzero(whole & (score >= threshold))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), part.column(0).take(pa.array(i)), pa.array(score[i, q])], ["query_id", "leaf_id", "score"])
-
-    return packed.mapInArrow(work, f"query_id {kinds[1]}, leaf_id {kinds[0]}, score double")
+                coded = pc.list_flatten(part.column(1)).dictionary_encode()
+                row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy())
+                code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+                for s in scorers:
+                    found = list(s.scores(row, code, words, part.num_rows))
+                    if found:
+                        leaf = pa.array(np.concatenate([f[0] for f in found]))
+                        query = pa.array(np.repeat([f[1] for f in found], [len(f[0]) for f in found]))
+                        yield pa.RecordBatch.from_arrays([ids.take(query), part.column(0).take(leaf), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "leaf_id", "score"])
+
+    return held.mapInArrow(work, f"query_id {kinds[1].simpleString()}, leaf_id {kinds[0]}, score double")
 
 
 def search(
@@ -235,7 +326,7 @@ def search(
     Exact matches come first, then higher scores, preferred files, file and line. If a preferred file has an exact
     match, the others aren't searched for exact ones; if its best row is exact, they give no rows at all. Empty queries
     give none, and null texts match nothing."""
-    return _blocks(leaves, queries, mode, threshold, case_sensitive, lambda rows: _ranked(rows, leaves, max_results))
+    return _blocks(leaves, queries, mode, threshold, case_sensitive, lambda rows: _ranked(rows, leaves, max_results), max_results)
 
 
 def matches(leaves: DataFrame, queries: DataFrame, mode: str = "auto", threshold: float = 0.42, case_sensitive: bool = False) -> DataFrame:
@@ -243,7 +334,7 @@ def matches(leaves: DataFrame, queries: DataFrame, mode: str = "auto", threshold
     return _blocks(leaves, queries, mode, threshold, case_sensitive, lambda rows: rows)
 
 
-def _blocks(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float, case_sensitive: bool, then) -> DataFrame:
+def _blocks(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float, case_sensitive: bool, then, best: int | None = None) -> DataFrame:
     if mode not in ("auto", "literal", "regex"):
         raise ValueError("mode must be auto, literal or regex")
     if "files" not in queries.columns:
@@ -254,12 +345,12 @@ def _blocks(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float,
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = then(_found(leaves, part, mode, threshold, case_sensitive, bool(hinted)))
+        got = then(_found(leaves, part, mode, threshold, case_sensitive, bool(hinted), best))
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def _found(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float, case_sensitive: bool, hinted: bool) -> DataFrame:
+def _found(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float, case_sensitive: bool, hinted: bool, best: int | None) -> DataFrame:
     """(query_id, leaf_id, file, line, match, score, route) of a block of queries."""
     names = ["query_id", "leaf_id", "file", "line"]
     exact = _exact(leaves, queries, mode, case_sensitive)
@@ -268,7 +359,8 @@ def _found(leaves: DataFrame, queries: DataFrame, mode: str, threshold: float, c
         exact = exact.join(F.broadcast(any_preferred), "query_id").where("preferred or not any")
     rows = exact.select(*names, F.lit("exact").alias("match"), F.lit(1.0).alias("score"))
     if threshold <= 1:  # no score is above 1, so a higher threshold asks for exact matches alone
-        near = fuzzy(leaves, queries, threshold, case_sensitive).join(leaves.select("leaf_id", "file", "line"), "leaf_id")
+        # rows beyond a task's best can't be among the best of all; one of score 1, which could stand for its file, is never beyond
+        near = fuzzy(leaves, queries, threshold, case_sensitive, best).join(leaves.select("leaf_id", "file", "line"), "leaf_id")
         rows = rows.unionByName(near.select(*names, F.lit("fuzzy").alias("match"), "score")).groupBy(*names).agg(F.min("match").alias("match"), F.max(F.struct((F.col("match") == "exact").alias("e"), "score"))["score"].alias("score"))
     if not hinted:
         return rows.withColumn("route", F.lit("fallback"))

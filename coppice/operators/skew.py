@@ -29,3 +29,19 @@ def lookup(rows: DataFrame, key: str, label: DataFrame, of: str, n: str) -> Data
     name = fresh("hot", rows.columns)
     spread = rows.join(F.broadcast(hot.select(F.col(of).alias(name))), F.col(key) == F.col(name), "left_anti")
     return rows.join(F.broadcast(hot), F.col(key) == F.col(of)).unionByName(spread.join(rest, F.col(key) == F.col(of), "left"))
+
+
+def flagged(rows: DataFrame, key: str, ids: DataFrame, of: str, flag: str) -> DataFrame:
+    """rows with a boolean column: whether the key is among ids (their column `of`; repeats don't matter, null is in none).
+
+    The keys that a HOT-th of all rows or more have, HOT of them at most, are looked up by broadcast; only the others' rows are shuffled."""
+    own, mark = fresh("own", rows.columns), F.lit(True).alias(flag)
+    counted = rows.groupBy(F.col(key).alias(own)).agg(F.count("*").alias("n"))
+    total = rows.count()
+    distinct = ids.select(F.col(of).alias(own)).distinct()
+    often = counted.where(F.col("n") * HOT >= total).select(own)
+    hot = often.join(distinct.select(own, mark), own, "left").select(own, F.coalesce(flag, F.lit(False)).alias(flag))
+    some = rows.join(F.broadcast(hot), F.col(key) == F.col(own)).drop(own)
+    rest = rows.join(F.broadcast(often), F.col(key) == F.col(own), "left_anti")
+    met = rest.join(distinct.select(own, mark), F.col(key) == F.col(own), "left").drop(own).withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return some.unionByName(met)

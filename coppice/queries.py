@@ -5,6 +5,8 @@ orders, customers, nations and regions for a graph, conversations and events for
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .operators import audit, cluster, diff, references, replay, scan
 from .operators import search as S
 from .operators import similarity
 from .registry import QUERIES, SQL, query, table
+from .sources.shared import cut, removed, shared_dir
+from .streaming import replay as streams
 
 
 
@@ -301,6 +305,72 @@ def links_unresolved(spark, sf_dir):
     return found.join(pages.select(F.col("url").alias("target")), "target", "left_anti").groupBy("page_id").agg(F.count("*").alias("broken"))
 
 
+@query("chain_middles", _GRAPH + """ SELECT i.middle AS middle, sources, targets, sources * targets AS chains FROM (SELECT target AS middle, count(*) AS sources FROM good GROUP BY 1) i JOIN (SELECT source AS middle, count(*) AS targets FROM good GROUP BY 1) o ON i.middle = o.middle""")
+def chain_middles(spark, sf_dir):
+    """Chains by their middle, uncounted ones of hubs included: nations stand between all their customers and a region."""
+    return references.middles(*graph(spark, sf_dir))
+
+
+_ROOTS = "SELECT DISTINCT 'Root-' || s_nationkey || '-' || CASE WHEN s_acctbal > 4000 THEN 'Building' ELSE 'Furniture' END || '-suppliers.md' AS file FROM supplier"
+
+
+@query("roots_missing", f"""WITH r AS ({_ROOTS}), a AS (SELECT c_custkey, 'root-' || c_nationkey || '-' || c_mktsegment || '.md' AS reference FROM customer)
+      SELECT c_custkey AS line, reference FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE starts_with(lower(r.file), lower(replace(reference, '.md', ''))))""")
+def roots_missing(spark, sf_dir):
+    """Customers refer to roots of their nation and segment, of which suppliers' files are a part."""
+    file = F.format_string("Root-%d-%s-suppliers.md", "s_nationkey", F.when(F.col("s_acctbal") > 4000, "Building").otherwise("Furniture"))
+    text = F.format_string("see it (bkz: root-%d-%s.md)", "c_nationkey", "c_mktsegment")
+    own = table(spark, sf_dir, "customer").select(F.lit("root-9-customers.md").alias("file"), F.col("c_mktsegment").alias("branch"), F.col("c_custkey").alias("line"), text.alias("text"))
+    return references.missing_roots(own, table(spark, sf_dir, "supplier").select(file.alias("file")).distinct()).select("line", "reference")
+
+
+@query("edges_to_moved", """SELECT l_orderkey || ':' || l_linenumber AS edge, 'o' || l_orderkey AS source, 'p' || l_partkey AS target, p_type AS branch FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 2 AND p_type <> p_brand""")
+def edges_to_moved(spark, sf_dir):
+    """Line items as references to parts, of which the smallest have moved from their brand's branch to their type's."""
+    part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    leaf = F.concat(F.lit("p"), F.col("p_partkey")).alias("leaf_id")
+    before = part.select(leaf, F.lit("root-1-parts.md").alias("file"), F.col("p_brand").alias("branch"))
+    after = part.select(leaf, F.lit("root-1-parts.md").alias("file"), F.when(F.col("p_size") <= 2, F.col("p_type")).otherwise(F.col("p_brand")).alias("branch"))
+    edges = item.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey")).alias("target"), F.lit("bkz").alias("human"))
+    return references.moved(before, after, edges).select("edge", "source", "target", "branch")
+
+
+_EXPLICIT = "CASE WHEN c_acctbal < 0 THEN 'n' || (c_nationkey + 1) % 25 WHEN c_acctbal > 9000 THEN 'gone' WHEN c_acctbal > 8000 THEN 'n' || c_nationkey END"
+
+
+@query("references_explicit", f"""WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey, {_EXPLICIT} AS named, c_mktsegment = 'HOUSEHOLD' AS nowhere FROM customer JOIN nation ON c_nationkey = n_nationkey),
+      t AS (SELECT *, CASE WHEN named IS NOT NULL THEN named WHEN NOT nowhere THEN 'n' || c_nationkey END AS target, 'bkz: root-' || n_regionkey || ' / ' || CASE WHEN nowhere THEN 'nowhere' ELSE 'nation_' || c_nationkey END AS human FROM c)
+      SELECT 'c' || c_custkey AS source, target, CASE WHEN target IS NULL THEN 'legacy-unresolved' WHEN target = 'gone' THEN 'unresolved' WHEN target = 'n' || c_nationkey AND NOT nowhere THEN 'resolved' ELSE 'resolved-path-mismatch' END AS status, human FROM t""")
+def references_explicit(spark, sf_dir):
+    """All four states of an edge: customers refer to their nation's branch or to none, and some name a target outright."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    homes = nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("leaf_id"), F.format_string("root-%d-nations.md", "n_regionkey").alias("file"), F.col("n_name").alias("branch"), F.lit("").alias("text"))
+    met = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    branch = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "nowhere").otherwise(F.format_string("nation_%d", "c_nationkey"))
+    own = met.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("leaf_id"), F.lit("root-9-customers.md").alias("file"), F.col("c_mktsegment").alias("branch"), F.format_string("%s, bkz: root-%d / %s", F.col("c_name"), F.col("n_regionkey"), branch).alias("text"))
+    named = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("n"), (F.col("c_nationkey") + 1) % 25)).when(F.col("c_acctbal") > 9000, "gone").when(F.col("c_acctbal") > 8000, F.concat(F.lit("n"), F.col("c_nationkey")))
+    explicit = customer.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("leaf_id"), F.lit(0).alias("ord"), F.lit(0).alias("place"), named.alias("target")).where("target is not null")
+    return references.resolve(homes.unionByName(own), explicit).select("source", "target", "status", "human")
+
+
+@query("audit_references", _GRAPH + """ SELECT 'broken-ref' AS code, source AS first, count(*) AS n FROM e WHERE NOT (source IN (SELECT id FROM live) AND target IN (SELECT id FROM live)) GROUP BY 2
+      UNION ALL SELECT 'reference-chain', a.source, count(*) FROM good a JOIN good b ON a.target = b.source GROUP BY 2""")
+def audit_references(spark, sf_dir):
+    """Findings of an audit with a graph: broken references and chains of more than one hop, by their first leaf."""
+    edges, live = graph(spark, sf_dir)
+    own = live.select(F.col("id").alias("leaf_id"), F.lit("root-1.md").alias("file"), F.lit(0).alias("branch_ord"), F.lit("b").alias("branch"), F.lit(1).alias("line"), F.lit("").alias("text"))
+    found = audit.findings(own, own.select("file", "branch_ord").limit(0), edges).where("code in ('broken-ref', 'reference-chain')")
+    first = F.regexp_extract("msg", "^([^ :]+)", 1)
+    return found.groupBy("code", first.alias("first")).agg(F.count("*").alias("n"))
+
+
+@query("search_invalid_pattern", "SELECT q.query_id AS query_id, doc_id AS leaf_id FROM documents, (VALUES (1, '+'), (2, '('), (3, '*')) q(query_id, query) WHERE contains(text, query)")
+def search_invalid_pattern(spark, sf_dir):
+    """Patterns that don't compile are searched for literally."""
+    own = spark.createDataFrame([(1, "+"), (2, "("), (3, "*")], "query_id int, query string")
+    return S.matches(leaves(spark, sf_dir), own, mode="regex", threshold=2.0).select("query_id", "leaf_id")
+
+
 # --- logs and replay ------------------------------------------------------------------------------------------------
 
 # an empty user turn is where a conversation's log breaks off; turns number lines from 0
@@ -351,7 +421,10 @@ _OPS = """SELECT user_id || ':' || json_extract_string(props, '$.k') AS id, even
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as operations on leaves: sign-ups and views write, clicks set provenance, errors delete or, if costly, forget."""
-    e = table(spark, sf_dir, "events")
+    return operations_of(table(spark, sf_dir, "events"))
+
+
+def operations_of(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     op = F.when(kind.isin("signup", "view"), "upsert").when(kind == "click", "provenance").when(kind == "error", F.when(F.col("value") >= 150, "forget").otherwise("delete")).otherwise("edge")
     id_ = F.concat_ws(":", "user_id", F.get_json_object("props", "$.k"))
@@ -372,6 +445,21 @@ def state_provenance_fold(spark, sf_dir):
     return replay.leaf_state(operations(spark, sf_dir), fields=("confidence",)).select("id", F.col("confidence").cast("double").alias("confidence"))
 
 
+@query("stream_leaf_states", _STATE + " SELECT live.id AS id, k.value AS value, (SELECT max(p.seq) FROM k p WHERE p.id = live.id AND p.seq >= live.s) AS seq, (SELECT arg_max(p.value, p.seq) FROM k p WHERE p.id = live.id AND p.seq > live.s AND p.type = 'provenance') AS confidence FROM live JOIN k ON k.id = live.id AND k.seq = live.s")
+def stream_leaf_states(spark, sf_dir):
+    """The events as a stream until there are no more: the last state that it gave out of each leaf."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    states = streams.leaf_states(operations_of(events).drop("provenance"))
+    states.writeStream.outputMode("update").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    given = spark.read.schema(f"{streams.LEAF}, batch long").parquet(f"{at}/out")
+    last = given.groupBy("id").agg(F.max_by(F.struct("live", "value", "seq", "confidence"), "batch").alias("x")).where("x.live")
+    out = cut(last.select("id", "x.value", "x.seq", "x.confidence"))
+    removed(spark, at)
+    return out
+
+
 @query("state_tombstones", f"SELECT id, min(seq) AS seq FROM ({_OPS}) WHERE type = 'forget' GROUP BY 1")
 def state_tombstones(spark, sf_dir):
     return replay.tombstones(operations(spark, sf_dir))

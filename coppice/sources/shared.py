@@ -26,3 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint: what is above it isn't computed again, even if executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one, by Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
