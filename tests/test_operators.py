@@ -218,6 +218,68 @@ def test_prefix_scan(spark, monkeypatch, parts):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept[1])
 
 
+@pytest.mark.parametrize("parts", [1, 2, 13])
+def test_fills_and_as_of_joins_by_ranges(spark, parts):
+    """One group holds most rows; the last value goes on over ranges without one; ties and groups without points."""
+    rng = random.Random(parts)
+    rows = [("big" if rng.random() < 0.8 else rng.choice(["a", "b", None]), i, i * 10 if rng.random() < 0.05 else None) for i in range(500)]
+    last, want = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: -r[1]):
+        last[g] = v if v is not None else last.get(g)
+        want[i] = last[g]
+    rng.shuffle(rows)
+    points = [("big", rng.randrange(300), i) for i in range(40)] + [("a", 5, 1), ("a", 5, 0)]
+    marks = [(rng.choice(["big", "big", "a", "none"]), rng.randrange(320), 1000 + i) for i in range(200)]
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = scan.numbered(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], [F.desc("i")], "p", filled={"w": "v"})
+        assert {r.i: r.w for r in got.collect()} == want
+        met = diff.forward(spark.createDataFrame(points, "g string, t long, x long"), spark.createDataFrame(marks, "g string, t long, x long"), "g", "t", "x")
+        after = lambda g, t: min(((pt, px) for pg, pt, px in points if pg == g and pt >= t), default=(None, None))
+        assert {(r.mark, r.next_at, r.next_value) for r in met.collect()} == {(x, *after(g, t)) for g, t, x in marks}
+        assert "Window" not in met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept[1])
+
+
+def test_chains_through_hubs(spark, monkeypatch):
+    """A hub in many cells gives the same chains; `most` leaves it out, and `middles` counts it."""
+    monkeypatch.setattr(references, "CELL", 4)
+    rng = random.Random(3)
+    edges = {("s%d" % i, "hub") for i in range(30)} | {("hub", "t%d" % i) for i in range(25)} | {(rng.choice("abcdef"), rng.choice("abcdef")) for _ in range(20)}
+    frame = spark.createDataFrame([(*e, "resolved") for e in edges] * 2, "source string, target string, status string")
+    live = spark.createDataFrame([(x,) for x in {x for e in edges for x in e} - {"f"}], "id string")
+    good = {e for e in edges if "f" not in e}
+    want = {(a, b, d) for a, b in good for c, d in good if b == c}
+    got = [tuple(r) for r in references.chains(frame, live).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(r) for r in references.chains(frame, live, 100).collect()} == {w for w in want if w[1] != "hub"}
+    counted = {r.middle: (r.sources, r.targets, r.chains) for r in references.middles(frame, live).collect()}
+    assert counted["hub"] == (30, 25, 750) and sum(c for _, _, c in counted.values()) == len(want)
+
+
+def test_keys_looked_up_with_hot_ones_apart(spark, monkeypatch):
+    from coppice.operators import skew
+
+    rows = [("hot", i) for i in range(50)] + [("gone", i) for i in range(40)] + [(f"k{i}", i) for i in range(30)] + [(None, 1)]
+    ids = spark.createDataFrame([("hot",), ("hot",), ("k3",), (None,), ("other",)], "id string")
+    for hot in (1, 4, 1 << 12):
+        monkeypatch.setattr(skew, "HOT", hot)
+        got = skew.flagged(spark.createDataFrame(rows, "k string, v int"), "k", ids, "id", "there").collect()
+        assert sorted((r.k or "", r.v, r.there) for r in got) == sorted((k or "", v, k in ("hot", "k3")) for k, v in rows)
+
+
+def test_roots_by_the_beginnings_of_their_names(spark):
+    leaves = spark.createDataFrame([("f", "b", 1, "bkz: root-1-top and ROOT-2.md; root-33"), ("f", "b", 2, "root-9 without the word"), ("f", "b", 3, None)], "file string, branch string, line int, text string")
+    roots = spark.createDataFrame([("Root-1-Topics.md",), ("root-3-x.md",)], "file string")
+    found = references.missing_roots(leaves, roots)
+    assert sorted((r.line, r.reference) for r in found.collect()) == [(1, "ROOT-2.md"), (1, "root-33")]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_commits_must_name_their_operations(spark):
     ops = spark.createDataFrame([("t", 1, "x"), ("t", 2, "y"), ("u", 4, "z"), ("v", 6, "w")], "tx string, seq long, hash string")
     commits = spark.createDataFrame([("t", 3, ["x", "y"]), ("u", 5, ["q"])], "tx string, seq long, hashes array<string>")
