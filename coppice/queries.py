@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, cluster, diff, references, replay, scan
+from .operators import audit, cluster, diff, index, references, replay, scan
 from .operators import search as S
 from .operators import similarity
 from .registry import QUERIES, SQL, query, table
@@ -162,6 +162,32 @@ _CLASSES = f"""WITH s AS (SELECT doc_id, list_sort({_AUDIT.format('text')}) AS s
       t AS (SELECT class, copies, len(s) AS n, unnest(s) AS w FROM c), p AS (SELECT a.class AS a, b.class AS b, any_value(b.copies) AS there, count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM t a JOIN t b ON a.w = b.w AND a.class <> b.class GROUP BY 1, 2 HAVING similarity >= 0.85)"""
 
 
+@query("inverted_index_search", f"""WITH d AS (SELECT doc_id, {_AUDIT.format('text')} AS w FROM documents), b AS (SELECT item_id, {_AUDIT.format('text')} AS w FROM benchmark)
+      SELECT item_id AS query_id, doc_id AS leaf_id FROM b JOIN d ON list_has_all(d.w, b.w) WHERE len(b.w) > 0""")
+def inverted_index_search(spark, sf_dir):
+    """Documents with all words of a benchmark text, from an index of all documents."""
+    own = leaves(spark, sf_dir).select("leaf_id", T.audit_tokens(F.col("text")).alias("tokens"))
+    asked_for = asked(spark, sf_dir).select("query_id", T.audit_tokens(F.col("query")).alias("tokens"))
+    return index.search(index.build(own), asked_for)
+
+
+_NEWER = "SELECT CASE WHEN lang = 'de' THEN text || ' renewed leaf' ELSE text END AS text FROM documents WHERE n_chars < 9000"
+
+
+@query("inverted_index_updated", f"SELECT token, count(*) AS leaves FROM (SELECT unnest({_AUDIT.format('text')}) AS token FROM ({_NEWER})) GROUP BY 1")
+def inverted_index_updated(spark, sf_dir):
+    """Lengths of the posting lists after long documents are gone and the German ones are changed: the index of all documents with those leaves merged in."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    tokens = T.audit_tokens(F.col("text")).alias("tokens")
+    state = docs.select(F.col("doc_id").alias("id"), "text", F.sha2("text", 256).alias("contentHash"))
+    now = docs.where("n_chars < 9000").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "de", F.concat("text", F.lit(" renewed leaf"))).otherwise(F.col("text")).alias("text")).withColumn("contentHash", F.sha2("text", 256))
+    put = diff.upserts(now, state, fields=("contentHash",)).select(F.col("id").alias("leaf_id"), tokens)
+    gone = diff.deletes(now, state).unionByName(put.select(F.col("leaf_id").alias("id")))
+    out = state.join(gone, "id", "left_semi").select(F.col("id").alias("leaf_id"), tokens)
+    kept = index.build(state.select(F.col("id").alias("leaf_id"), tokens))
+    return index.update(kept, out, put).groupBy("token").agg(F.sum("n").alias("leaves"))
+
+
 @query("near_duplicate_leaves", _CLASSES + " SELECT s.doc_id AS leaf_id, c.class AS class, (c.copies - 1 + coalesce(o.there, 0))::BIGINT AS links FROM s JOIN c USING (s) LEFT JOIN (SELECT a, sum(there) AS there FROM p GROUP BY 1) o ON o.a = c.class")
 def near_duplicate_leaves(spark, sf_dir):
     return similarity.links(audit.compared(leaves(spark, sf_dir)), "leaf_id", "tokens", audit.DUPLICATE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coppice import api
 from coppice.functions import text as T
-from coppice.operators import audit, cluster, diff, references, replay, scan
+from coppice.operators import audit, cluster, diff, index, references, replay, scan
 from coppice.operators import search as S
 from coppice.operators import similarity
 from coppice.sources import trees
@@ -280,6 +280,35 @@ def test_roots_by_the_beginnings_of_their_names(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("size", [3, 512])
+def test_a_kept_index(spark, tmp_path, monkeypatch, size):
+    """Small blocks, a word in nearly every leaf, ids far apart; changes, a new and a lost token, then searches from files."""
+    monkeypatch.setattr(index, "BLOCK", size)
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(15)]
+    draw = lambda: ["all", *rng.sample(words, rng.randint(0, 6))] * rng.choice([1, 1, 2])
+    state = {rng.choice([i, i * 1_000_003, -i]): draw() for i in range(200)}
+    frame = lambda rows: spark.createDataFrame([(k, v) for k, v in rows.items()], "leaf_id long, tokens array<string>")
+    now = index.build(frame(state))
+    want = lambda of: {(t, k) for k, v in of.items() for t in v}
+    assert sorted(map(tuple, index.postings(now).collect())) == sorted(want(state))
+    for turn in range(3):
+        old = {k: state[k] for k in rng.sample(sorted(state), 30)}
+        put = {k: draw() for k in list(old)[:20]} | {300_000_000 + 10_000 * turn + i: [*draw(), f"new{turn}"] for i in range(25)} | {-999_999 - turn: ["all", "w1"]}
+        now = index.update(now, frame(old), frame(put))
+        state = {k: v for k, v in state.items() if k not in old} | put
+    got = now.collect()
+    assert sorted(map(tuple, index.postings(now).collect())) == sorted(want(state)) and max(b.n for b in got) <= size
+    by_token = {}
+    for b in sorted(got, key=lambda b: (b.token, b.first)):
+        assert b.first > by_token.get(b.token, -(1 << 62)) and b.last >= b.first
+        by_token[b.token] = b.last
+    index.save(now, str(tmp_path / "index"))
+    asked = [(0, ["all"]), (1, ["w1", "w2", "all"]), (2, ["new2", "w3"]), (3, ["absent", "all"]), (4, []), (5, ["w1", "w1"]), (6, ["w1", "w2", "w3", "w4"])]
+    found = index.search(spark.read.parquet(str(tmp_path / "index")), spark.createDataFrame(asked, "query_id int, tokens array<string>")).collect()
+    assert sorted(map(tuple, found)) == sorted((q, k) for q, t in asked for k, v in state.items() if t and set(t) <= set(v))
+
+
 def test_commits_must_name_their_operations(spark):
     ops = spark.createDataFrame([("t", 1, "x"), ("t", 2, "y"), ("u", 4, "z"), ("v", 6, "w")], "tx string, seq long, hash string")
     commits = spark.createDataFrame([("t", 3, ["x", "y"]), ("u", 5, ["q"])], "tx string, seq long, hashes array<string>")
