@@ -1,9 +1,10 @@
 """Removal of repeated byte strings by suffix arrays of shards (operator 13).
 
-A string of `length` bytes has an anchor, the least hash of the byte runs of GRAM in it, so equal strings have equal
-anchors, and neighbouring strings mostly share theirs: a text falls into runs of starts with one anchor. One pass counts
-the anchors. A second sends each run whose anchor occurs again, as the bytes that its strings cover, to the shard of its
-anchor; where a task itself holds the same run earlier, it is known to be a repeat and isn't sent. In a shard all runs of
+A string of `length` bytes has an anchor, the least hash of the byte runs of GRAM in it, and a second one by another hash,
+so equal strings have equal anchors, and neighbouring strings mostly share theirs: a text falls into stretches of starts
+with the same two. One pass counts pairs of anchors. A second sends the stretches whose pair occurs again, those that lie
+side by side with one first anchor as one run, as the bytes that its strings cover, to the shard of that anchor; where a
+task itself holds the same run earlier, it is known to be a repeat and isn't sent. In a shard all runs of
 an anchor meet. Their texts, joined, are a string whose suffix array is made by induced sorting: suffixes are classified
 as larger or smaller than the next one, the leftmost smaller ones are sorted by their substrings, recursively where
 these repeat, and all others are induced from them, bucket by bucket. Permuted common prefixes then tell which
@@ -140,7 +141,7 @@ def suffix_array(t: np.ndarray, sparse: int = SPARSE) -> np.ndarray:
     """The suffixes of t in order. t: whole numbers above 0 and a single 0 at the end."""
     counts = np.bincount(t)
     t = t.astype(np.uint8 if len(counts) <= 1 << 8 else np.uint16 if len(counts) <= 1 << 16 else np.int64)  # symbols of few bytes are dealt fastest
-    if np.count_nonzero(counts) * sparse > len(t):
+    if len(t) == 1 or np.count_nonzero(counts) * sparse > len(t):
         return _doubled(t)
     ends, small = np.cumsum(counts), _smaller(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
@@ -180,42 +181,66 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
 # --- runs ---
 
 
-def anchored(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(where it begins in data, how many strings of `length` start in it, their anchor, whether that stands in it twice) of every run.
-
-    ends: where each text and the byte after it end. A string can only be twice in a run in which its anchor is; sixteen
-    bits of the hashes tell, so a run may be said to have it twice that hasn't."""
-    width = length - GRAM + 1
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    eight = eights(data)
-    with np.errstate(over="ignore"):
-        h = eight[: len(data) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-        for k in range(8, GRAM, 8):
-            h ^= h >> np.uint64(29)
-            h += eight[k : len(data) - GRAM + 1 + k]
-            h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-        h = mixed(h)
-    low = np.lib.stride_tricks.sliding_window_view(h.astype(np.uint16), width)
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of `width` values from each place on."""
     size = 1
     while 2 * size <= width:
         h, size = np.minimum(h[:-size], h[size:]), 2 * size
-    if size < width:
-        h = np.minimum(h[: len(h) - (width - size)], h[width - size :])
-    begins = np.concatenate(([0], ends[:-1]))
-    stops = ends - length  # the last string of a text starts a byte before
-    some = stops > begins
-    inside = np.zeros(n + 1, np.int8)
-    inside[begins[some]] += 1
-    inside[stops[some]] -= 1
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    new[begins[some]] = True
-    at = np.flatnonzero(new & (np.cumsum(inside[:n], dtype=np.int8) > 0))
-    own = np.searchsorted(ends, at, "right")
-    n = np.minimum(np.append(at[1:], n), stops[own]) - at
-    own = h[at].astype(np.uint16)[:, None]
-    return at, n, h[at], np.argmax(low[at] == own, axis=1) + np.argmax(low[at + n - 1][:, ::-1] == own, axis=1) != n + width - 2
+    return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
+
+
+class Anchored:
+    """The strings of `length` bytes of some texts by their anchors: stretches of starts with the same two, the least of two hashes.
+
+    data, ends: the texts' bytes, and where each text and the byte after it end. at, n, anchor, both: where each stretch
+    begins, how many strings start in it, their first anchor, and a hash of the two."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, length: int):
+        self.data, self.ends, self.length, self.width = data, ends, length, length - GRAM + 1
+        n = len(data) - length + 1
+        if n <= 0:
+            self.at = self.n = np.zeros(0, np.int64)
+            self.anchor = self.both = np.zeros(0, np.uint64)
+            return
+        eight = eights(data)
+        with np.errstate(over="ignore"):
+            h = eight[: len(data) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
+            for k in range(8, GRAM, 8):
+                h ^= h >> np.uint64(29)
+                h += eight[k : len(data) - GRAM + 1 + k]
+                h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+            h = mixed(h)
+            one, two = _least(h, self.width), _least(h * np.uint64(0xD6E8FEB86659FD93) ^ (h >> np.uint64(32)), self.width)
+        self.low = np.lib.stride_tricks.sliding_window_view(h.astype(np.uint16), self.width)
+        begins = np.concatenate(([0], ends[:-1]))
+        stops = ends - length  # the last string of a text starts a byte before
+        some = stops > begins
+        inside = np.zeros(n + 1, np.int8)
+        inside[begins[some]] += 1
+        inside[stops[some]] -= 1
+        new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+        new[begins[some]] = True
+        self.at = np.flatnonzero(new & (np.cumsum(inside[:n], dtype=np.int8) > 0))
+        self.n = np.minimum(np.append(self.at[1:], n), stops[np.searchsorted(ends, self.at, "right")]) - self.at
+        self.anchor = one[self.at]
+        with np.errstate(over="ignore"):
+            self.both = mixed(self.anchor + two[self.at] * np.uint64(0x9E3779B97F4A7C15))
+
+    def twice(self, at: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Whether its first anchor stands in a stretch twice, as where a string is repeated within it. Sixteen bits of the hashes tell, so it may be said of others."""
+        if not len(at):
+            return np.zeros(0, bool)
+        own = anchor.astype(np.uint16)[:, None]
+        return np.argmax(self.low[at] == own, axis=1) + np.argmax(self.low[at + n - 1][:, ::-1] == own, axis=1) != n + self.width - 2
+
+    def runs(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, n, anchor) of the stretches kept, neighbours with the same first anchor as one."""
+        at, n, anchor = self.at[kept], self.n[kept], self.anchor[kept]
+        if not len(at):
+            return at, n, anchor
+        # texts are a byte apart or more, so stretches that touch are of one text
+        first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + n[:-1]) | (anchor[1:] != anchor[:-1]))))
+        return at[first], np.add.reduceat(n, first), anchor[first]
 
 
 class Place:
@@ -284,7 +309,7 @@ def _sent(place: Place, doc: np.ndarray, start: np.ndarray, anchor: np.ndarray,
 
 
 def runs(rows: DataFrame, length: int, known: tuple) -> DataFrame:
-    """The runs of rows (id, h, text) whose anchor is in the map of repeated ones, as ROWS; a null run is a span that is a repeat."""
+    """The runs of rows (id, h, text) whose anchors are in the map of repeated ones, as ROWS; a null run is a span that is a repeat."""
     shared, log = known
 
     def lot(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +322,11 @@ def runs(rows: DataFrame, length: int, known: tuple) -> DataFrame:
         bits, parts, size = shared.value, [], 0
         for part in slices(batches):
             data, ends = joined(part.column(2))
-            at, n, anchor, twice = anchored(data, ends, length)
-            spot = anchor >> np.uint64(64 - log)
-            some = np.flatnonzero((bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
-            at, n, anchor, twice = at[some], n[some], anchor[some], twice[some]
+            all_ = Anchored(data, ends, length)
+            spot = all_.both >> np.uint64(64 - log)
+            at, n, anchor = all_.runs(np.flatnonzero((bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1))
             doc = np.searchsorted(ends, at, "right")
-            parts.append((part.column(0), part.column(1).to_numpy(), doc, at - np.concatenate(([0], ends))[doc], anchor, _binary(data, at, n + length - 1), twice))
+            parts.append((part.column(0), part.column(1).to_numpy(), doc, at - np.concatenate(([0], ends))[doc], anchor, _binary(data, at, n + length - 1), all_.twice(at, n, anchor)))
             size += len(data)
             if size >= HELD:
                 yield from lot(parts)
@@ -314,12 +338,12 @@ def runs(rows: DataFrame, length: int, known: tuple) -> DataFrame:
 
 
 def anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(h, n): every anchor of rows (id, h, text) and how many runs have it; those that have it twice count as two."""
+    """(h, n): a hash of every pair of anchors in rows (id, h, text), and how many stretches have it; one with its anchor twice counts as two."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            _, _, anchor, twice = anchored(*joined(part.column(2)), length)
-            own, n = np.unique(np.concatenate((anchor, anchor[twice])), return_counts=True)
+            all_ = Anchored(*joined(part.column(2)), length)
+            own, n = np.unique(np.concatenate((all_.both, all_.both[all_.twice(all_.at, all_.n, all_.anchor)])), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["h", "n"])
 
     return rows.mapInArrow(gather, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -412,7 +436,7 @@ def repeated(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(t).alias("h"), t.alias("text")).where(F.octet_length("text") >= length)
     spark = docs.sparkSession
-    bits = bit_map(anchors(rows, length).where("n > 1").select("h"))
+    bits = bit_map(cut(anchors(rows, length).where("n > 1").select("h")))
     if bits is None:
         return spark.createDataFrame([], SPANS)
     with stored(runs(rows, length, (spark.sparkContext.broadcast(bits[0]), bits[1]))) as found:
