@@ -70,18 +70,26 @@ def spelled(bits: int) -> np.ndarray:
 
 
 class Tables:
-    """The fingerprints of items of one size, to be found within a radius."""
+    """The fingerprints of items of one size, to be found within a radius.
+
+    Of each block of bits, the sorted values that items have, or are a few bits from, lead to the items; a map of 2^BITS
+    bits tells which values there are. So a size takes 8 KB a block and what its own items need."""
 
     def __init__(self, items: np.ndarray, prints: np.ndarray, radius: int):
         self.items, self.prints, self.radius = items, prints, radius
         share = radius // BLOCKS
         self.asked, held = spelled(share - share // 2), spelled(share // 2)
-        self.starts, self.posts = [], []
+        self.there, self.values, self.starts, self.posts = [], [], [], []
         for b in range(BLOCKS):
             keys = (self.block(prints, b)[:, None] ^ held).ravel()
             order = np.argsort(keys, kind="stable")
-            self.starts.append(np.searchsorted(keys[order], np.arange((1 << BITS) + 1)))
-            self.posts.append(np.repeat(np.arange(len(items)), len(held))[order])
+            values, starts = np.unique(keys[order], return_index=True)
+            there = np.zeros(1 << BITS, bool)
+            there[values] = True
+            self.there.append(np.packbits(there, bitorder="little"))
+            self.values.append(values.astype(np.uint16))
+            self.starts.append(np.append(starts, len(keys)).astype(np.int32))
+            self.posts.append(np.repeat(np.arange(len(items), dtype=np.int32), len(held))[order])
 
     @staticmethod
     def block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -92,12 +100,12 @@ class Tables:
         found = [np.zeros((0, 2), np.int64)]
         for low in range(0, len(prints), most := max(1, PROBES // len(self.asked))):
             own = prints[low : low + most]
-            for b, (starts, posts) in enumerate(zip(self.starts, self.posts)):
+            for b, (there, values, starts, posts) in enumerate(zip(self.there, self.values, self.starts, self.posts)):
                 keys = (self.block(own, b)[:, None] ^ self.asked).ravel()
-                n = starts[keys + 1] - starts[keys]
-                some = np.flatnonzero(n)
-                n, of = n[some], some // len(self.asked)
-                at = posts[np.arange(n.sum()) + np.repeat(starts[keys[some]] - (np.cumsum(n) - n), n)]
+                some = np.flatnonzero((there[keys >> 3] >> (keys & 7).astype(np.uint8)) & 1)
+                place = np.searchsorted(values, keys[some].astype(np.uint16))
+                n, of = (starts[place + 1] - starts[place]).astype(np.int64), some // len(self.asked)
+                at = posts[np.arange(n.sum()) + np.repeat(starts[place] - (np.cumsum(n) - n), n)]
                 of = np.repeat(of, n)
                 keep = np.bitwise_count(own[of] ^ self.prints[at]) <= self.radius
                 found.append(np.unique(np.column_stack((of[keep] + low, at[keep])), axis=0))
@@ -257,9 +265,16 @@ def _blocks(benchmark: DataFrame, item: str) -> Iterator:
         yield benchmark.sparkSession.sparkContext.broadcast(few.where(of_block == b).toArrow())
 
 
+def _built(share, column: int, *how) -> Items:
+    """The items of a broadcast block, built once in each Python worker, which keeps them beside the block itself."""
+    if getattr(share, "built", None) is None or share.built[0] != how:
+        share.built = how, Items(share.value.column(column).combine_chunks(), *how)
+    return share.built[1]
+
+
 def _kept(share, words: int, threshold: float, radius: int, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(share.value.column(1).combine_chunks(), words, radius, threshold)
+        items = _built(share, 1, words, radius, threshold)
         for part in slices(batches, text):
             found = {d for d, _ in hits(items, part.column(part.schema.get_field_index(text)), threshold)}
             yield part.filter(pa.array([d not in found for d in range(part.num_rows)], pa.bool_()))
@@ -269,8 +284,7 @@ def _kept(share, words: int, threshold: float, radius: int, text: str):
 
 def _search(share, words: int, threshold: float, radius: int, text: str, names: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts = (c.combine_chunks() for c in share.value.columns)
-        items = Items(texts, words, radius, threshold)
+        ids, items = share.value.column(0).combine_chunks(), _built(share, 1, words, radius, threshold)
         for part in slices(batches, text):
             found = sorted(hits(items, part.column(1), threshold).items())
             rows, own = (pa.array([k[i] for k, _ in found], pa.int64()) for i in (0, 1))
