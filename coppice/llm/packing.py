@@ -14,10 +14,11 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -55,14 +56,16 @@ class Encoder:
     In this vocabulary space and line feed end a word, and so does a change between ASCII letters, digits and marks
     (without the apostrophe), of ASCII or Latin; case is dropped. So each part between such places is encoded once and
     kept by its hash, with its bytes: parts are compared byte by byte, and a slice in which two parts share a hash is
-    encoded text by text."""
+    encoded text by text. So are texts that hold a special token's string in any case: as the tokenizer has it, that is
+    one id, unless special is false, when it is text like any other."""
 
-    def __init__(self, path: str, stop: int):
+    def __init__(self, path: str, stop: int, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have a core each
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.stop = stop
         self._clear()
 
@@ -95,6 +98,23 @@ class Encoder:
         return [np.append(x, np.uint32(self.stop)) for x in np.split(ids, np.cumsum(size)[:-1])]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        odd = self._marked(texts)
+        if not odd.any():
+            return self._by_parts(texts) if len(texts) else []
+        plain = iter(self._plain(texts.filter(pa.array(odd))))
+        rest = iter(self._by_parts(texts.filter(pa.array(~odd))) if not odd.all() else [])
+        return [next(plain if x else rest) for x in odd]
+
+    def _marked(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold a special token's string in any case. Few have even its beginning that isn't letters, which is found faster."""
+        out = np.zeros(len(texts), bool)
+        for mark in self.special:
+            begin = "".join(takewhile(lambda c: not c.isalpha(), mark))
+            some = np.flatnonzero(pc.fill_null(pc.match_substring(texts, begin), False).to_numpy(zero_copy_only=False))
+            out[some] |= pc.match_substring(texts.take(pa.array(some)), mark, ignore_case=True).to_numpy(zero_copy_only=False)
+        return out
+
+    def _by_parts(self, texts: pa.Array) -> list[np.ndarray]:
         w = Words(texts, split=ENDS, kinds=kinds)
         size = w.stops - w.starts
         unique, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
@@ -223,17 +243,18 @@ def last(pieces: list[Piece], top: int) -> list[tuple[int, list[Piece]]]:
     return done
 
 
-def sequences(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", stop: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 15) -> DataFrame:
+def sequences(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", stop: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 15, special: bool = True) -> DataFrame:
     """One row for every piece of a document in a sequence: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step.
 
-    vocabulary: path of the tokenizer's file. Null and empty texts are the stop id alone; repeated rows are packed
+    vocabulary: path of the tokenizer's file; special: whether the strings of its special tokens stand for these, as in
+    the tokenizer's plain call, or are text. Null and empty texts are the stop id alone; repeated rows are packed
     each; the key may be null. Every task packs the rows of its own partition, lot after lot, without a shuffle and in
     their order, so a task that runs again packs alike; what a lot leaves open goes into the next. sequence_id has the
     partition's number above its lower 40 bits. step numbers groups of sequences of about step_tokens tokens, balanced
     over the windows and tiers of a lot; a task's last group may have fewer."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = Encoder(vocabulary, stop), TaskContext.get().partitionId() << 40
+        encode, base = Encoder(vocabulary, stop, special), TaskContext.get().partitionId() << 40
         made, stepped = 0, 0
         keys: list = []
         ids: list[np.ndarray] = []

@@ -597,9 +597,11 @@ def test_native_plans_have_no_python(spark):
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
+    texts = texts + ["a <|endoftext|> b", "<|startoftext|>", "x<|EndOfText|>y <|endoftext|", "<|endoftext|><|endoftext|> Z"]
     got = packing.sequences(clashing(table(spark, texts)).repartition(3), vocabulary()).collect()
-    plain = Tokenizer.from_file(vocabulary())
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(vocabulary())  # as it is, without any flag
+    marks = {r.doc_id: r.doc_tokens for r in packing.sequences(table(spark, texts[-4:-3]), vocabulary(), special=False).collect()}
+    assert len(plain.encode(texts[-4], add_special_tokens=False).ids) == 3 and marks == {0: 9}
     ids = [np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for t in texts]
     pieces, windows = {}, {}
     for r in got:
@@ -788,6 +790,19 @@ def test_decontamination(spark):
     assert decontamination.contaminated(table(spark, []), bench).count() == 0
 
 
+def test_tables_of_many_sizes_are_small():
+    """20,000 items of 1,000 sizes; all within the radius are found."""
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    tables = [decontamination.Tables(np.arange(k, 20_000, 1000), prints[k::1000], 19) for k in range(1000)]
+    size = sum(x.nbytes for t in tables for kept in (t.there, t.values, t.starts, t.posts) for x in kept)
+    assert size < 200 << 20
+    asked = prints[7::1000] ^ np.array([sum(1 << int(b) for b in rng.choice(64, n, False)) for n in np.arange(20) % 20], np.uint64)
+    at, item = tables[7].near(asked)
+    near = np.argwhere(np.bitwise_count(asked[:, None] ^ prints[7::1000]) <= 19)
+    assert set(zip(at.tolist(), item.tolist())) == {(int(a), int(b) * 1000 + 7) for a, b in near}
+
+
 # --- 9 ---
 
 
