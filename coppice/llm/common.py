@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, stored  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of text that a Python operator takes up at a time.
@@ -36,19 +34,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The same rows from Parquet files in the shared folder, which are deleted afterwards: smaller than a checkpoint, for results that are made at once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    try:
-        yield spark.read.schema(df.schema).parquet(path)
-    finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def unlike(key: str, *results: str) -> None:
     """Refuses a key column that is named like a column of the result."""
     if key.lower() in results:

@@ -117,6 +117,16 @@ def test_similar_sets_of_a_hot_token_in_cells(spark, monkeypatch):
             assert got == {k: pytest.approx(v) for k, v in want.items() if v >= least}
 
 
+def test_sets_that_are_unlike_are_not_paired_by_the_words_of_many(spark):
+    """Sets of common words, each with most of them by chance: unlike ones don't become candidates, however many meet in a word."""
+    rng = random.Random(3)
+    base = [rng.sample(range(600), 200) for _ in range(400)]
+    sets = [(i, [*b[:-2], 1000 + i]) for i, b in enumerate(base + base[:20])]
+    rows = spark.createDataFrame(sets, "id long, hashes array<long>")
+    found = {(r.a, r.b) for r in similarity.candidates(similarity.parts(rows, 0.85), 0.85).collect()}
+    assert {(i, 400 + i) for i in range(20)} <= found and len(found) < 100
+
+
 def test_audits(spark, tmp_path):
     many = "\n\n".join(f"leaf {i} of words{i} other{i}" for i in range(50))
     folder = tree(tmp_path, **{
