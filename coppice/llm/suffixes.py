@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup
+from ..sources.shared import freed
 from .common import bit_map, cut, eights, hashed, joined, mixed, slices, stored, unlike
 
 #: Bytes whose hash may be an anchor.
@@ -439,6 +440,7 @@ def repeated(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str
     bits = bit_map(cut(anchors(rows, length).where("n > 1").select("h")))
     if bits is None:
         return spark.createDataFrame([], SPANS)
+    freed(spark)  # the counts' shuffle is as long as the texts
     with stored(runs(rows, length, (spark.sparkContext.broadcast(bits[0]), bits[1]))) as found:
         sent = found.where("run is not null")
         label = cut(sent.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_RUNS))
@@ -451,7 +453,9 @@ def repeated(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str
         out = found.where("run is null").select("id", "h", "start", "stop").unionByName(shards(every, length, tasks))
         if split is not None:
             out = out.unionByName(split.where("run is null").select("id", "h", "start", "stop"))
-        return cut(out)
+        out = cut(out)
+    freed(spark)
+    return out
 
 
 def deduplicate(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
