@@ -319,6 +319,28 @@ def test_a_kept_index(spark, tmp_path, monkeypatch, size):
     assert sorted(map(tuple, found)) == sorted((q, k) for q, t in asked for k, v in state.items() if t and set(t) <= set(v))
 
 
+def test_an_index_is_merged_from_lists(spark, monkeypatch):
+    """Tasks gather ids into lists before they are shuffled; a token in every leaf is merged range by range, and its blocks never overlap."""
+    for name, value in (("BLOCK", 4), ("SPAN", 32), ("GATHER", 300), ("MERGED", 40), ("FEW", 0)):
+        monkeypatch.setattr(index, name, value)
+    frame = lambda ids, *more: spark.createDataFrame([(i, ["all", f"w{i % 3}", *more, None]) for i in ids], "leaf_id long, tokens array<string>")
+    own = frame(range(0, 600, 3))
+    marks = index.marks_of(own)
+    assert len(marks) == 6 and index.lists(own.withColumn("op", F.lit(1)), []).count() <= 2 * 8
+    now = index.build(own)
+    for _ in range(2):
+        now = index.update(now, frame(range(0, 600, 6)), frame([*range(1, 600, 3), -(1 << 62), 1 << 62], "late"))
+    there = [*range(3, 600, 6), *range(1, 600, 3), -(1 << 62), 1 << 62]
+    want = {("all", i) for i in there} | {(f"w{i % 3}", i) for i in there} | {("late", i) for i in there if i % 3 == 1 or abs(i) == 1 << 62}
+    assert sorted(map(tuple, index.postings(now).collect())) == sorted(want)
+    found = sorted(now.where("token = 'all'").collect(), key=lambda b: b.first)
+    assert all(a.last < b.first for a, b in zip(found, found[1:])) and max(b.n for b in found) <= 4
+    ids = [0, 1, 1 << 20, 1 << 40, (1 << 63) - 1, -(1 << 63), 5]
+    start = index.np.array([0, 2, 5], int)
+    data = index.packed(index.np.array(ids), start)
+    assert index.unpacked(index.np.array(ids)[start], data)[0].tolist() == ids
+
+
 def test_commits_must_name_their_operations(spark):
     ops = spark.createDataFrame([("t", 1, "x"), ("t", 2, "y"), ("u", 4, "z"), ("v", 6, "w")], "tx string, seq long, hash string")
     commits = spark.createDataFrame([("t", 3, ["x", "y"]), ("u", 5, ["q"])], "tx string, seq long, hashes array<string>")
