@@ -13,6 +13,7 @@ import re._constants as sre
 import re._parser as parser
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
@@ -37,6 +38,8 @@ AT_ONCE = 512
 LEAVES = 256
 #: A query token that finds nothing this similar in a leaf rules the leaf out.
 FLOOR = 0.4
+#: Bytes of texts that a task takes up at a time.
+SLICE_BYTES = 2 << 20
 #: Characters that a regex's literal must have to narrow its texts down.
 RUN = 3
 
@@ -102,7 +105,7 @@ def _exact(leaves: DataFrame, queries: DataFrame, mode: str, case_sensitive: boo
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [automaton(needles) for needles in share.value]
-        for batch in batches:
+        for batch in parts(batches):
             rows, qs, texts = [], [], []
             for i, (folded, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
                 for q in held(found[0], folded):
@@ -122,6 +125,17 @@ def _exact(leaves: DataFrame, queries: DataFrame, mode: str, case_sensitive: boo
     return met.select("query_id", "leaf_id", "file", "line", F.coalesce(F.array_contains("files", F.col("file")), F.lit(False)).alias("preferred"))
 
 
+def parts(batches: Iterator[pa.RecordBatch], texts: tuple[int, ...] = (3, 4)) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about SLICE_BYTES of texts at most, or a single row, so that few texts at a time are Python's."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+        ends, low = np.cumsum(size), 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def grams(token: str) -> set[str]:
     """`functions.text.trigrams` of one token."""
     padded = f"  {token} "
@@ -132,8 +146,6 @@ class GramIndex:
     """Postings of the grams of some tokens, by which the tokens similar to others are counted."""
 
     def __init__(self, tokens: list[str]):
-        import numpy as np
-
         held = [grams(t) for t in tokens]
         self.place = {g: n for n, g in enumerate(sorted(set().union(*held)))}
         pairs = sorted((self.place[g], k) for k, h in enumerate(held) for g in h)
@@ -143,8 +155,6 @@ class GramIndex:
 
     def similar(self, tokens: list[str], floor: float) -> Iterator[tuple]:
         """(number in tokens, number in the index, similarity) of all that are as similar as floor or more, for parts of tokens at a time."""
-        import numpy as np
-
         most = len(self.sizes)
         for low in range(0, len(tokens) if most else 0, AT_ONCE):
             sets = [grams(t) for t in tokens[low : low + AT_ONCE]]
@@ -209,8 +219,6 @@ class Scorer:
     one, or can't reach the threshold or the query's `best` so far, isn't looked at further."""
 
     def __init__(self, asked: list[tuple[int, dict[str, int]]], threshold: float, best: int | None):
-        import numpy as np
-
         self.tokens = sorted({t for _, q in asked for t in q})
         place = {t: n for n, t in enumerate(self.tokens)}
         self.index = GramIndex(self.tokens)
@@ -222,8 +230,6 @@ class Scorer:
 
     def similar(self, words: list[str]) -> list[tuple]:
         """(numbers, similarities) of the query tokens similar to each word; words of this task that were met before are remembered."""
-        import numpy as np
-
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KNOWN:
             self.known.clear()
@@ -238,8 +244,6 @@ class Scorer:
 
     def scores(self, row, code, words: list[str], n: int) -> Iterator[tuple]:
         """(leaves, query, scores) of a chunk of n leaves; row, code: of every token its leaf and its number among words."""
-        import numpy as np
-
         met = self.similar(words)
         length = np.array([len(k) for k, _ in met], np.int64)
         begin = np.cumsum(length) - length
@@ -298,8 +302,6 @@ def _scored(held: DataFrame, queries: DataFrame, threshold: float, case_sensitiv
     share = spark.sparkContext.broadcast((ids, groups))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         ids, groups = share.value
         scorers = [Scorer(g, threshold, best) for g in groups if g]
         for batch in batches:

@@ -319,6 +319,23 @@ def test_a_kept_index(spark, tmp_path, monkeypatch, size):
     assert sorted(map(tuple, found)) == sorted((q, k) for q, t in asked for k, v in state.items() if t and set(t) <= set(v))
 
 
+def test_texts_are_taken_in_slices(spark):
+    """A task makes a few texts at a time Python's; what NFKC leaves alone isn't sent to Python for it, and the rest is normalised as before."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([*([pa.array(range(40))] * 3), pa.array(["x" * 300_000] * 40), pa.array([None] * 40, pa.string())], list("abcde"))
+    sizes = [b.num_rows for b in S.parts(iter([batch]))]
+    assert sum(sizes) == 40 and max(sizes) <= 6
+    inert = [chr(c) for c in range(0x500) if re.match("[" + "".join(f"\\U{int(a, 16):08x}-\\U{int(b, 16):08x}" for a, b in re.findall(r"x\{(\w+)\}-\\x\{(\w+)\}", T.INERT)) + "]", chr(c))]
+    assert {"ü", "ı", "ж"} <= set(inert) and not {"ﬁ", "\u0301", "²", "ĳ"} & set(inert)
+    assert all(unicodedata.is_normalized("NFKC", a + b) for a in inert for b in inert)
+    texts = ["plain", "für ığdır ж", "ﬁne", "e\u0301", "ü²", "", None, "ſ ünd ½"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in frame.select(T.compatible(F.col("t"))).collect()] == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
 def test_an_index_is_merged_from_lists(spark, monkeypatch):
     """Tasks gather ids into lists before they are shuffled; a token in every leaf is merged range by range, and its blocks never overlap."""
     for name, value in (("BLOCK", 4), ("SPAN", 32), ("GATHER", 300), ("MERGED", 40), ("FEW", 0)):
