@@ -33,9 +33,11 @@ KNOWN = 1 << 18
 #: Final rows that are broadcast to fetch their texts at most.
 FEW = 1 << 17
 #: Words of leaves whose common grams with the queries' tokens are counted together.
-AT_ONCE = 512
+AT_ONCE = 2048
+#: Grams of a word that are looked up in what its others have found, and not the other way round, at most.
+SPARE = 4
 #: Leaves that are scored together.
-LEAVES = 256
+LEAVES = 512
 #: A query token that finds nothing this similar in a leaf rules the leaf out.
 FLOOR = 0.4
 #: Bytes of texts that a task takes up at a time.
@@ -142,29 +144,70 @@ def grams(token: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+def gram_keys(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the token, key of the gram) of all distinct `grams` of the tokens, by token; a key is a gram's three characters, 21 bits each."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 3
+    code = np.frombuffer("".join(f"  {t} " for t in tokens).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    of = np.repeat(np.arange(len(tokens)), size)
+    at = np.flatnonzero(of[2:] == of[:-2])
+    of, key = of[at], code[at] << 42 | code[at + 1] << 21 | code[at + 2]
+    order = np.lexsort((key, of))
+    of, key = of[order], key[order]
+    new = np.append(True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]))[: len(of)]
+    return of[new], key[new]
+
+
 class GramIndex:
     """Postings of the grams of some tokens, by which the tokens similar to others are counted."""
 
     def __init__(self, tokens: list[str]):
-        held = [grams(t) for t in tokens]
-        self.place = {g: n for n, g in enumerate(sorted(set().union(*held)))}
-        pairs = sorted((self.place[g], k) for k, h in enumerate(held) for g in h)
-        self.postings = np.array([k for _, k in pairs], np.int64)
-        self.offsets = np.searchsorted(np.array([g for g, _ in pairs], np.int64), np.arange(len(self.place) + 1))
-        self.sizes = np.array([len(h) for h in held], np.float64)
+        of, key = gram_keys(tokens)
+        order = np.argsort(key, kind="stable")
+        self.postings = of[order].astype(np.int32 if AT_ONCE * len(tokens) < 1 << 31 else np.int64)
+        self.keys, start = np.unique(key[order], return_index=True)
+        self.offsets = np.append(start, len(key))
+        self.sizes = np.bincount(of, minlength=len(tokens)).astype(float)
+        # a bit for each token and gram
+        self.spare = SPARE if len(tokens) * len(self.keys) < 1 << 30 else 0
+        self.has = np.zeros((len(tokens), len(self.keys) // 8 + 1) if self.spare else (0, 0), np.uint8)
+        if self.spare:
+            g = np.searchsorted(self.keys, key)
+            np.bitwise_or.at(self.has, (of, g >> 3), (1 << (g & 7)).astype(np.uint8))
 
     def similar(self, tokens: list[str], floor: float) -> Iterator[tuple]:
         """(number in tokens, number in the index, similarity) of all that are as similar as floor or more, for parts of tokens at a time."""
         most = len(self.sizes)
         for low in range(0, len(tokens) if most else 0, AT_ONCE):
-            sets = [grams(t) for t in tokens[low : low + AT_ONCE]]
-            found = np.array([(i, self.place[g]) for i, s in enumerate(sets) for g in s if g in self.place], np.int64).reshape(-1, 2)
-            length = self.offsets[found[:, 1] + 1] - self.offsets[found[:, 1]]
-            at = np.repeat(self.offsets[found[:, 1]] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            common = np.bincount(np.repeat(found[:, 0], length) * most + self.postings[at], minlength=len(sets) * most)
-            key = np.flatnonzero(common)
-            i, k = key // most, key % most
-            value = 2.0 * common[key] / (np.array([len(s) for s in sets], np.float64)[i] + self.sizes[k])
+            own = tokens[low : low + AT_ONCE]
+            of, key = gram_keys(own)
+            size = np.bincount(of, minlength=len(own))
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            met = self.keys[at] == key
+            of, at = of[met], at[met]
+            # a token too few of whose grams are there for the shortest in the index is similar to none
+            hits = np.bincount(of, minlength=len(own))
+            may = (2.0 * hits >= (floor - 1e-9) * (size + self.sizes.min()))[of]
+            of, at = of[may], at[may]
+            # what is similar shares so many grams that it meets one of the rarer ones; the `spare` most frequent are asked for candidates only
+            length = self.offsets[at + 1] - self.offsets[at]
+            order = np.lexsort((-length, of))
+            of, at, length = of[order], at[order], length[order]
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            spare = np.minimum(np.maximum(np.ceil((floor / 2 - 1e-9) * (size + self.sizes.min())).astype(np.int64) - 1, 0), self.spare)
+            asked = place < spare[of]
+            later = np.full((len(own), self.spare), len(self.keys))  # a gram that no token has
+            later[of[asked], place[asked]] = at[asked]
+            of, at, length = of[~asked], at[~asked], length[~asked]
+            where = np.repeat(self.offsets[at] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            pair = np.sort(np.repeat((of * most).astype(self.postings.dtype), length) + self.postings[where])
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+            i, k, common = pair[first] // most, pair[first] % most, np.diff(np.append(first, len(pair)))
+            near = 2.0 * (common + spare[i]) >= (floor - 1e-9) * (size[i] + self.sizes[k])
+            i, k, common = i[near].astype(np.int64), k[near].astype(np.int64), common[near]
+            for n in range(self.spare):
+                g = later[i, n]
+                common += self.has[k, g >> 3] >> (g & 7).astype(np.uint8) & 1
+            value = 2.0 * common / (size[i] + self.sizes[k])
             some = value >= floor
             yield i[some] + low, k[some], value[some]
 
@@ -192,7 +235,7 @@ def _similar(words: DataFrame, own: list[str], floor: float) -> DataFrame:
             for i, k, value in index.similar(batch.column(0).to_pylist(), floor):
                 yield pa.RecordBatch.from_arrays([own.take(pa.array(k)), batch.column(0).take(pa.array(i)), pa.array(value)], ["q", "token", "similarity"])
 
-    return words.select("token").mapInArrow(work, "q string, token string, similarity double")
+    return words.where("token is not null").select("token").mapInArrow(work, "q string, token string, similarity double")
 
 
 def fuzzy(leaves: DataFrame, queries: DataFrame, threshold: float = 0.42, case_sensitive: bool = False, best: int | None = None) -> DataFrame:

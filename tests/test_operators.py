@@ -319,6 +319,19 @@ def test_a_kept_index(spark, tmp_path, monkeypatch, size):
     assert sorted(map(tuple, found)) == sorted((q, k) for q, t in asked for k, v in state.items() if t and set(t) <= set(v))
 
 
+def test_similar_tokens_by_their_rarer_grams(monkeypatch):
+    """Equal to counting all grams, also where most grams of a word are frequent, and for large indexes; each word costs far less than its frequent grams' postings."""
+    rng = random.Random(7)
+    some = lambda n: ["".join(rng.choices("aabeinrstüж", k=rng.randint(2, 9))) for _ in range(n)]
+    own, words = sorted({*some(150), "aaaaaa", "ab"}), sorted({*some(400), "aaaa", "ab", "x"})
+    want = {(i, k): dice(w, t) for i, w in enumerate(words) for k, t in enumerate(own) if 2 * len(grams(w) & grams(t)) / (len(grams(w)) + len(grams(t))) >= 0.4}
+    for spare in (4, 0):
+        monkeypatch.setattr(S, "SPARE", spare)
+        got = {(int(a), int(b)): float(c) for i, k, v in S.GramIndex(own).similar(words, 0.4) for a, b, c in zip(i, k, v)}
+        assert got == want
+    assert S.GramIndex([]).sizes.size == 0 and not list(S.GramIndex([]).similar(words, 0.4))
+
+
 def test_texts_are_taken_in_slices(spark):
     """A task makes a few texts at a time Python's; what NFKC leaves alone isn't sent to Python for it, and the rest is normalised as before."""
     import unicodedata
