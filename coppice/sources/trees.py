@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import lru_cache, reduce
+from operator import or_
+
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,19 +46,72 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("modificationTime").alias("modified"), "content")
 
 
-@F.pandas_udf(BooleanType())
-def _there(paths: pd.Series) -> pd.Series:
-    """Whether a path (scheme:/a/b, or a/b of the local root) is there; false where the store can't be reached from here."""
-
-    def one(path: str) -> bool:
-        scheme, mark, rest = path.partition(":/")
+@lru_cache(64)
+def _store(base: str) -> pafs.FileSystem:
+    """The store of paths that begin so: nothing or file: for the local root, else scheme:/authority."""
+    if base in ("", "file:"):
+        return pafs.LocalFileSystem()
+    return pafs.FileSystem.from_uri(base.replace(":/", "://", 1))[0]
+
+
+def _placed(path: str) -> tuple[str, str]:
+    """The base of a path (scheme:/a/b, or a/b of the local root) and its name in that store."""
+    scheme, mark, rest = path.partition(":/")
+    if not mark or scheme == "file":
+        return ("file:", f"/{rest}") if mark else ("", f"/{path}")
+    return f"{scheme}:/{rest.partition('/')[0]}", pafs.FileSystem.from_uri(f"{scheme}://{rest}")[1]
+
+
+@lru_cache(1 << 16)
+def _missing(folder: str) -> bool:
+    """Whether the store says that a folder, or one that it is in, isn't there, so that nothing in it is; false where it doesn't say."""
+    above, mark, _ = folder.rpartition("/")
+    if not mark:
+        above = ""
+    if above and not above.endswith(":") and _missing(above):
+        return True
+    try:
+        base, name = _placed(folder)
+        return _store(base).get_file_info(name).type == pafs.FileType.NotFound
+    except (OSError, ValueError):
+        return False
+
+
+def _found(paths: list[str]) -> list[bool]:
+    """Whether each path is there; false where the store can't be reached from here. Paths in folders that aren't there aren't asked for, the others together."""
+    out, asked = [False] * len(paths), {}
+    for i, path in enumerate(paths):
+        above = path.rpartition("/")[0]
+        if not above or above.endswith(":") or not _missing(above):
+            try:
+                base, name = _placed(path)
+                asked.setdefault(base, []).append((i, name))
+            except (OSError, ValueError):
+                pass
+    for base, some in asked.items():
         try:
-            fs, name = (pafs.LocalFileSystem(), f"/{rest if mark else path}") if not mark or scheme == "file" else pafs.FileSystem.from_uri(f"{scheme}://{rest}")
-            return fs.get_file_info(name).type != pafs.FileType.NotFound
+            infos = _store(base).get_file_info([name for _, name in some])
         except (OSError, ValueError):
-            return False
+            infos = [_info(base, name) for _, name in some]
+        for (i, _), info in zip(some, infos):
+            out[i] = info is not None and info.type != pafs.FileType.NotFound
+    return out
+
+
+def _info(base: str, name: str) -> pafs.FileInfo | None:
+    try:
+        return _store(base).get_file_info(name)
+    except (OSError, ValueError):
+        return None
+
+
+@F.arrow_udf(BooleanType())
+def _there(paths: pa.Array) -> pa.Array:
+    return pa.array(_found(paths.to_pylist()), pa.bool_())
 
-    return paths.map(one)
+
+# else Spark asks the store before its join, for all links and all files
+_there = _there.asNondeterministic()
 
 
 def resolved(path: Column) -> Column:
@@ -64,6 +120,20 @@ def resolved(path: Column) -> Column:
     return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
 
 
+def plain(path: Column) -> Column:
+    """The steps of `resolved` joined by slashes; only paths that have something to resolve, beside "." between others, go through it."""
+    bare = F.ltrim(path, F.lit("/"))
+    for _ in range(2):  # as those beside each other overlap
+        bare = F.replace(bare, F.lit("/./"), F.lit("/"))
+    steps = F.concat(F.lit("/"), bare, F.lit("/"))
+    return F.when(steps.contains("//") | steps.contains("/./") | steps.contains("/../"), F.array_join(resolved(path), "/")).otherwise(bare)
+
+
+def within(path: Column) -> Column:
+    """The path up to its last slash, with it; empty where there is none."""
+    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)))
+
+
 def broken_links(docs: DataFrame, files: DataFrame, root: str, tools: tuple[str, ...] = TOOLS) -> DataFrame:
     """(path, link): what Markdown documents (path, content) below a root refer to and no file (path) or folder is.
 
@@ -72,15 +142,27 @@ def broken_links(docs: DataFrame, files: DataFrame, root: str, tools: tuple[str,
     document; percent signs are decoded, fragments cut off. Patterns (with <, { or *) aren't judged. What no listed file
     accounts for, as empty and hidden files aren't listed, is looked for in the store itself."""
     link, tool = r'\[[^\]]*\]\((?!https?:|mailto:|#)([^)\s]+)(?:\s+"[^"]*")?\)', rf"`((?:{'|'.join(tools)})/[A-Za-z0-9._/-]+)`"
-    asked = docs.select("path", F.explode(F.array_distinct(F.concat(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in (link, tool))))).alias("link"))
-    own = F.try_url_decode(F.regexp_replace(F.substring_index("link", "#", 1), r"\+", "%2B"))
-    asked = asked.withColumn("clean", F.coalesce(own, F.substring_index("link", "#", 1))).where("clean <> '' and not clean rlike '[<{*]'")
-    from_root = F.col("link").rlike(rf"^/|^(?:{'|'.join(tools)})/")
-    target = resolved(F.when(from_root, F.concat(F.lit(root.rstrip("/") + "/"), "clean")).otherwise(F.concat(F.regexp_replace("path", r"[^/]*$", ""), "clean")))
-    # a file's steps, and those of every folder that it is in
-    there = files.select(resolved(F.col("path")).alias("s")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.slice("s", 1, n))).alias("target")).distinct()
-    lost = asked.withColumn("target", target).join(there, "target", "left_anti")
-    return lost.where(~_there(F.array_join("target", "/"))).select("path", "link")
+    # outer, as Spark would otherwise look for the references once more to leave out documents without any
+    asked = docs.select("path", F.explode_outer(F.array_distinct(F.concat(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in (link, tool))))).alias("link"))
+    bare = F.substring_index("link", "#", 1)
+    own = F.when(bare.contains("%"), F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)).otherwise(bare)
+    asked = asked.withColumn("clean", own).where("clean <> '' and not (contains(clean, '<') or contains(clean, '{') or contains(clean, '*'))")
+    from_root = reduce(or_, (F.col("link").startswith(f"{t}/") for t in ("", *tools)))
+    # the steps up that a link begins with are taken from its folder at once
+    folder = plain(F.rtrim(F.when(from_root, F.lit(root)).otherwise(within(F.col("path"))), F.lit("/")))
+    asked = asked.withColumns({"folder": folder, "up": F.regexp_extract("clean", r"^(?:\.{0,2}/)+", 0)})
+    left = F.length("folder") - F.length(F.replace("folder", F.lit("/"))) + 1 - F.regexp_count("up", F.lit(r"\.\."))
+    kept = F.call_function("substring_index", "folder", F.lit("/"), F.greatest(left, F.lit(0)))
+    asked = asked.withColumn("whole", F.concat(kept, F.lit("/"), F.substring("clean", F.length("up") + 1, F.length("clean")))).withColumn("target", plain(F.col("whole")))
+    # all files, and every folder that one is in
+    own = files.select(plain(F.col("path")).alias("target"))
+    steps = own.select(F.split(F.rtrim(within(F.col("target")), F.lit("/")), "/").alias("s")).distinct()
+    folders = steps.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("s")), lambda n: F.array_join(F.slice("s", 1, n), "/"))).alias("target")).distinct()
+    # the hash goes first, as sorting by numbers is faster than by paths that begin alike
+    key = ["h", "target"]
+    hashed = lambda df: df.withColumn("h", F.xxhash64("target"))
+    lost = hashed(asked.select("path", "link", "target")).join(hashed(own.unionByName(folders)), key, "left_anti")
+    return lost.where(~_there("target")).select("path", "link")
 
 
 def check(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:

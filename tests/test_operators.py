@@ -415,6 +415,31 @@ def test_links_between_documents(spark, tmp_path):
     assert got == {("a.md", "c.md"), ("a.md", "sub/no.png"), ("a.md", ".none.md"), ("b.md", "../sub/d.md"), ("b.md", "/b.md"), ("b.md", "scripts/none.sh"), ("c.md", "../../../../../../z.md")}
 
 
+def test_links_ask_the_store_last(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("/gone/a/b.md", "[up](../../gone/./a/c.md), [self](./../a/b.md), [far](../../../..//gone/a), [dots](x/../../n.md)")], "path string, content string")
+    lost = trees.broken_links(docs, docs.select("path"), "/gone")
+    # once, for what no file accounts for: neither for all links nor for the files
+    assert lost._jdf.queryExecution().executedPlan().toString().count("_there(") == 1
+    assert {r.link for r in lost.collect()} == {"../../gone/./a/c.md", "x/../../n.md"}
+
+    asked = []
+    class Store:
+        def get_file_info(self, names):
+            asked.append(names)
+            return trees.pafs.LocalFileSystem().get_file_info(names)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "_empty").touch()
+    monkeypatch.setattr(trees, "_store", lambda base: Store())
+    trees._missing.cache_clear()
+    here = str(tmp_path).lstrip("/")
+    found = trees._found([f"{here}/none/{i}/{j}" for i in range(50) for j in range(9)] + [f"file:/{here}/in/{x}" for x in ("_empty", "b", "_empty/c")] + ["", "nowhere:/x/y"])
+    trees._missing.cache_clear()
+    assert [i for i, x in enumerate(found) if x] == [450, 453]
+    # a folder that isn't there is asked for once, for all below it
+    assert sum("none" in str(x) for x in asked) == 1 and len(asked) < 30
+
+
 def test_needles_in_blocks(spark, monkeypatch):
     from coppice.operators import needles
 
