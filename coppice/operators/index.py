@@ -211,7 +211,9 @@ def merged(rows: DataFrame, marks: list[int], by: list[str]) -> DataFrame:
         if not len(keep):
             return stays
         ids, token, block = ids[keep], token[keep], block[keep]
-        run = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (block[1:] != block[:-1]))))
+        # a new block ends with its range of ids, as the next range of the token may be another task's
+        part = np.where(block < 0, np.searchsorted(marks, ids, "right"), 0)
+        run = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (block[1:] != block[:-1]) | (part[1:] != part[:-1]))))
         start = np.flatnonzero((np.arange(len(ids)) - np.repeat(run, np.diff(np.append(run, len(ids))))) % BLOCK == 0)
         made = rows_of(words.dictionary.take(pa.array(token[start])), np.zeros(len(start), np.int64), np.zeros(len(start), np.int32), ids, start, np.append(start[1:], len(ids)))
         return pa.Table.from_batches([made, *([stays.cast(made.schema)] if stays.num_rows else [])]).combine_chunks().to_batches()[0]

@@ -397,6 +397,26 @@ def test_cluster_golden(spark):
     assert cluster.three(0.7083) == 0.708
 
 
+def test_index_blocks_of_ranges_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(index, "SPAN", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        own = spark.createDataFrame([(i, ["all", f"of{i % 3}"]) for i in range(1500)], "leaf_id long, tokens array<string>")
+        now = index.build(own)
+        blocks = sorted((b.token, b.first, b.last) for b in now.collect())
+        assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(blocks, blocks[1:]))
+        found = index.search(now, spark.createDataFrame([(1, ["all", "of1"]), (2, ["all"])], "query_id int, tokens array<string>")).collect()
+        assert sorted(map(tuple, found)) == [(1, i) for i in range(1, 1500, 3)] + [(2, i) for i in range(1500)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_words_of_audits_and_emphasis(spark):
+    said = [("__01.02.2024__ **The** word__ `word` or|bir x-y", ["word", "x-y"]), ("_01.02.2024 __a1b__ a1b", ["2024", "a1b"]), (None, None), ("", [])]
+    rows = spark.createDataFrame([(t,) for t, _ in said], "t string").select(T.audit_tokens(F.col("t")).alias("w")).collect()
+    assert [r.w for r in rows] == [w for _, w in said]
+
+
 def test_links_between_documents(spark, tmp_path):
     deep = tmp_path / "one" / "two" / "three" / "four" / "five" / "six"
     deep.mkdir(parents=True)
