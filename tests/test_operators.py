@@ -127,6 +127,48 @@ def test_sets_that_are_unlike_are_not_paired_by_the_words_of_many(spark):
     assert {(i, 400 + i) for i in range(20)} <= found and len(found) < 100
 
 
+def test_similar_sets_that_meet_in_parts_of_few_and_of_many(spark, monkeypatch):
+    """Groups of near copies about the limit, too large for pairs by single parts; cells small and large."""
+    rng = random.Random(11)
+    sets = []
+    for g, many in enumerate((25, 6, 3, 12)):
+        base = [f"g{g}w{i}" for i in range(rng.randint(90, 160))]
+        sets += [(len(sets) + i, [w if rng.random() < 0.95 else f"x{g}.{i}{w}" for w in base]) for i in range(many)]
+    sets += [(1000 + i, s) for i, s in sets[::5]] + [(2000 + i, rng.sample(sets[0][1] + sets[30][1], 80)) for i in range(10)]
+    want = {(i, j): len({*a} & {*b}) / len({*a} | {*b}) for (i, a), (j, b) in itertools.combinations(sets, 2)}
+    want = {k: v for k, v in want.items() if v >= 0.85}
+    rows = spark.createDataFrame(sets, "id int, t array<string>")
+    for many, chunk, small in ((2, 4, 1 << 10), (4, 2048, 0)):
+        monkeypatch.setattr(similarity, "MANY", many)
+        monkeypatch.setattr(similarity, "CHUNK", chunk)
+        monkeypatch.setattr(similarity, "SMALL", small)
+        got = similarity.similar_pairs(rows, "id", "t", 0.85).collect()
+        assert len(got) == len(want) and {(r.i, r.j): r.similarity for r in got} == {k: pytest.approx(v) for k, v in want.items()}
+        assert {r.id: r.links for r in similarity.links(rows, "id", "t", 0.85).collect()} == {i: sum(i in k for k in want) for i, _ in sets}
+
+
+def test_a_group_of_near_copies_is_sent_by_sets_and_not_by_pairs(spark):
+    """150 sets that are all similar: 11,175 pairs in dozens of parts each, but few rows go to where they are compared."""
+    sets = [(i, [*range(200), 1000 + 2 * i, 1001 + 2 * i]) for i in range(150)]
+    rows = spark.createDataFrame(sets, "id long, hashes array<long>").withColumn("label", F.lit(None).cast("string"))
+    pairs, cells = similarity._found(similarity.parts(rows, 0.85), 0.85)
+    assert pairs.count() < 50 and cells.count() <= 2 * len(sets)
+    sent = similarity._compared(pairs, cells, rows)
+    assert sent.count() <= 3 * len(sets) and similarity._pairs(sent, 0.85).count() == 150 * 149 // 2
+
+
+def test_the_words_of_a_text_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        made.add(1)
+        return text.split()
+
+    rows = spark.range(20).select("id", F.lit("a b c").alias("text")).withColumn("t", words("text"))
+    assert similarity.links(rows, "id", "t").where("links = 19 and class = 0").count() == 20 and made.value == 20
+
+
 def test_audits(spark, tmp_path):
     many = "\n\n".join(f"leaf {i} of words{i} other{i}" for i in range(50))
     folder = tree(tmp_path, **{
